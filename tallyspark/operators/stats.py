@@ -334,15 +334,18 @@ def cca_sums(left: DataFrame, right: DataFrame, key: str) -> dict:
                                  .alias("syy")))
     j = ls.join(rs, [key])
     sx, sy = vector_to_array("sx"), vector_to_array("sy")
-    tot = j.agg(
+    # Grouped on a constant: no joined key -> no row (a global aggregate would
+    # ask an empty Summarizer for its sum).
+    res = j.groupBy(F.lit(1).alias("__g")).agg(
         F.sum(F.col("a") * F.col("b")).alias("n"),
         Summarizer.sum(F.col("sx"), F.col("b").cast("double")).alias("tot_x"),
         Summarizer.sum(F.col("sy"), F.col("a").cast("double")).alias("tot_y"),
         Summarizer.sum(F.col("sxx"), F.col("b").cast("double")).alias("tot_xx"),
         Summarizer.sum(F.col("syy"), F.col("a").cast("double")).alias("tot_yy"),
-        Summarizer.sum(array_to_vector(_cross(sx, sy))).alias("tot_xy")).collect()[0]
-    if not tot["n"]:
+        Summarizer.sum(array_to_vector(_cross(sx, sy))).alias("tot_xy")).collect()
+    if not res or not res[0]["n"]:
         return {"n": 0}
+    tot = res[0]
     return {"n": int(tot["n"]), "Sx": tot["tot_x"].toArray(), "Sy": tot["tot_y"].toArray(),
             "Sxx": tot["tot_xx"].toArray(), "Syy": tot["tot_yy"].toArray(),
             "Sxy": tot["tot_xy"].toArray()}
