@@ -253,6 +253,86 @@ def summary_rows(one_row: DataFrame, checks: Sequence[tuple[str, object, object]
     return (one_row.select(F.inline(F.array(*structs))))
 
 
+def one_row(*frames: DataFrame) -> DataFrame:
+    """Side by side, the columns of several one-row aggregates (no join: the
+    rows are stacked with missing columns null and folded with ``max``)."""
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f, allowMissingColumns=True)
+    return out.agg(*[F.max(c).alias(c) for c in out.columns])
+
+
+CORE_LONG_COLUMNS = ("dataset_id", "source_file", "raw_row_id", "id_bvote", "scrutin",
+                     "annee", "tour", "date", "num_arrond", "num_bureau", "nb_inscr",
+                     "nb_votant", "nb_exprim", "candidate", "candidate_source_column", "votes",
+                     "vote_share_exprimes", "vote_share_registered")
+
+
+def validation_summary(long: DataFrame, wide_check: DataFrame, report: DataFrame,
+                       row_counts: DataFrame, station_checks: DataFrame,
+                       long_family_counts: DataFrame, suspicious: DataFrame,
+                       core_columns: Sequence[str] = CORE_LONG_COLUMNS,
+                       flag: str = "is_municipal") -> DataFrame:
+    """The validation checks as (check, value, status) rows.
+
+    Every input is reduced to one row by an aggregate; the rows are combined
+    without a join and unpivoted once.
+    """
+    missing = " | ".join(sorted(set(core_columns) - set(long.columns)))
+    metrics = one_row(
+        long.agg(F.count(F.lit(1)).alias("long_rows"),
+                 F.count_if(~F.col(flag)).alias("non_municipal_rows")),
+        wide_check,
+        row_counts.agg(F.count_if(~F.col("row_count_ok")).alias("row_count_problems")),
+        station_checks.agg(
+            F.count_if(~F.col("expressed_votes_ok")).alias("source_expressed_vote_mismatches"),
+            F.count_if(~F.col("vote_share_sum_ok")).alias("source_vote_share_sum_mismatches")),
+        long_family_counts,
+        suspicious.agg(F.count(F.lit(1)).alias("suspicious_candidate_columns")),
+        report.agg(F.count_if(F.col("status") == "skipped").alias("skipped_files"),
+                   F.count_if(F.col("status") == "error").alias("error_files")))
+
+    def ok(name):
+        return X.status_ok(F.col(name) == 0)
+
+    info = F.lit("INFO")
+    checks = [
+        ("long_table_exists", F.lit("True"), F.lit("OK")),
+        ("wide_table_exists", F.lit("True"), F.lit("OK")),
+        ("long_rows", F.col("long_rows"), info),
+        ("long_columns", F.lit(len(long.columns)), info),
+        ("non_municipal_rows", F.col("non_municipal_rows"), info),
+        ("municipal_rows", F.col("municipal_rows"), info),
+        ("wide_rows", F.col("wide_rows"), info),
+        ("wide_columns", F.col("wide_columns"), info),
+        ("wide_candidate_columns", F.col("wide_candidate_columns"), info),
+        ("missing_core_long_columns", F.lit(missing), F.lit("OK" if not missing else "PROBLEM")),
+        ("row_count_problems", F.col("row_count_problems"), ok("row_count_problems")),
+        ("source_expressed_vote_mismatches", F.col("source_expressed_vote_mismatches"),
+         X.check_status("source_expressed_vote_mismatches")),
+        ("source_vote_share_sum_mismatches", F.col("source_vote_share_sum_mismatches"),
+         X.check_status("source_vote_share_sum_mismatches")),
+    ]
+    for p in ("municipal_missing_candidate", "municipal_missing_votes",
+              "municipal_negative_votes", "municipal_missing_booth_id",
+              "municipal_vote_share_exprimes_out_of_range",
+              "municipal_vote_share_registered_out_of_range",
+              "municipal_duplicate_candidate_rows", "municipal_rows_with_any_problem"):
+        checks.append((p, F.col(p), ok(p)))
+    checks += [
+        ("suspicious_candidate_columns", F.col("suspicious_candidate_columns"),
+         ok("suspicious_candidate_columns")),
+        ("wide_duplicate_index_rows", F.col("wide_duplicate_index_rows"),
+         ok("wide_duplicate_index_rows")),
+        ("wide_values_below_zero", F.col("wide_values_below_zero"), ok("wide_values_below_zero")),
+        ("wide_values_above_one", F.col("wide_values_above_one"), ok("wide_values_above_one")),
+        ("skipped_files_in_cleaning_report", F.col("skipped_files"),
+         F.when(F.col("skipped_files") == 0, "INFO").otherwise("CHECK")),
+        ("error_files_in_cleaning_report", F.col("error_files"), ok("error_files")),
+    ]
+    return summary_rows(metrics, checks)
+
+
 def cleaning_report(reports: Sequence[DataFrame]) -> DataFrame:
     """Union of per-family report frames (missing columns null)."""
     out = reports[0]

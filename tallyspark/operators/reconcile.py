@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import expr as X
 from ..functions import fixed
 from ._join import join_on_keys
-from .quality import summary_rows
+from .quality import one_row, summary_rows
 
 CASE_KEYS = ("dataset_id", "source_file", "raw_row_id", "candidate_source_column")
 
@@ -81,13 +81,7 @@ def audit_counts(audit: DataFrame, expected: DataFrame, clean: DataFrame,
     de = duplicate_keys(expected, keys).agg(F.count(F.lit(1)).alias("duplicate_expected_cases"))
     ce = clean.agg(F.count(F.lit(1)).alias("clean_long_cases"))
     ee = expected.agg(F.count(F.lit(1)).alias("expected_raw_candidate_cases"))
-    # Four one-row frames side by side; each is a global aggregate.
-    one = (ee.unionByName(ce, allowMissingColumns=True)
-           .unionByName(a.drop("expected_raw_candidate_cases", "__clean_joined"),
-                        allowMissingColumns=True)
-           .unionByName(dc, allowMissingColumns=True)
-           .unionByName(de, allowMissingColumns=True))
-    return one.agg(*[F.max(c).alias(c) for c in one.columns])
+    return one_row(ee, ce, a.drop("expected_raw_candidate_cases", "__clean_joined"), dc, de)
 
 
 def audit_summary(counts: DataFrame, sources_used: int | None = None,

@@ -30,7 +30,7 @@ FROM events GROUP BY ALL
 """
 
 LINES = """
-SELECT l_returnflag AS dataset_id, 'lineitem.parquet' AS source_file, l_orderkey AS raw_row_id,
+SELECT l_returnflag AS dataset_id, 'lineitem_muni.parquet' AS source_file, l_orderkey AS raw_row_id,
        CAST(l_suppkey AS VARCHAR) AS id_bvote, CAST(l_suppkey AS VARCHAR) AS source_bv_id,
        CAST(l_partkey AS VARCHAR) AS candidate,
        CAST(l_linenumber AS VARCHAR) AS candidate_source_column,
@@ -76,3 +76,51 @@ ACTIVITY_LONG = with_totals(ACTIVITY)
 def cte(**views: str) -> str:
     """``WITH a AS (...), b AS (...)`` from keyword arguments."""
     return "WITH " + ",\n".join(f"{k} AS ({v})" for k, v in views.items()) + "\n"
+
+# Raw wide station file made from ballots: one count column per priority
+# (absent -> 0), station totals, and two customer columns.
+BALLOTS_WIDE = f"""
+SELECT w.*, t.nb_exprim, r.nb_inscr, c.c_mktsegment, c.c_acctbal
+FROM (SELECT dataset_id, id_bvote, num_arrond, coalesce(COLUMNS(* EXCLUDE (dataset_id, id_bvote, num_arrond)), 0.0::DOUBLE)
+      FROM (PIVOT (SELECT dataset_id, id_bvote, num_arrond, candidate, votes FROM ({BALLOTS}) AS b)
+            ON candidate USING sum(votes) GROUP BY dataset_id, id_bvote, num_arrond) AS p) AS w
+JOIN (SELECT dataset_id, id_bvote, sum(votes) AS nb_exprim FROM ({BALLOTS}) AS b GROUP BY ALL) AS t
+  USING (dataset_id, id_bvote)
+JOIN (SELECT id_bvote, sum(votes) AS nb_inscr FROM ({BALLOTS}) AS b GROUP BY ALL) AS r USING (id_bvote)
+JOIN (SELECT CAST(c_custkey AS VARCHAR) AS id_bvote, c_mktsegment, c_acctbal FROM customer) AS c
+  USING (id_bvote)
+"""
+
+WIDE_META = ("dataset_id", "id_bvote", "num_arrond", "nb_exprim", "nb_inscr")
+NUMBER_RE = "'[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?'"
+
+
+def wide_cells(meta=WIDE_META) -> str:
+    """Every non-metadata cell of the wide file as text (nulls kept)."""
+    m = ", ".join(meta)
+    return f"""
+UNPIVOT INCLUDE NULLS (SELECT {m}, CAST(COLUMNS(* EXCLUDE ({m})) AS VARCHAR) FROM ({BALLOTS_WIDE}) AS w)
+ON COLUMNS(* EXCLUDE ({m})) INTO NAME candidate_source_column VALUE v
+"""
+
+
+def detected(meta=WIDE_META) -> str:
+    """Per dataset and column: numeric ratio and the 80 % decision."""
+    return f"""
+SELECT dataset_id, candidate_source_column AS "column",
+       avg(CASE WHEN regexp_full_match(trim(v), {NUMBER_RE})
+                  OR lower(trim(v)) IN ('inf', '+inf', 'infinity', '+infinity', '-inf', '-infinity')
+                THEN 1.0 ELSE 0.0 END)::DOUBLE AS numeric_ratio
+FROM ({wide_cells(meta)}) AS c GROUP BY ALL
+"""
+
+
+def wide_long(meta=WIDE_META) -> str:
+    """Unpivot of the detected value columns; a missing or bad value -> 0."""
+    return f"""
+SELECT c.dataset_id, c.id_bvote, c.num_arrond, c.nb_exprim, c.nb_inscr,
+       c.candidate_source_column, coalesce(TRY_CAST(trim(c.v) AS DOUBLE), 0.0::DOUBLE) AS votes
+FROM ({wide_cells(meta)}) AS c
+JOIN ({detected(meta)}) AS d ON c.dataset_id = d.dataset_id AND c.candidate_source_column = d."column"
+WHERE d.numeric_ratio >= 0.8
+"""
