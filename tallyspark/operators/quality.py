@@ -140,12 +140,12 @@ def wide_range_check(wide: DataFrame, metadata: Sequence[str] = fixed.WIDE_METAD
     meta = set(metadata)
     index = [c for c in wide.columns if c in meta]
     values = [c for c in wide.columns if c not in meta]
-    below = F.lit(0)
-    above = F.lit(0)
-    for c in values:
-        v = X.to_number(c, is_numeric_type(wide.schema[c].dataType))
-        below = below + F.coalesce((v < -eps).cast("int"), F.lit(0))
-        above = above + F.coalesce((v > 1 + eps).cast("int"), F.lit(0))
+    # One flat array per row (a wide table may have thousands of columns; a
+    # chain of additions would nest that deep).
+    cells = F.array(*[X.to_number(F.col(f"`{c}`"), is_numeric_type(wide.schema[c].dataType))
+                      for c in values]) if values else F.array().cast("array<double>")
+    below = F.size(F.filter(cells, lambda v: v < -eps))
+    above = F.size(F.filter(cells, lambda v: v > 1 + eps))
     per_index = (wide.groupBy(*index)
                  .agg(F.count(F.lit(1)).alias("__n"), F.sum(below).alias("__lo"),
                       F.sum(above).alias("__hi")))
@@ -159,6 +159,38 @@ def wide_range_check(wide: DataFrame, metadata: Sequence[str] = fixed.WIDE_METAD
         F.coalesce(F.sum("__hi"), F.lit(0)).cast("bigint").alias("wide_values_above_one"))
 
 
+def wide_range_check_long(long: DataFrame, index: Sequence[str], candidate: str = "candidate",
+                          share: str = "vote_share_exprimes",
+                          eps: float = fixed.SHARE_RANGE_EPS) -> DataFrame:
+    """A10 computed on the long table, without building the wide one.
+
+    The wide table has one row per index tuple and one cell per candidate,
+    each cell the summed share (absent -> 0, which is in range).  So the cell
+    counts come from the (index, candidate) sums and the shape from distinct
+    counts; nothing is pivoted.  Duplicate index rows cannot occur in a
+    pivot, so that count is 0.
+    """
+    index = [c for c in index if c in long.columns]
+    src = long.where(F.col(candidate).isNotNull())
+    cells = (src.groupBy(*index, candidate)
+             .agg(F.coalesce(F.sum(X.finite_or_null(share)), F.lit(0.0)).alias("__s")))
+    per_index = (cells.groupBy(*index)
+                 .agg(F.count_if(F.col("__s") < -eps).alias("__lo"),
+                      F.count_if(F.col("__s") > 1 + eps).alias("__hi")))
+    shape = per_index.agg(F.count(F.lit(1)).alias("wide_rows"),
+                          F.coalesce(F.sum("__lo"), F.lit(0)).alias("wide_values_below_zero"),
+                          F.coalesce(F.sum("__hi"), F.lit(0)).alias("wide_values_above_one"))
+    n_cand = src.agg(F.countDistinct(candidate).alias("wide_candidate_columns"))
+    out = one_row(shape, n_cand)
+    return out.select(
+        F.col("wide_rows").cast("bigint"),
+        (F.col("wide_candidate_columns") + len(index)).cast("bigint").alias("wide_columns"),
+        F.col("wide_candidate_columns").cast("bigint"),
+        F.lit(0).cast("bigint").alias("wide_duplicate_index_rows"),
+        F.col("wide_values_below_zero").cast("bigint"),
+        F.col("wide_values_above_one").cast("bigint"))
+
+
 def suspicious_names(long: DataFrame, candidate: str = "candidate") -> DataFrame:
     """Distinct candidate names that look like metadata, sorted."""
     return (long.select(F.col(candidate).cast("string").alias("candidate"))

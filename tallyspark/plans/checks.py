@@ -9,6 +9,7 @@ from ..functions import expr as X
 from ..operators import quality as Q
 from ..operators import reconcile as RC
 from ..operators import reshape as R
+from ..session import ensure_checkpoint_dir
 from ..sources import catalog as C
 from ..sources import ingest as I
 from ..sources import sinks as K
@@ -257,12 +258,16 @@ def validation_summary(spark, d):
     lines_long, lines_report = I.clean_long(
         V.lines(spark, d).withColumn("scrutin", F.lit("lines")).withColumn("annee", F.lit("2000"))
         .withColumn("tour", F.lit("1")))
-    long = Q.flag_long_family(R.union_sources([wide_long, lines_long]))
-    wide = R.pivot_shares(long, PIVOT_INDEX)
-    reports = Q.cleaning_report([I.report_frame(report), I.report_frame(lines_report)])
+    # The long table feeds seven checks: checkpoint it to the shared folder
+    # once (it also keeps the plans of the checks shallow).
+    ensure_checkpoint_dir(spark)
+    long = Q.flag_long_family(R.union_sources([wide_long, lines_long])).checkpoint()
+    wide_check = Q.wide_range_check_long(long, PIVOT_INDEX)
+    reports = Q.cleaning_report([I.report_frame(report),
+                                 I.report_frame(lines_report)]).checkpoint()
     flags = Q.row_problem_flags(long.where("is_municipal"), duplicate_keys=LINE_KEYS)
     return Q.validation_summary(
-        long, Q.wide_range_check(wide), reports, Q.row_count_check(reports, long),
+        long, wide_check, reports, Q.row_count_check(reports, long),
         Q.station_vote_check(long.where(~F.col("is_municipal"))),
         Q.row_problem_counts(flags), Q.suspicious_names(long))
 
@@ -324,8 +329,13 @@ SELECT problem_type, dataset_id, id_bvote, candidate_source_column, expected_vot
 FROM ({AUDIT_SQL}) AS a WHERE problem_type IS NOT NULL
 UNION ALL
 SELECT 'duplicate_clean_case', dataset_id, id_bvote, candidate_source_column, NULL, NULL, NULL,
-       NULL, NULL, count(*) FROM ({S.BALLOTS}) AS b
-GROUP BY dataset_id, id_bvote, candidate HAVING count(*) > 1
+       NULL, NULL, count(*)
+FROM (SELECT dataset_id, id_bvote, candidate AS candidate_source_column FROM ({S.BALLOTS}) AS b0) AS b
+GROUP BY dataset_id, id_bvote, candidate_source_column HAVING count(*) > 1
+UNION ALL
+SELECT 'duplicate_expected_case', dataset_id, id_bvote, candidate_source_column, NULL, NULL, NULL,
+       NULL, NULL, count(*) FROM ({S.wide_long()}) AS w
+GROUP BY dataset_id, id_bvote, candidate_source_column HAVING count(*) > 1
 """, ("expected_votes", "votes", "vote_diff", "abs_vote_diff"))
 def audit_problems(spark, d):
     """U4 + A6: every problem row tagged with its class, columns a class lacks null."""

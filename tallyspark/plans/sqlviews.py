@@ -30,7 +30,7 @@ FROM events GROUP BY ALL
 """
 
 LINES = """
-SELECT l_returnflag AS dataset_id, 'lineitem_muni.parquet' AS source_file, l_orderkey AS raw_row_id,
+SELECT l_returnflag AS dataset_id, 'lineitem_muni_' || l_returnflag || '.parquet' AS source_file, l_orderkey AS raw_row_id,
        CAST(l_suppkey AS VARCHAR) AS id_bvote, CAST(l_suppkey AS VARCHAR) AS source_bv_id,
        CAST(l_partkey AS VARCHAR) AS candidate,
        CAST(l_linenumber AS VARCHAR) AS candidate_source_column,
@@ -99,8 +99,8 @@ def wide_cells(meta=WIDE_META) -> str:
     """Every non-metadata cell of the wide file as text (nulls kept)."""
     m = ", ".join(meta)
     return f"""
-UNPIVOT INCLUDE NULLS (SELECT {m}, CAST(COLUMNS(* EXCLUDE ({m})) AS VARCHAR) FROM ({BALLOTS_WIDE}) AS w)
-ON COLUMNS(* EXCLUDE ({m})) INTO NAME candidate_source_column VALUE v
+SELECT * FROM (SELECT {m}, CAST(COLUMNS(* EXCLUDE ({m})) AS VARCHAR) FROM ({BALLOTS_WIDE}) AS w0) AS w
+UNPIVOT INCLUDE NULLS (v FOR candidate_source_column IN (COLUMNS(* EXCLUDE ({m}))))
 """
 
 

@@ -113,8 +113,9 @@ def activity_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ lines
-# The long family is named with its marker, as the family convention has it.
-LINES_FILE = "lineitem_muni.parquet"
+# The long family is named with its marker, as the family convention has it;
+# one file per dataset.
+LINES_FILE = "lineitem_muni_"
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,7 +124,8 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     return li.select(
         F.col("l_returnflag").alias("dataset_id"),
-        F.lit(LINES_FILE).alias("source_file"),
+        F.concat(F.lit(LINES_FILE), F.col("l_returnflag"), F.lit(".parquet"))
+        .alias("source_file"),
         F.col("l_orderkey").alias("raw_row_id"),
         F.col("l_suppkey").cast("string").alias("id_bvote"),
         F.col("l_suppkey").cast("string").alias("source_bv_id"),
