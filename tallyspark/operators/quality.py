@@ -38,19 +38,16 @@ def station_vote_check(long: DataFrame, keys: Sequence[str] = STATION_CHECK_KEYS
     total = X.to_number(expressed, True)
     diff = F.col("candidate_votes_sum") - total
     share_sum = F.try_divide(F.col("candidate_votes_sum"), F.when(total != 0, total))
-    checks = (checks
-              .withColumn("validation_scope", F.lit(scope))
-              .withColumn("expressed_vote_diff", diff)
-              .withColumn("abs_expressed_vote_diff", F.abs(diff))
-              .withColumn("vote_share_sum_from_votes", share_sum)
-              .withColumn("vote_share_sum_diff", share_sum - 1)
-              .withColumn("abs_vote_share_sum_diff", F.abs(share_sum - 1)))
-    return (checks
-            .withColumn("expressed_votes_ok", F.coalesce(
-                F.col("abs_expressed_vote_diff") <= vote_tolerance, F.lit(False)))
-            .withColumn("vote_share_sum_ok",
-                        F.col("abs_vote_share_sum_diff").isNull()
-                        | (F.col("abs_vote_share_sum_diff") <= share_tolerance)))
+    return checks.withColumns({
+        "validation_scope": F.lit(scope),
+        "expressed_vote_diff": diff,
+        "abs_expressed_vote_diff": F.abs(diff),
+        "vote_share_sum_from_votes": share_sum,
+        "vote_share_sum_diff": share_sum - 1,
+        "abs_vote_share_sum_diff": F.abs(share_sum - 1),
+        "expressed_votes_ok": F.coalesce(F.abs(diff) <= vote_tolerance, F.lit(False)),
+        "vote_share_sum_ok": F.abs(share_sum - 1).isNull()
+        | (F.abs(share_sum - 1) <= share_tolerance)})
 
 
 def station_mismatches(checks: DataFrame) -> DataFrame:
@@ -95,18 +92,16 @@ def row_problem_flags(long: DataFrame, candidate: str = "candidate", votes: str
     missing_id = F.lit(True)
     for c in present:
         missing_id = missing_id & X.missing_like(c, tokens)
-    df = (df
-          .withColumn("missing_candidate", X.missing_like(candidate, tokens)
-                      if candidate in df.columns else F.lit(True))
-          .withColumn("missing_votes", F.col("votes_numeric").isNull())
-          .withColumn("negative_votes", F.coalesce(F.col("votes_numeric") < 0, F.lit(False)))
-          .withColumn("missing_booth_id", missing_id)
-          .withColumn("vote_share_exprimes_out_of_range",
-                      out_of_range(share_expressed) if share_expressed in df.columns
-                      else F.lit(True))
-          .withColumn("vote_share_registered_out_of_range",
-                      out_of_range(share_registered) if share_registered in df.columns
-                      else F.lit(True)))
+    df = df.withColumns({
+        "missing_candidate": X.missing_like(candidate, tokens)
+        if candidate in df.columns else F.lit(True),
+        "missing_votes": F.col("votes_numeric").isNull(),
+        "negative_votes": F.coalesce(F.col("votes_numeric") < 0, F.lit(False)),
+        "missing_booth_id": missing_id,
+        "vote_share_exprimes_out_of_range": out_of_range(share_expressed)
+        if share_expressed in df.columns else F.lit(True),
+        "vote_share_registered_out_of_range": out_of_range(share_registered)
+        if share_registered in df.columns else F.lit(True)})
     dup_keys = [c for c in duplicate_keys if c in df.columns]
     if "candidate_source_column" not in dup_keys and candidate in df.columns:
         dup_keys.append(candidate)

@@ -55,9 +55,9 @@ def vote_shares(df: DataFrame, votes: str = "votes", expressed: str = "nb_exprim
                 registered: str = "nb_inscr", share_expressed: str = "vote_share_exprimes",
                 share_registered: str = "vote_share_registered") -> DataFrame:
     """votes / expressed and votes / registered, null when not finite; null votes -> 0."""
-    out = df.withColumn(votes, F.coalesce(X.to_number(votes, True), F.lit(0.0)))
-    return (out.withColumn(share_expressed, X.share(votes, expressed))
-            .withColumn(share_registered, X.share(votes, registered)))
+    v = F.coalesce(X.to_number(votes, True), F.lit(0.0))
+    return df.withColumns({votes: v, share_expressed: X.share(v, expressed),
+                           share_registered: X.share(v, registered)})
 
 
 def share_fallback(df: DataFrame, source: str, votes: str, total: str,

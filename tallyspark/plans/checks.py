@@ -22,9 +22,17 @@ WIDE_META = ("id_bvote", "num_arrond", "nb_exprim", "nb_inscr")
 WIDE_REQUIRED = ("id_bvote", "num_arrond", "nb_inscr", "nb_exprim")
 
 
+def _raw_wide(spark, d):
+    """The wide station view stands for a raw input file: it is materialised
+    once in the shared checkpoint folder, and every branch of a cleaning
+    plan scans that instead of re-deriving it from orders."""
+    ensure_checkpoint_dir(spark)
+    return V.ballots_wide(spark, d).checkpoint()
+
+
 def _wide_file(spark, d):
     """The wide station file with the provenance columns of a source file."""
-    return V.ballots_wide(spark, d).withColumn(
+    return _raw_wide(spark, d).withColumn(
         "source_file", F.concat(F.col("dataset_id"), F.lit(".parquet")))
 
 
@@ -39,13 +47,13 @@ SELECT *, numeric_ratio >= 0.8 AS is_value_column FROM ({S.detected()}) AS d
 """, ("numeric_ratio",))
 def detect_value_columns(spark, d):
     """Per dataset and column, share of numeric cells and the 80 % rule."""
-    return R.detect_value_columns(V.ballots_wide(spark, d), ["dataset_id"], WIDE_META)
+    return R.detect_value_columns(_raw_wide(spark, d), ["dataset_id"], WIDE_META)
 
 
 @register("unpivot_votes", S.wide_long(), ("nb_exprim", "nb_inscr", "votes"))
 def unpivot_votes(spark, d):
     """R2: wide station rows -> one row per detected value column."""
-    return R.unpivot_detected(V.ballots_wide(spark, d), ["dataset_id"], WIDE_META)
+    return R.unpivot_detected(_raw_wide(spark, d), ["dataset_id"], WIDE_META)
 
 
 CLEAN_LONG_SQL = f"""
@@ -301,7 +309,7 @@ FROM ({RECON_SQL}) AS a
 
 
 def _expected_cases(spark, d):
-    return (R.unpivot_detected(V.ballots_wide(spark, d), ["dataset_id"], WIDE_META)
+    return (R.unpivot_detected(_raw_wide(spark, d), ["dataset_id"], WIDE_META)
             .select(*RECON_KEYS, F.col("votes").alias("expected_votes")))
 
 

@@ -24,24 +24,20 @@ def ballot_features(spark, d, materialize: bool = True) -> ST.Features:
     to the session's shared checkpoint folder so each later job starts from
     them instead of re-running the scan, joins and pivots.
     """
-    feats = ST.feature_vectors(V.ballots_long(spark, d), "dataset_id", STATIONS,
-                               "candidate", VALUE)
+    long = V.ballots_long(spark, d).select("dataset_id", *STATIONS, "candidate", VALUE)
     if materialize:
         ensure_checkpoint_dir(spark)
-        feats = ST.Features(feats.vectors.checkpoint(), feats.features.checkpoint(),
-                            feats.dataset, feats.stations)
-    return feats
+        long = long.checkpoint()
+    return ST.feature_vectors(long, "dataset_id", STATIONS, "candidate", VALUE)
 
 
 def vector_features(spark, d) -> ST.Features:
     """The 64 embedding dimensions as features of one dataset (no threshold:
     dimensions are signed, so the share-total rule does not apply)."""
     ensure_checkpoint_dir(spark)
-    long = V.vectors(spark, d)
-    feats = ST.feature_vectors(long, "dataset_id", ("id_bvote", "num_arrond"), "candidate",
-                               "votes", min_total=float("-inf"))
-    return ST.Features(feats.vectors.checkpoint(), feats.features.checkpoint(),
-                       feats.dataset, feats.stations)
+    long = V.vectors(spark, d).checkpoint()
+    return ST.feature_vectors(long, "dataset_id", ("id_bvote", "num_arrond"), "candidate",
+                              "votes", min_total=float("-inf"))
 
 
 # SQL: zero-filled station × active-feature grid of the ballots view.

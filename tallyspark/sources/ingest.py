@@ -233,23 +233,22 @@ def clean_wide(df: DataFrame, group: Sequence[str] = ("dataset_id", "source_file
                      F.array_join(F.transform("__c", lambda s: s["name"]), " | ")
                      .alias("candidate_column_names")))
     long = R.unpivot_detected(kept, group, meta, name_column="candidate_source_column")
-    long = (long.withColumn("candidate", F.col("candidate_source_column"))
-            .withColumn(total, X.to_number(total, R.is_numeric_type(
-                df.schema[total].dataType)))
-            .withColumn(registered, X.to_number(registered, R.is_numeric_type(
-                df.schema[registered].dataType))))
+    long = long.withColumns({
+        "candidate": F.col("candidate_source_column"),
+        total: X.to_number(total, R.is_numeric_type(df.schema[total].dataType)),
+        registered: X.to_number(registered, R.is_numeric_type(df.schema[registered].dataType))})
     long = TT.vote_shares(long, "votes", total, registered)
     long = long_types(long.where(F.col("candidate").isNotNull()))
     long_counts = long.groupBy(*group).agg(F.count(F.lit(1)).alias("rows_clean_long"))
+    has = F.coalesce("candidate_columns", F.lit(0)) > 0
     report = (base.join(counts.drop("rows_raw"), group, "left")
               .join(names, group, "left").join(long_counts, group, "left")
-              .withColumn("columns_raw", F.lit(cols_raw))
-              .withColumn("candidate_columns", F.coalesce("candidate_columns", F.lit(0)))
-              .withColumn("rows_clean_long", F.coalesce("rows_clean_long", F.lit(0)))
-              .withColumn("status", F.when(F.col("candidate_columns") > 0, "ok")
-                          .otherwise("skipped"))
-              .withColumn("reason", F.when(F.col("candidate_columns") > 0, "")
-                          .otherwise("no candidate columns detected")))
+              .withColumns({
+                  "columns_raw": F.lit(cols_raw),
+                  "candidate_columns": F.coalesce("candidate_columns", F.lit(0)),
+                  "rows_clean_long": F.coalesce("rows_clean_long", F.lit(0)),
+                  "status": F.when(has, "ok").otherwise("skipped"),
+                  "reason": F.when(has, "").otherwise("no candidate columns detected")}))
     return R.union_sources([long]), report
 
 
@@ -273,42 +272,42 @@ def clean_long(df: DataFrame, group: Sequence[str] = ("dataset_id", "source_file
                       .withColumn("reason",
                                   F.lit(f"missing municipal required columns: {missing}")))
     key = X.parse_structured_key("source_bv_id", key_pattern)
-    df = (df.withColumn("source_bv_id", key["key"]).withColumn("id_bvote", key["key"])
-          .withColumn("num_arrond", key["area"]).withColumn("num_bureau", key["unit"])
-          .withColumn("candidate_source_column", F.col("candidate")))
+    df = df.withColumns({"source_bv_id": key["key"], "id_bvote": key["key"],
+                         "num_arrond": key["area"], "num_bureau": key["unit"],
+                         "candidate_source_column": F.col("candidate")})
     kept, counts = drop_invalid_rows(df, valid_long_rows(df), group)
-    kept = kept.withColumn("votes", X.to_number("votes", R.is_numeric_type(
-        df.schema["votes"].dataType)))
+    numeric = {c: R.is_numeric_type(df.schema[c].dataType) for c in
+               ("votes", "vote_share_exprimes", "vote_share_registered") if c in df.columns}
+    kept = kept.withColumns({c: X.to_number(c, n) for c, n in numeric.items()})
     keys = [g for g in group if g == "dataset_id"] + ["id_bvote"]
     out = TT.reconstruct_expressed(kept, keys)
     if "vote_share_registered" in out.columns:
         out = TT.reconstruct_registered(out, keys)
     else:
         out = out.withColumn("nb_inscr", F.lit(None).cast("double"))
-    for c in ("nb_votant", "nb_emarg", "nb_procu", "nb_bl", "nb_nul", "nb_bl_nul"):
-        out = out.withColumn(c, F.lit(None).cast("double"))
-    for c in ("num_circ", "num_quartier"):
-        out = out.withColumn(c, F.lit(None).cast("string"))
-    out = out.withColumn("date", F.lit(None).cast("date"))
+    # Totals the long family does not carry, and the shares: the source share
+    # when finite, else votes over the rebuilt total.
+    added = {c: F.lit(None).cast("double") for c in
+             ("nb_votant", "nb_emarg", "nb_procu", "nb_bl", "nb_nul", "nb_bl_nul")}
+    added.update({c: F.lit(None).cast("string") for c in ("num_circ", "num_quartier")})
+    added["date"] = F.lit(None).cast("date")
     for share, total in (("vote_share_exprimes", "nb_exprim"),
                          ("vote_share_registered", "nb_inscr")):
-        if share in out.columns:
-            out = TT.share_fallback(out.withColumn(share, X.to_number(share, R.is_numeric_type(
-                out.schema[share].dataType))), share, "votes", total)
-        else:
-            out = out.withColumn(share, X.share("votes", total))
-    out = R.union_sources([long_types(out)])
+        computed = X.share("votes", total)
+        added[share] = (F.coalesce(X.finite_or_null(share), computed)
+                        if share in out.columns else computed)
+    out = R.union_sources([long_types(out.withColumns(added))])
     long_counts = out.groupBy(*group).agg(F.count(F.lit(1)).alias("rows_clean_long"))
+    has = F.coalesce("rows_clean_long", F.lit(0)) > 0
     report = (base.join(counts.drop("rows_raw"), group, "left")
               .join(long_counts, group, "left")
-              .withColumn("columns_raw", F.lit(cols_raw))
-              .withColumn("rows_clean_long", F.coalesce("rows_clean_long", F.lit(0)))
-              .withColumn("candidate_columns", F.lit(1))
-              .withColumn("candidate_column_names", F.lit("candidate"))
-              .withColumn("status", F.when(F.col("rows_clean_long") > 0, "ok")
-                          .otherwise("skipped"))
-              .withColumn("reason", F.when(F.col("rows_clean_long") > 0, "").otherwise(
-                  "no valid municipal rows after key filter")))
+              .withColumns({
+                  "columns_raw": F.lit(cols_raw),
+                  "rows_clean_long": F.coalesce("rows_clean_long", F.lit(0)),
+                  "candidate_columns": F.lit(1),
+                  "candidate_column_names": F.lit("candidate"),
+                  "status": F.when(has, "ok").otherwise("skipped"),
+                  "reason": F.when(has, "").otherwise("no valid municipal rows after key filter")}))
     return out, report
 
 
