@@ -136,9 +136,17 @@ def pivot_sum(df: DataFrame, index: Sequence[str], pivot_column: str, value_colu
     cells = (df.groupBy(*index, pivot_column)
              .agg(F.coalesce(F.sum(F.col(value_column)), F.lit(0.0)).alias("__v")))
     wide = cells.groupBy(*index).pivot(pivot_column, list(values)).agg(F.first("__v"))
-    if fill is not None:
-        wide = wide.fillna(fill, subset=[str(v) for v in values])
-    return wide
+    if fill is None:
+        return wide
+    # Fill by position: names from data may differ only by case ("Dupont",
+    # "DUPONT"), which a by-name reference would find ambiguous.
+    names = wide.columns
+    tmp = wide.toDF(*[f"__c{i}" for i in range(len(names))])
+    k = len(index)
+    tmp = tmp.select(*[F.col(f"__c{i}") for i in range(k)],
+                     *[F.coalesce(F.col(f"__c{i}"), F.lit(fill)).alias(f"__c{i}")
+                       for i in range(k, len(names))])
+    return tmp.toDF(*names)
 
 
 def pivot_shares(long: DataFrame, index: Sequence[str] = fixed.WIDE_INDEX_COLUMNS,
