@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as X
 from ._join import join_on_keys
+from .reshape import is_numeric_type
 
 
 def group_total(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
@@ -31,16 +32,18 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, out: str = "med
 
     Equal values are counted first (map-side combine), so a group costs one row
     per distinct value.  A running count over the sorted distinct values then
-    finds the middle one or two; the sort spills, and no group is held whole
-    in memory.
+    finds the middle one or two: the sort spills and the running frame
+    streams, so no group is held whole in memory (unlike ``percentile``, whose
+    buffer keeps every distinct value of a group).  The group size comes from
+    an aggregate joined back, not from a second, buffering window.
     """
     counts = (df.where(F.col(value).isNotNull())
               .groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c")))
-    part = Window.partitionBy(*keys)
-    ordered = part.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = (counts
-              .withColumn("__end", F.sum("__c").over(ordered))
-              .withColumn("__n", F.sum("__c").over(part)))
+    sizes = counts.groupBy(*keys).agg(F.sum("__c").alias("__n"))
+    ordered = (Window.partitionBy(*keys).orderBy(value)
+               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = join_on_keys(counts.withColumn("__end", F.sum("__c").over(ordered)), sizes,
+                          keys, how="inner")
     start = F.col("__end") - F.col("__c")
     lo = F.floor((F.col("__n") - 1) / 2)
     hi = F.ceil((F.col("__n") - 1) / 2)
@@ -100,9 +103,12 @@ def backcalc_totals(df: DataFrame, keys: Sequence[str], count: str,
     valid = df
     for k in keys:
         valid = valid.where(F.col(k).isNotNull())
+    def numeric(c):
+        return is_numeric_type(df.schema[c].dataType)
     stacked = valid.select(*keys, F.explode(F.array(*[
         F.struct(F.lit(n).alias("__name"),
-                 X.backcalc_total(count, percents[n]).alias("__est")) for n in names
+                 X.backcalc_total(count, percents[n], numeric(count) and numeric(percents[n]))
+                 .alias("__est")) for n in names
     ])).alias("__s")).select(*keys, "__s.__name", "__s.__est")
     med = exact_median(stacked, list(keys) + ["__name"], "__est", "__m")
     groups = valid.select(*keys).distinct()

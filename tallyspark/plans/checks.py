@@ -262,14 +262,16 @@ def clean_sample(spark, d):
 def validation_summary(spark, d):
     """The validation checks over both families, as (check, value, status)."""
     from .shares import PIVOT_INDEX
-    wide_long, report = _clean_ballots(spark, d)
-    lines_long, lines_report = I.clean_long(
-        V.lines(spark, d).withColumn("scrutin", F.lit("lines")).withColumn("annee", F.lit("2000"))
-        .withColumn("tour", F.lit("1")))
-    # The long table feeds seven checks: checkpoint it to the shared folder
-    # once (it also keeps the plans of the checks shallow).
+    # Each family's long rows feed the report and seven checks: the cleaners
+    # checkpoint them to the shared folder once (which also keeps the plans
+    # of the checks shallow).
     ensure_checkpoint_dir(spark)
-    long = Q.flag_long_family(R.union_sources([wide_long, lines_long])).checkpoint()
+    wide_long, report = I.clean_wide(_wide_file(spark, d), ["dataset_id", "source_file"],
+                                     required=WIDE_REQUIRED, materialize=True)
+    lines_long, lines_report = I.clean_long(
+        V.lines(spark, d).withColumns({"scrutin": F.lit("lines"), "annee": F.lit("2000"),
+                                       "tour": F.lit("1")}), materialize=True)
+    long = Q.flag_long_family(R.union_sources([wide_long, lines_long]))
     wide_check = Q.wide_range_check_long(long, PIVOT_INDEX)
     reports = Q.cleaning_report([I.report_frame(report),
                                  I.report_frame(lines_report)]).checkpoint()

@@ -202,11 +202,14 @@ def clean_wide(df: DataFrame, group: Sequence[str] = ("dataset_id", "source_file
                required: Sequence[str] = fixed.REQUIRED_WIDE_COLUMNS,
                standard: Sequence[str] = fixed.STANDARD_COLUMNS,
                id_col: str = "id_bvote", total: str = "nb_exprim",
-               registered: str = "nb_inscr") -> tuple[DataFrame | None, DataFrame]:
+               registered: str = "nb_inscr", materialize: bool = False
+               ) -> tuple[DataFrame | None, DataFrame]:
     """Wide station rows -> long candidate rows, plus one report row per group.
 
     Returns (long or None, report).  ``df`` holds the rows of one schema (one
     or several files with the same columns) with the ``group`` columns set.
+    ``materialize`` checkpoints the long rows (to ``spark.checkpoint.dir``)
+    before they are counted for the report, so they are computed once.
     """
     group = list(group)
     df = prepare_wide(df)
@@ -238,7 +241,9 @@ def clean_wide(df: DataFrame, group: Sequence[str] = ("dataset_id", "source_file
         total: X.to_number(total, R.is_numeric_type(df.schema[total].dataType)),
         registered: X.to_number(registered, R.is_numeric_type(df.schema[registered].dataType))})
     long = TT.vote_shares(long, "votes", total, registered)
-    long = long_types(long.where(F.col("candidate").isNotNull()))
+    long = R.union_sources([long_types(long.where(F.col("candidate").isNotNull()))])
+    if materialize:
+        long = long.checkpoint()
     long_counts = long.groupBy(*group).agg(F.count(F.lit(1)).alias("rows_clean_long"))
     has = F.coalesce("candidate_columns", F.lit(0)) > 0
     report = (base.join(counts.drop("rows_raw"), group, "left")
@@ -249,18 +254,18 @@ def clean_wide(df: DataFrame, group: Sequence[str] = ("dataset_id", "source_file
                   "rows_clean_long": F.coalesce("rows_clean_long", F.lit(0)),
                   "status": F.when(has, "ok").otherwise("skipped"),
                   "reason": F.when(has, "").otherwise("no candidate columns detected")}))
-    return R.union_sources([long]), report
+    return long, report
 
 
 # ------------------------------------------------------------ long cleaner
 def clean_long(df: DataFrame, group: Sequence[str] = ("dataset_id", "source_file"),
                required: Sequence[str] = fixed.REQUIRED_LONG_COLUMNS,
-               key_pattern: str = r"^(\d{5})_(\d{2})(\d{2})$"
+               key_pattern: str = r"^(\d{5})_(\d{2})(\d{2})$", materialize: bool = False
                ) -> tuple[DataFrame | None, DataFrame]:
     """Already-long rows -> long table: station key parsed, invalid rows
     dropped, expressed total rebuilt as the station's vote sum, registered
     total as the rounded median of votes / registered share, shares with the
-    source value kept when finite."""
+    source value kept when finite.  ``materialize`` as in ``clean_wide``."""
     group = list(group)
     df = normalize_columns(df)
     base = df.groupBy(*group).agg(F.count(F.lit(1)).alias("rows_raw"))
@@ -297,6 +302,8 @@ def clean_long(df: DataFrame, group: Sequence[str] = ("dataset_id", "source_file
         added[share] = (F.coalesce(X.finite_or_null(share), computed)
                         if share in out.columns else computed)
     out = R.union_sources([long_types(out.withColumns(added))])
+    if materialize:
+        out = out.checkpoint()
     long_counts = out.groupBy(*group).agg(F.count(F.lit(1)).alias("rows_clean_long"))
     has = F.coalesce("rows_clean_long", F.lit(0)) > 0
     report = (base.join(counts.drop("rows_raw"), group, "left")
