@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import expr as X
 from ..functions import fixed
 from ._join import join_on_keys
-from .quality import one_row, summary_rows
+from .quality import summary_rows
 
 CASE_KEYS = ("dataset_id", "source_file", "raw_row_id", "candidate_source_column")
 
@@ -20,26 +20,40 @@ CASE_KEYS = ("dataset_id", "source_file", "raw_row_id", "candidate_source_column
 def reconcile_outer(expected: DataFrame, clean: DataFrame, keys: Sequence[str] = CASE_KEYS,
                     expected_value: str = "expected_votes", value: str = "votes",
                     tolerance: float = fixed.RECONCILE_TOLERANCE) -> DataFrame:
-    """Full outer join of expected and clean cases; null keys match each other.
-
-    Adds ``_merge`` (left_only / right_only / both), both values with missing
-    as 0, their difference, and ``problem_type`` for rows that are a problem
-    (missing_from_clean, extra_in_clean, vote_value_mismatch) or null.
+    """Full outer join of expected and clean cases on the case keys; null keys
+    match each other.  One row per key.
+
+    Each side is first reduced to one row per key (rows, sum, min and max of
+    its values, missing as 0), so a key repeated a and b times costs a + b
+    input rows and one output row, never a·b pairs.  For a key present once
+    on each side (the normal case) the row is exactly the row-level match.
+    ``abs_vote_diff`` is the largest difference between any left and any
+    right value of the key (max(maxR - minL, maxL - minR)); ``vote_diff`` is
+    the difference of the sums.  ``_merge`` is left_only / right_only / both;
+    ``problem_type`` is missing_from_clean, extra_in_clean,
+    vote_value_mismatch or null.  Repeated keys are reported by
+    ``duplicate_keys``.
     """
-    left = expected.select(*keys, expected_value).withColumn("__l", F.lit(True))
-    right = clean.select(*keys, value).withColumn("__r", F.lit(True))
+    def side(df, col, n, lo, hi, s):
+        v = F.coalesce(X.to_number(col, True), F.lit(0.0))
+        return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(n), F.sum(v).alias(s),
+                                     F.min(v).alias(lo), F.max(v).alias(hi))
+    left = side(expected, expected_value, "expected_rows", "__lmin", "__lmax", expected_value)
+    right = side(clean, value, "clean_rows", "__rmin", "__rmax", value)
     joined = join_on_keys(left, right, keys, how="full_outer")
-    side = (F.when(F.col("__l") & F.col("__r"), "both")
-            .when(F.col("__l"), "left_only").otherwise("right_only"))
-    ev = F.coalesce(X.to_number(expected_value, True), F.lit(0.0))
-    cv = F.coalesce(X.to_number(value, True), F.lit(0.0))
-    out = (joined
-           .withColumn("_merge", side)
-           .withColumn(expected_value, ev)
-           .withColumn(value, cv)
-           .withColumn("vote_diff", F.col(value) - F.col(expected_value))
-           .withColumn("abs_vote_diff", F.abs(F.col("vote_diff")))
-           .drop("__l", "__r"))
+    has_l, has_r = F.col("expected_rows").isNotNull(), F.col("clean_rows").isNotNull()
+    spread = F.greatest(F.col("__rmax") - F.col("__lmin"), F.col("__lmax") - F.col("__rmin"))
+    out = joined.withColumns({
+        "_merge": F.when(has_l & has_r, "both").when(has_l, "left_only")
+        .otherwise("right_only"),
+        "expected_rows": F.coalesce("expected_rows", F.lit(0)),
+        "clean_rows": F.coalesce("clean_rows", F.lit(0)),
+        expected_value: F.coalesce(expected_value, F.lit(0.0)),
+        value: F.coalesce(value, F.lit(0.0)),
+        "vote_diff": F.coalesce(value, F.lit(0.0)) - F.coalesce(expected_value, F.lit(0.0)),
+        "abs_vote_diff": F.when(has_l & has_r, spread).otherwise(
+            F.abs(F.coalesce(value, F.lit(0.0)) - F.coalesce(expected_value, F.lit(0.0))))})
+    out = out.drop("__lmin", "__lmax", "__rmin", "__rmax")
     return out.withColumn(
         "problem_type",
         F.when(F.col("_merge") == "left_only", "missing_from_clean")
@@ -70,18 +84,21 @@ def audit_problems(audit: DataFrame, expected: DataFrame, clean: DataFrame,
 
 def audit_counts(audit: DataFrame, expected: DataFrame, clean: DataFrame,
                  keys: Sequence[str] = CASE_KEYS) -> DataFrame:
-    """One row of reconciliation counts."""
+    """One row of reconciliation counts: rows on each side, rows missing from
+    the clean side and rows extra in it, keys whose values disagree, and
+    repeated keys on each side.  Everything comes from the per-key audit."""
     a = audit.agg(
-        F.count_if(F.col("_merge") != "right_only").alias("expected_raw_candidate_cases"),
-        F.count_if(F.col("_merge") != "left_only").alias("__clean_joined"),
-        F.count_if(F.col("problem_type") == "missing_from_clean").alias("missing_from_clean"),
-        F.count_if(F.col("problem_type") == "extra_in_clean").alias("extra_in_clean"),
-        F.count_if(F.col("problem_type") == "vote_value_mismatch").alias("vote_value_mismatches"))
-    dc = duplicate_keys(clean, keys).agg(F.count(F.lit(1)).alias("duplicate_clean_cases"))
-    de = duplicate_keys(expected, keys).agg(F.count(F.lit(1)).alias("duplicate_expected_cases"))
-    ce = clean.agg(F.count(F.lit(1)).alias("clean_long_cases"))
-    ee = expected.agg(F.count(F.lit(1)).alias("expected_raw_candidate_cases"))
-    return one_row(ee, ce, a.drop("expected_raw_candidate_cases", "__clean_joined"), dc, de)
+        F.sum("expected_rows").alias("expected_raw_candidate_cases"),
+        F.sum("clean_rows").alias("clean_long_cases"),
+        F.sum(F.when(F.col("problem_type") == "missing_from_clean", F.col("expected_rows"))
+              .otherwise(0)).alias("missing_from_clean"),
+        F.sum(F.when(F.col("problem_type") == "extra_in_clean", F.col("clean_rows"))
+              .otherwise(0)).alias("extra_in_clean"),
+        F.count_if(F.col("problem_type") == "vote_value_mismatch").alias("vote_value_mismatches"),
+        F.count_if(F.col("clean_rows") > 1).alias("duplicate_clean_cases"),
+        F.count_if(F.col("expected_rows") > 1).alias("duplicate_expected_cases"))
+    return a.select(*[F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
+                      for c in a.columns])
 
 
 def audit_summary(counts: DataFrame, sources_used: int | None = None,

@@ -429,25 +429,30 @@ def cca_weights(spark, fits: dict, feature: str = "candidate") -> DataFrame:
 
 def cca_scores(spark, feats: Features, fits: dict, key: str = "id_bvote",
                area: str = "num_arrond") -> DataFrame:
-    """M9: left and right canonical variates of every joined station pair.
+    """M9: canonical variates of the station rows that take part in the match.
 
-    Each side is scored on its own rows, then the two are joined on the key;
-    the output is the joined rows themselves (one per matching pair).
+    A joined pair's left variate depends only on its left row and its right
+    variate only on its right row, so each side is scored on its own rows
+    (``side`` = left / right) for the keys present on both sides.  The pair
+    table is their join on ``key``; it is not built here, because a key
+    repeated a and b times would turn into a·b rows.
     """
     out = None
     for (left, right), f in fits.items():
-        sides = []
-        for ds, w, m, suffix in ((left, f.wx, f.mx, "_left"), (right, f.wy, f.my, "_right")):
+        lv = feats.vectors.where(F.col(feats.dataset) == left)
+        rv = feats.vectors.where(F.col(feats.dataset) == right)
+        for ds, w, m, side, mine, other in ((left, f.wx, f.mx, "left", lv, rv),
+                                            (right, f.wy, f.my, "right", rv, lv)):
             ww = w / m.std[:, None]
             ww[m.constant, :] = 0.0
             weights = _weights_table(spark, feats.dataset, {ds: (ww, m.mean @ ww)})
-            v = feats.vectors.where(F.col(feats.dataset) == ds)
-            keep = [key] + ([area] if area in feats.stations and suffix == "_left" else [])
-            sides.append(score(v, feats.dataset, weights, w.shape[1], "CC", keep, suffix))
-        j = sides[0].join(sides[1], [key])
-        j = j.select(F.lit(left).alias("left_election"), F.lit(right).alias("right_election"),
-                     *j.columns)
-        out = j if out is None else out.unionByName(j, allowMissingColumns=True)
+            matched = mine.join(other.select(key).distinct(), [key], "left_semi")
+            keep = [key] + [c for c in feats.stations if c != key and c == area]
+            s = score(matched, feats.dataset, weights, w.shape[1], "CC", keep)
+            s = s.select(F.lit(left).alias("left_election"),
+                         F.lit(right).alias("right_election"), F.lit(side).alias("side"),
+                         *s.columns)
+            out = s if out is None else out.unionByName(s, allowMissingColumns=True)
     return out
 
 

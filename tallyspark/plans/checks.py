@@ -285,19 +285,32 @@ def validation_summary(spark, d):
 # ------------------------------------------------------------ reconciliation
 RECON_KEYS = ("dataset_id", "id_bvote", "candidate_source_column")
 
+def _per_key(src: str) -> str:
+    return f"""
+SELECT dataset_id, id_bvote, candidate_source_column, count(*) AS n,
+       sum(coalesce(v, 0)) AS s, min(coalesce(v, 0)) AS mn, max(coalesce(v, 0)) AS mx
+FROM ({src}) AS x GROUP BY dataset_id, id_bvote, candidate_source_column
+"""
+
+
+EXPECTED_CASES_SQL = (f"SELECT dataset_id, id_bvote, candidate_source_column, votes AS v "
+                      f"FROM ({S.wide_long()}) AS w")
+CLEAN_CASES_SQL = (f"SELECT dataset_id, id_bvote, candidate AS candidate_source_column, "
+                   f"votes AS v FROM ({S.BALLOTS}) AS b")
+
 RECON_SQL = f"""
 SELECT coalesce(e.dataset_id, c.dataset_id) AS dataset_id,
        coalesce(e.id_bvote, c.id_bvote) AS id_bvote,
        coalesce(e.candidate_source_column, c.candidate_source_column) AS candidate_source_column,
-       coalesce(e.expected_votes, 0) AS expected_votes, coalesce(c.votes, 0) AS votes,
-       CASE WHEN e.dataset_id IS NOT NULL AND c.dataset_id IS NOT NULL THEN 'both'
-            WHEN e.dataset_id IS NOT NULL THEN 'left_only' ELSE 'right_only' END AS _merge,
-       coalesce(c.votes, 0) - coalesce(e.expected_votes, 0) AS vote_diff,
-       abs(coalesce(c.votes, 0) - coalesce(e.expected_votes, 0)) AS abs_vote_diff
-FROM (SELECT dataset_id, id_bvote, candidate_source_column, votes AS expected_votes
-      FROM ({S.wide_long()}) AS w) AS e
-FULL OUTER JOIN (SELECT dataset_id, id_bvote, candidate AS candidate_source_column, votes
-                 FROM ({S.BALLOTS}) AS b) AS c
+       coalesce(e.n, 0) AS expected_rows, coalesce(c.n, 0) AS clean_rows,
+       coalesce(e.s, 0) AS expected_votes, coalesce(c.s, 0) AS votes,
+       CASE WHEN e.n IS NOT NULL AND c.n IS NOT NULL THEN 'both'
+            WHEN e.n IS NOT NULL THEN 'left_only' ELSE 'right_only' END AS _merge,
+       coalesce(c.s, 0) - coalesce(e.s, 0) AS vote_diff,
+       CASE WHEN e.n IS NOT NULL AND c.n IS NOT NULL THEN greatest(c.mx - e.mn, e.mx - c.mn)
+            ELSE abs(coalesce(c.s, 0) - coalesce(e.s, 0)) END AS abs_vote_diff
+FROM ({_per_key(EXPECTED_CASES_SQL)}) AS e
+FULL OUTER JOIN ({_per_key(CLEAN_CASES_SQL)}) AS c
   ON e.dataset_id IS NOT DISTINCT FROM c.dataset_id AND e.id_bvote IS NOT DISTINCT FROM c.id_bvote
  AND e.candidate_source_column IS NOT DISTINCT FROM c.candidate_source_column
 """
@@ -329,23 +342,21 @@ def _audit(spark, d):
 @register("reconcile_outer", AUDIT_SQL, ("expected_votes", "votes", "vote_diff", "abs_vote_diff"))
 def reconcile_outer(spark, d):
     """J4 + J7: raw wide cells (expected) against the clean long rows, full
-    outer join on the case keys with null-safe key equality and side markers."""
+    outer join on the case keys (null-safe) of the per-key sides, with side
+    markers; repeated keys are counted, never paired."""
     return _audit(spark, d)[2]
 
 
 @register("audit_problems", f"""
-SELECT problem_type, dataset_id, id_bvote, candidate_source_column, expected_votes, votes,
-       _merge, vote_diff, abs_vote_diff, NULL::BIGINT AS count
+SELECT problem_type, dataset_id, id_bvote, candidate_source_column, expected_rows,
+       expected_votes, clean_rows, votes, _merge, vote_diff, abs_vote_diff, NULL::BIGINT AS count
 FROM ({AUDIT_SQL}) AS a WHERE problem_type IS NOT NULL
 UNION ALL
 SELECT 'duplicate_clean_case', dataset_id, id_bvote, candidate_source_column, NULL, NULL, NULL,
-       NULL, NULL, count(*)
-FROM (SELECT dataset_id, id_bvote, candidate AS candidate_source_column FROM ({S.BALLOTS}) AS b0) AS b
-GROUP BY dataset_id, id_bvote, candidate_source_column HAVING count(*) > 1
+       NULL, NULL, NULL, NULL, n FROM ({_per_key(CLEAN_CASES_SQL)}) AS c WHERE n > 1
 UNION ALL
-SELECT 'duplicate_expected_case', dataset_id, id_bvote, candidate_source_column, NULL, NULL, NULL,
-       NULL, NULL, count(*) FROM ({S.wide_long()}) AS w
-GROUP BY dataset_id, id_bvote, candidate_source_column HAVING count(*) > 1
+SELECT 'duplicate_expected_case', dataset_id, id_bvote, candidate_source_column, NULL, NULL,
+       NULL, NULL, NULL, NULL, NULL, n FROM ({_per_key(EXPECTED_CASES_SQL)}) AS e WHERE n > 1
 """, ("expected_votes", "votes", "vote_diff", "abs_vote_diff"))
 def audit_problems(spark, d):
     """U4 + A6: every problem row tagged with its class, columns a class lacks null."""
@@ -355,17 +366,15 @@ def audit_problems(spark, d):
 
 @register("audit_summary", f"""
 WITH a AS ({AUDIT_SQL}),
-m AS (SELECT (SELECT count(*) FROM ({S.wide_long()}) AS w) AS expected_raw_candidate_cases,
-             (SELECT count(*) FROM ({S.BALLOTS}) AS b) AS clean_long_cases,
-             count_if(problem_type = 'missing_from_clean') AS missing_from_clean,
-             count_if(problem_type = 'extra_in_clean') AS extra_in_clean,
+m AS (SELECT sum(expected_rows) AS expected_raw_candidate_cases,
+             sum(clean_rows) AS clean_long_cases,
+             coalesce(sum(CASE WHEN problem_type = 'missing_from_clean' THEN expected_rows END), 0)
+               AS missing_from_clean,
+             coalesce(sum(CASE WHEN problem_type = 'extra_in_clean' THEN clean_rows END), 0)
+               AS extra_in_clean,
              count_if(problem_type = 'vote_value_mismatch') AS vote_value_mismatches,
-             (SELECT count(*) FROM (SELECT 1 FROM ({S.BALLOTS}) AS b
-                                    GROUP BY dataset_id, id_bvote, candidate
-                                    HAVING count(*) > 1) AS x) AS duplicate_clean_cases,
-             (SELECT count(*) FROM (SELECT 1 FROM ({S.wide_long()}) AS w
-                                    GROUP BY dataset_id, id_bvote, candidate_source_column
-                                    HAVING count(*) > 1) AS x) AS duplicate_expected_cases
+             count_if(clean_rows > 1) AS duplicate_clean_cases,
+             count_if(expected_rows > 1) AS duplicate_expected_cases
       FROM a)
 SELECT * FROM (
   SELECT 'expected_raw_candidate_cases' AS "check", CAST(expected_raw_candidate_cases AS VARCHAR) AS value, 'INFO' AS status FROM m

@@ -146,22 +146,30 @@ def q_cross_correlation(spark, d):
 
 
 @register("cca_join", S.cte(l=S.BALLOTS_LONG) + """
-SELECT a.id_bvote, a.num_arrond AS num_arrond_left, b.num_arrond AS num_arrond_right
-FROM (SELECT DISTINCT id_bvote, num_arrond, nb_inscr FROM l WHERE dataset_id = 'F') a
-JOIN (SELECT DISTINCT id_bvote, num_arrond, nb_inscr FROM l WHERE dataset_id = 'O') b
+SELECT id_bvote, a.n AS left_rows, b.n AS right_rows, a.n * b.n AS joined_rows,
+       a.area AS num_arrond_left, b.area AS num_arrond_right
+FROM (SELECT id_bvote, count(*) AS n, min(num_arrond) AS area
+      FROM (SELECT DISTINCT id_bvote, num_arrond, nb_inscr FROM l WHERE dataset_id = 'F') AS x
+      GROUP BY id_bvote) a
+JOIN (SELECT id_bvote, count(*) AS n, min(num_arrond) AS area
+      FROM (SELECT DISTINCT id_bvote, num_arrond, nb_inscr FROM l WHERE dataset_id = 'O') AS y
+      GROUP BY id_bvote) b
   USING (id_bvote)
 """)
 def q_cca_join(spark, d):
-    """Station rows of two datasets matched on the station id
-    (many-to-many when an id repeats)."""
+    """Station rows of two datasets matched on the station id.  A
+    repeated id matches many-to-many; its pair count a·b is reported, the
+    pairs themselves are not emitted."""
     long = V.ballots_long(spark, d)
     left, right = CCA_PAIRS[0]
     rows = long.select("dataset_id", *STATIONS).distinct()
-    a = rows.where(F.col("dataset_id") == left).select(
-        "id_bvote", F.col("num_arrond").alias("num_arrond_left"))
-    b = rows.where(F.col("dataset_id") == right).select(
-        "id_bvote", F.col("num_arrond").alias("num_arrond_right"))
-    return a.join(b, ["id_bvote"])
+
+    def side(ds, suffix):
+        return (rows.where(F.col("dataset_id") == ds).groupBy("id_bvote")
+                .agg(F.count(F.lit(1)).alias(f"{suffix}_rows"),
+                     F.min("num_arrond").alias(f"num_arrond_{suffix}")))
+    j = side(left, "left").join(side(right, "right"), ["id_bvote"])
+    return j.withColumn("joined_rows", F.col("left_rows") * F.col("right_rows"))
 
 
 # ---------------------------------------------------------------- PCA family

@@ -91,8 +91,12 @@ def test_reconcile_five_problem_types(spark):
         "candidate_source_column string, votes double")
     audit = RC.reconcile_outer(exp, clean, keys)
     kinds = [r.problem_type for r in audit.collect() if r.problem_type]
-    assert sorted(kinds) == ["extra_in_clean", "extra_in_clean", "missing_from_clean",
-                             "missing_from_clean", "missing_from_clean", "vote_value_mismatch"]
+    # one row per key: a repeated key is one row (its rows are counted, not paired)
+    assert sorted(kinds) == ["extra_in_clean", "missing_from_clean", "missing_from_clean",
+                             "vote_value_mismatch"]
+    rep = {r.raw_row_id: r for r in audit.collect()}
+    assert rep[3].expected_rows == 2 and rep[7].clean_rows == 2
+    assert rep[0].problem_type is None                                   # 1e-7 passes
     null_row = audit.where(F.col("dataset_id").isNull()).collect()
     assert len(null_row) == 1 and null_row[0]["_merge"] == "both"        # null keys match
     problems = RC.audit_problems(audit, exp, clean, keys)
@@ -102,6 +106,8 @@ def test_reconcile_five_problem_types(spark):
     summary = {r.check: (r.value, r.status) for r in
                RC.audit_summary(RC.audit_counts(audit, exp, clean, keys), 2, 1).collect()}
     assert summary["vote_value_mismatches"] == ("1", "PROBLEM")
+    assert summary["missing_from_clean"] == ("3", "PROBLEM")            # rows, not keys
+    assert summary["extra_in_clean"] == ("2", "PROBLEM")
     assert summary["duplicate_clean_cases"] == ("1", "PROBLEM")
     assert summary["raw_files_skipped_for_expected_cases"] == ("1", "CHECK")
     assert summary["clean_long_cases"] == ("5", "INFO")

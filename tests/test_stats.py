@@ -125,10 +125,14 @@ def test_cca_matches_dense_with_repeated_ids(spark):
     np.testing.assert_allclose(fit.correlations, c, atol=1e-8)
     assert np.all(np.diff(fit.correlations) <= 1e-12)
     sc = ST.cca_scores(spark, feats, {("L", "R"): fit}).toPandas()
-    assert len(sc) == n + 3
-    # canonical variates have unit variance and correlate at the canonical correlation
+    assert len(sc) == 2 * (n + 1)                  # one row per station row and side
+    # the pair table (built here on the small fixture) has unit-variance
+    # variates that correlate at the canonical correlation
+    pairs = sc[sc.side == "left"].merge(sc[sc.side == "right"], on="id_bvote",
+                                        suffixes=("_left", "_right"))
+    assert len(pairs) == n + 3
     for i in range(3):
-        a, b = sc[f"CC{i + 1}_left"], sc[f"CC{i + 1}_right"]
+        a, b = pairs[f"CC{i + 1}_left"], pairs[f"CC{i + 1}_right"]
         assert abs(a.std(ddof=1) - 1) < 1e-6
         assert abs(np.corrcoef(a, b)[0, 1] - fit.correlations[i]) < 1e-6
 
