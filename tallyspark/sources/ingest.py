@@ -70,11 +70,13 @@ def route_sources(spark: SparkSession, paths: Sequence[str], **shape_args) -> li
     return out
 
 
-def read_with_provenance(spark: SparkSession, path: str) -> DataFrame:
+def read_with_provenance(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """S1 + S4 + S5: scan with ``source_file`` (file name), ``dataset_id`` (name
     without extension) and ``raw_row_id`` (0-based row in the file, from the
-    Parquet row index: stable across retries)."""
-    df = spark.read.parquet(path)
+    Parquet row index: stable across retries).  ``path`` may list several
+    files of one schema; they are read with one scan."""
+    paths = [path] if isinstance(path, str) else list(path)
+    df = spark.read.parquet(*paths)
     return df.select(
         "*",
         F.col("_metadata.file_name").alias("source_file"),
@@ -332,23 +334,33 @@ def report_frame(report: DataFrame, file_col: str = "source_file") -> DataFrame:
     return r.select(*REPORT_COLUMNS)
 
 
-def clean_folder(spark: SparkSession, root: str) -> tuple[DataFrame | None, DataFrame]:
-    """Every source under ``root``: route by shape, read per file, clean, union.
+def clean_folder(spark: SparkSession, root: str, materialize: bool = False
+                 ) -> tuple[DataFrame | None, DataFrame]:
+    """Every source under ``root``: route by shape, clean, union.
 
-    A file whose schema cannot be read becomes an ``error`` report row.
+    Files are grouped by (shape, schema) from their footers, and each group is
+    read with one scan and cleaned with one plan (its rows keep their file in
+    ``source_file`` / ``dataset_id``), so a folder of thousands of files with
+    a handful of schemas gives a handful of plans, not thousands.  A file
+    whose schema cannot be read becomes an ``error`` report row.
     """
     longs, reports = [], []
+    groups: dict[tuple, list[str]] = {}
     for path in list_sources(spark, root):
         name = path.rstrip("/").rsplit("/", 1)[-1]
         try:
-            raw = read_with_provenance(spark, path)
-            long_shape = is_long_shape(raw.columns, name)
-            cleaned, rep = (clean_long(raw) if long_shape else clean_wide(raw))
+            schema = spark.read.parquet(path).schema
         except Exception as exc:  # noqa: BLE001 - reported per file
             reports.append(spark.createDataFrame(
                 [(name, "error", f"{type(exc).__name__}: {str(exc)[:300]}")],
                 "source_file string, status string, reason string"))
             continue
+        shape = "long" if is_long_shape(schema.fieldNames(), name) else "wide"
+        groups.setdefault((shape, schema.json()), []).append(path)
+    for (shape, _), paths in groups.items():
+        raw = read_with_provenance(spark, paths)
+        cleaned, rep = (clean_long(raw, materialize=materialize) if shape == "long"
+                        else clean_wide(raw, materialize=materialize))
         reports.append(report_frame(rep))
         if cleaned is not None:
             longs.append(cleaned)

@@ -100,6 +100,25 @@ def test_clean_folder(spark, raw_dir):
     assert b.vote_share_exprimes == pytest.approx(1.0)       # source inf -> computed 10/10
 
 
+def test_same_schema_files_one_scan(spark):
+    d = tempfile.mkdtemp(prefix="tallyspark-same-")
+    for i, n in ((1, 3), (2, 2)):
+        pd.DataFrame({"id_bvote": [f"{i}-{k}" for k in range(n)], "scrutin": ["x"] * n,
+                      "annee": ["2019"] * n, "tour": ["1"] * n, "num_arrond": ["1"] * n,
+                      "num_bureau": [str(k) for k in range(n)], "nb_inscr": [9.0] * n,
+                      "nb_votant": [8.0] * n, "nb_exprim": [7.0] * n, "A": [3.0] * n,
+                      "B": [4.0] * n}).to_parquet(os.path.join(d, f"elections-europeennes-201{i}.parquet"))
+    long, report = I.clean_folder(spark, d)
+    rep = {r.file: (r.rows_raw, r.rows_clean_long) for r in report.collect()}
+    assert rep == {"elections-europeennes-2011.parquet": (3, 6),
+                   "elections-europeennes-2012.parquet": (2, 4)}
+    ids = sorted((r.dataset_id, r.raw_row_id) for r in
+                 long.select("dataset_id", "raw_row_id").distinct().collect())
+    assert ids == [("elections-europeennes-2011", 0), ("elections-europeennes-2011", 1),
+                   ("elections-europeennes-2011", 2), ("elections-europeennes-2012", 0),
+                   ("elections-europeennes-2012", 1)]
+
+
 def test_exact_median_half_even(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", 4.0), ("a", 9.0),
                                 ("b", 2.0), ("b", 3.0), ("c", None)], "k string, v double")
