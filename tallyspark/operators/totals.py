@@ -25,33 +25,58 @@ def group_total(df: DataFrame, keys: Sequence[str], value: str, out: str) -> Dat
     return join_on_keys(df.drop(out) if out in df.columns else df, totals, keys, how="left")
 
 
-def exact_median(df: DataFrame, keys: Sequence[str], value: str, out: str = "median"
-                 ) -> DataFrame:
+def exact_median(df: DataFrame, keys: Sequence[str], value: str, out: str = "median",
+                 accuracy: int = 10000) -> DataFrame:
     """Exact, interpolated median of ``value`` per group; nulls ignored; groups
     without values are absent.
 
-    Equal values are counted first (map-side combine), so a group costs one row
-    per distinct value.  A running count over the sorted distinct values then
-    finds the middle one or two: the sort spills and the running frame
-    streams, so no group is held whole in memory (unlike ``percentile``, whose
-    buffer keeps every distinct value of a group).  The group size comes from
-    an aggregate joined back, not from a second, buffering window.
+    No group is sorted whole, however large:
+
+    1. equal values are counted (map-side combine): one row per distinct value;
+    2. ``percentile_approx`` (a mergeable sketch of bounded size, partial
+       aggregation) brackets the middle of each group within a rank error of
+       about ``2n/accuracy``;
+    3. one grouped pass counts the values below the bracket and up to its top,
+       which proves whether the bracket holds the two middle ranks; a group
+       whose bracket does not is given its whole range, so the result stays
+       exact;
+    4. a running count over the distinct values inside the bracket (about
+       ``4n/accuracy`` of them) locates the middle one or two.
     """
-    counts = (df.where(F.col(value).isNotNull())
-              .groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c")))
-    sizes = counts.groupBy(*keys).agg(F.sum("__c").alias("__n"))
-    ordered = (Window.partitionBy(*keys).orderBy(value)
+    v = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("__v"))
+    counts = v.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__c"))
+    eps = 2.0 / accuracy
+    sketch = (v.groupBy(*keys)
+              .agg(F.percentile_approx("__v", [max(0.0, 0.5 - eps), min(1.0, 0.5 + eps)],
+                                       accuracy).alias("__q"))
+              .select(*keys, F.col("__q")[0].alias("__qlo"), F.col("__q")[1].alias("__qhi")))
+    placed = join_on_keys(counts, sketch, keys, how="inner")
+    n = F.col("__n")
+    lo_rank, hi_rank = F.floor((n - 1) / 2), F.ceil((n - 1) / 2)
+    bounds = (placed.groupBy(*keys)
+              .agg(F.sum("__c").alias("__n"), F.first("__qlo").alias("__qlo"),
+                   F.first("__qhi").alias("__qhi"),
+                   F.coalesce(F.sum(F.when(F.col("__v") < F.col("__qlo"), F.col("__c"))),
+                              F.lit(0)).alias("__below"),
+                   F.coalesce(F.sum(F.when(F.col("__v") <= F.col("__qhi"), F.col("__c"))),
+                              F.lit(0)).alias("__upto")))
+    holds = (F.col("__below") <= lo_rank) & (hi_rank < F.col("__upto"))
+    bounds = bounds.select(*keys, "__n",
+                           F.when(holds, F.col("__qlo")).alias("__lo"),
+                           F.when(holds, F.col("__qhi")).alias("__hi"),
+                           F.when(holds, F.col("__below")).otherwise(F.lit(0)).alias("__base"))
+    inside = F.col("__lo").isNull() | ((F.col("__v") >= F.col("__lo"))
+                                       & (F.col("__v") <= F.col("__hi")))
+    cand = join_on_keys(counts, bounds, keys, how="inner").where(inside)
+    ordered = (Window.partitionBy(*keys).orderBy("__v")
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranked = join_on_keys(counts.withColumn("__end", F.sum("__c").over(ordered)), sizes,
-                          keys, how="inner")
+    ranked = cand.withColumn("__end", F.col("__base") + F.sum("__c").over(ordered))
     start = F.col("__end") - F.col("__c")
-    lo = F.floor((F.col("__n") - 1) / 2)
-    hi = F.ceil((F.col("__n") - 1) / 2)
-    covers_lo = (start <= lo) & (lo < F.col("__end"))
-    covers_hi = (start <= hi) & (hi < F.col("__end"))
+    covers_lo = (start <= lo_rank) & (lo_rank < F.col("__end"))
+    covers_hi = (start <= hi_rank) & (hi_rank < F.col("__end"))
     return (ranked.groupBy(*keys)
-            .agg(((F.max(F.when(covers_lo, F.col(value))) +
-                   F.max(F.when(covers_hi, F.col(value)))) / 2.0).alias(out)))
+            .agg(((F.max(F.when(covers_lo, F.col("__v"))) +
+                   F.max(F.when(covers_hi, F.col("__v")))) / 2.0).alias(out)))
 
 
 def vote_shares(df: DataFrame, votes: str = "votes", expressed: str = "nb_exprim",

@@ -185,3 +185,17 @@ def test_export_by_key_roundtrip(spark):
     assert "dataset_key=a_b" in keys and "dataset_key=unknown" in keys
     back = spark.read.option("header", True).option("basePath", path).csv(path)
     assert back.where(F.col("dataset_key") == "a_b").count() == 2
+
+
+def test_exact_median_bracketed_large_group(spark):
+    """A group far larger than the sketch accuracy: the bracket path must give
+    numpy's exact median; a tiny accuracy forces the whole-range fallback."""
+    import numpy as np
+    rng = np.random.default_rng(7)
+    vals = np.round(rng.normal(100, 30, 20001), 3)
+    rows = [("hot", float(x)) for x in vals] + [("small", 1.0), ("small", 4.0)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    for acc in (100, 10000, 1):
+        med = {r.k: r.m for r in TT.exact_median(df, ["k"], "v", "m", accuracy=acc).collect()}
+        assert med["hot"] == float(np.median(vals))
+        assert med["small"] == 2.5
