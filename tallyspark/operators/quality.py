@@ -87,6 +87,21 @@ def row_problem_flags(long: DataFrame, candidate: str = "candidate", votes: str
                       share_registered: str = "vote_share_registered",
                       tokens: Sequence[str] = fixed.MISSING_TOKENS_WIDE) -> DataFrame:
     """Per-row problem flags of the long family and ``row_ok``."""
+    df, dup_keys = _row_flags(long, candidate, votes, station_ids, duplicate_keys,
+                              share_expressed, share_registered, tokens)
+    if dup_keys:
+        df = duplicate_flag(df, dup_keys, "duplicate_candidate_row")
+    else:
+        df = df.withColumn("duplicate_candidate_row", F.lit(True))
+    any_problem = F.lit(False)
+    for p in ROW_PROBLEMS:
+        any_problem = any_problem | F.col(p)
+    return df.withColumn("row_ok", ~any_problem)
+
+
+def _row_flags(long, candidate, votes, station_ids, duplicate_keys, share_expressed,
+               share_registered, tokens):
+    """The six per-row flags (all but the duplicate one) and the duplicate keys."""
     df = long.withColumn("votes_numeric", X.to_number(votes, True))
     present = [c for c in station_ids if c in df.columns]
     missing_id = F.lit(True)
@@ -105,14 +120,43 @@ def row_problem_flags(long: DataFrame, candidate: str = "candidate", votes: str
     dup_keys = [c for c in duplicate_keys if c in df.columns]
     if "candidate_source_column" not in dup_keys and candidate in df.columns:
         dup_keys.append(candidate)
-    if dup_keys:
-        df = duplicate_flag(df, dup_keys, "duplicate_candidate_row")
-    else:
-        df = df.withColumn("duplicate_candidate_row", F.lit(True))
-    any_problem = F.lit(False)
-    for p in ROW_PROBLEMS:
-        any_problem = any_problem | F.col(p)
-    return df.withColumn("row_ok", ~any_problem)
+    return df, dup_keys
+
+
+def row_problem_counts_from_rows(long: DataFrame, prefix: str = "municipal_",
+                                 candidate: str = "candidate", votes: str = "votes",
+                                 station_ids: Sequence[str] = ("id_bvote", "source_bv_id"),
+                                 duplicate_keys: Sequence[str] = ("dataset_id", "source_file",
+                                                                  "raw_row_id",
+                                                                  "candidate_source_column"),
+                                 share_expressed: str = "vote_share_exprimes",
+                                 share_registered: str = "vote_share_registered",
+                                 tokens: Sequence[str] = fixed.MISSING_TOKENS_WIDE
+                                 ) -> DataFrame:
+    """A9 without flagging rows one by one: the same counts as
+    ``row_problem_counts(row_problem_flags(long))`` from one grouped pass.
+
+    Rows are counted per duplicate key with a map-side combine; a key with
+    n > 1 rows makes n duplicate rows, all of them with a problem.  No join
+    back to the rows is needed.
+    """
+    df, dup_keys = _row_flags(long, candidate, votes, station_ids, duplicate_keys,
+                              share_expressed, share_registered, tokens)
+    single = [p for p in ROW_PROBLEMS if p != "duplicate_candidate_row"]
+    other = F.lit(False)
+    for p in single:
+        other = other | F.col(p)
+    per_key = df.groupBy(*dup_keys).agg(
+        F.count(F.lit(1)).alias("__n"), F.count_if(other).alias("__other"),
+        *[F.count_if(F.col(p)).alias(p) for p in single])
+    dup = F.col("__n") > 1
+    return per_key.agg(
+        F.coalesce(F.sum("__n"), F.lit(0)).alias(f"{prefix}rows"),
+        *[F.coalesce(F.sum(p), F.lit(0)).alias(f"{prefix}{p}") for p in single],
+        F.coalesce(F.sum(F.when(dup, F.col("__n")).otherwise(0)), F.lit(0))
+        .alias(f"{prefix}duplicate_candidate_rows"),
+        F.coalesce(F.sum(F.when(dup, F.col("__n")).otherwise(F.col("__other"))), F.lit(0))
+        .alias(f"{prefix}rows_with_any_problem"))
 
 
 def row_problem_counts(flags: DataFrame, prefix: str = "municipal_") -> DataFrame:

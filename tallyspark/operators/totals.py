@@ -115,6 +115,31 @@ def reconstruct_registered(df: DataFrame, keys: Sequence[str], votes: str = "vot
     return join_on_keys(df.drop(out) if out in df.columns else df, med, keys, how="left")
 
 
+def rebuild_station_totals(df: DataFrame, keys: Sequence[str], votes: str = "votes",
+                           share: str = "vote_share_registered", expressed: str = "nb_exprim",
+                           registered: str = "nb_inscr") -> DataFrame:
+    """Both rebuilt totals of a long-family station on every row: expressed =
+    sum of votes, registered = half-even rounded median of votes / registered
+    share over rows with a positive share (null without a share column).
+
+    The two station-level results are joined to each other first (one row
+    per station), then to the rows once.
+    """
+    v = X.to_number(votes, True)
+    station = df.groupBy(*keys).agg(F.coalesce(F.sum(v), F.lit(0.0)).alias(expressed))
+    if share in df.columns:
+        s = X.to_number(share, True)
+        est = df.select(*keys, F.when(s.isNotNull() & (s > 0), F.try_divide(v, s))
+                        .alias("__est"))
+        med = exact_median(est, keys, "__est", "__m").select(
+            *keys, F.bround("__m", 0).alias(registered))
+        station = join_on_keys(station, med, keys, how="left")
+    else:
+        station = station.withColumn(registered, F.lit(None).cast("double"))
+    rows = df.drop(*[c for c in (expressed, registered) if c in df.columns])
+    return join_on_keys(rows.withColumn(votes, v), station, keys, how="left")
+
+
 def backcalc_totals(df: DataFrame, keys: Sequence[str], count: str,
                     percents: dict[str, str]) -> DataFrame:
     """Per group and per output name, the median of ``count / (pct/100)`` over

@@ -238,9 +238,8 @@ SELECT count(*) AS municipal_rows,
 FROM ({FLAGS_SQL}) AS f
 """)
 def row_problem_counts(spark, d):
-    """Number of rows with each problem."""
-    return Q.row_problem_counts(Q.row_problem_flags(V.lines(spark, d),
-                                                    duplicate_keys=LINE_KEYS))
+    """Number of rows with each problem (one grouped pass, no join back)."""
+    return Q.row_problem_counts_from_rows(V.lines(spark, d), duplicate_keys=LINE_KEYS)
 
 
 @register("clean_sample", f"""
@@ -275,11 +274,11 @@ def validation_summary(spark, d):
     wide_check = Q.wide_range_check_long(long, PIVOT_INDEX)
     reports = Q.cleaning_report([I.report_frame(report),
                                  I.report_frame(lines_report)]).checkpoint()
-    flags = Q.row_problem_flags(long.where("is_municipal"), duplicate_keys=LINE_KEYS)
     return Q.validation_summary(
         long, wide_check, reports, Q.row_count_check(reports, long),
         Q.station_vote_check(long.where(~F.col("is_municipal"))),
-        Q.row_problem_counts(flags), Q.suspicious_names(long))
+        Q.row_problem_counts_from_rows(long.where("is_municipal"), duplicate_keys=LINE_KEYS),
+        Q.suspicious_names(long))
 
 
 # ------------------------------------------------------------ reconciliation

@@ -287,11 +287,7 @@ def clean_long(df: DataFrame, group: Sequence[str] = ("dataset_id", "source_file
                ("votes", "vote_share_exprimes", "vote_share_registered") if c in df.columns}
     kept = kept.withColumns({c: X.to_number(c, n) for c, n in numeric.items()})
     keys = [g for g in group if g == "dataset_id"] + ["id_bvote"]
-    out = TT.reconstruct_expressed(kept, keys)
-    if "vote_share_registered" in out.columns:
-        out = TT.reconstruct_registered(out, keys)
-    else:
-        out = out.withColumn("nb_inscr", F.lit(None).cast("double"))
+    out = TT.rebuild_station_totals(kept, keys)
     # Totals the long family does not carry, and the shares: the source share
     # when finite, else votes over the rebuilt total.
     added = {c: F.lit(None).cast("double") for c in
