@@ -24,17 +24,40 @@ def station_vote_check(long: DataFrame, keys: Sequence[str] = STATION_CHECK_KEYS
                        expressed: str = "nb_exprim",
                        vote_tolerance: float = fixed.EXPRESSED_VOTE_TOLERANCE,
                        share_tolerance: float = fixed.SHARE_SUM_TOLERANCE,
-                       scope: str = "source_total_check") -> DataFrame:
+                       scope: str = "source_total_check",
+                       stations: DataFrame | None = None,
+                       station_key: Sequence[str] | None = None) -> DataFrame:
     """Per station: sum of candidate votes against the reported total.
 
     Null keys form a group.  A null total fails the vote check and passes the
     share check (no share can be computed).
+
+    When the station attributes live in their own table, pass it as
+    ``stations`` with the join key ``station_key``: the candidate rows are then
+    summed per station first (map-side combine) and joined to the stations
+    afterwards, so the join moves one row per station instead of one per
+    candidate row; ``keys`` then names the station columns to keep.
     """
+    if stations is not None:
+        station_key = list(station_key)
+        sums = (long.groupBy(*station_key)
+                .agg(F.coalesce(F.sum(X.to_number(votes, True)), F.lit(0.0))
+                     .alias("candidate_votes_sum"),
+                     F.countDistinct(candidate).alias("candidate_count")))
+        keys = [k for k in keys if k in stations.columns]
+        checks = join_on_keys(sums, stations, station_key, how="inner").select(
+            *keys, "candidate_votes_sum", "candidate_count")
+        return _station_metrics(checks, expressed, vote_tolerance, share_tolerance, scope)
     keys = [k for k in keys if k in long.columns]
     checks = (long.groupBy(*keys)
               .agg(F.coalesce(F.sum(X.to_number(votes, True)), F.lit(0.0))
                    .alias("candidate_votes_sum"),
                    F.countDistinct(candidate).alias("candidate_count")))
+    return _station_metrics(checks, expressed, vote_tolerance, share_tolerance, scope)
+
+
+def _station_metrics(checks: DataFrame, expressed: str, vote_tolerance: float,
+                     share_tolerance: float, scope: str) -> DataFrame:
     total = X.to_number(expressed, True)
     diff = F.col("candidate_votes_sum") - total
     share_sum = F.try_divide(F.col("candidate_votes_sum"), F.when(total != 0, total))

@@ -105,7 +105,10 @@ FROM (SELECT *, CASE WHEN nb_exprim <> 0 THEN candidate_votes_sum / nb_exprim EN
 
 
 def _station_check(spark, d):
-    return Q.station_vote_check(V.receipts(spark, d), ["dataset_id", "id_bvote", "nb_exprim"])
+    """Lines are summed per order before the orders are joined in."""
+    return Q.station_vote_check(V.receipt_lines(spark, d),
+                                ["dataset_id", "id_bvote", "nb_exprim"],
+                                stations=V.receipt_orders(spark, d), station_key=["order_key"])
 
 
 @register("station_vote_check", STATION_CHECK_SQL, STATION_DOUBLES)

@@ -138,6 +138,22 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --------------------------------------------------------------- receipts
+def receipt_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidate rows of the receipts binding: one per order line."""
+    amount = F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("order_key"),
+        F.col("l_linenumber").cast("string").alias("candidate"), amount.alias("votes"))
+
+
+def receipt_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Station rows of the receipts binding: one per order with its total."""
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("order_key"), F.col("o_orderstatus").alias("dataset_id"),
+        F.col("o_orderkey").cast("string").alias("id_bvote"),
+        F.col("o_totalprice").alias("nb_exprim"))
+
+
 def receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines against the order's reported total."""
     li = table(spark, sf_dir, "lineitem")

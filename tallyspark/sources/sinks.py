@@ -6,7 +6,6 @@ import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..functions import expr as X
 from ..session import ensure_checkpoint_dir
