@@ -72,8 +72,9 @@ SELECT r.dataset_id || '.parquet' AS file, r.rows_raw, 11 AS columns_raw,
        CAST(coalesce(n.candidate_columns, 0) AS INTEGER) AS candidate_columns,
        n.candidate_column_names
 FROM (SELECT dataset_id, count(*) AS rows_raw,
-             count_if(NOT (id_bvote IS NULL OR lower(trim(id_bvote)) IN ('', 'nan', 'none', '<na>'))
-                      AND nb_exprim IS NOT NULL AND NOT isnan(nb_exprim)) AS rows_after_key_filter
+             CAST(count_if(NOT (id_bvote IS NULL OR lower(trim(id_bvote)) IN ('', 'nan', 'none', '<na>'))
+                      AND nb_exprim IS NOT NULL AND NOT isnan(nb_exprim)) AS BIGINT)
+               AS rows_after_key_filter
       FROM ({S.BALLOTS_WIDE}) AS w GROUP BY ALL) AS r
 LEFT JOIN (SELECT dataset_id, count(*) AS candidate_columns,
                   string_agg(lower("column"), ' | '
@@ -167,14 +168,13 @@ LINE_KEYS = ("dataset_id", "source_file", "raw_row_id", "candidate_source_column
 
 
 @register("drop_invalid_rows", f"""
-SELECT dataset_id, count(*) AS rows_raw,
-       count_if(NOT (id_bvote IS NULL OR lower(trim(id_bvote)) IN ('', 'nan', 'none', '<na>'))
-                AND NOT (candidate IS NULL OR lower(trim(candidate)) IN ('', 'nan', 'none', '<na>'))
-                AND votes IS NOT NULL AND NOT isnan(votes)) AS rows_after_key_filter,
-       count(*) - count_if(NOT (id_bvote IS NULL OR lower(trim(id_bvote)) IN ('', 'nan', 'none', '<na>'))
-                AND NOT (candidate IS NULL OR lower(trim(candidate)) IN ('', 'nan', 'none', '<na>'))
-                AND votes IS NOT NULL AND NOT isnan(votes)) AS rows_dropped_missing_keys
-FROM ({S.LINES}) AS l GROUP BY ALL
+SELECT dataset_id, rows_raw, rows_after_key_filter,
+       rows_raw - rows_after_key_filter AS rows_dropped_missing_keys
+FROM (SELECT dataset_id, count(*) AS rows_raw,
+             CAST(count_if(NOT (id_bvote IS NULL OR lower(trim(id_bvote)) IN ('', 'nan', 'none', '<na>'))
+                  AND NOT (candidate IS NULL OR lower(trim(candidate)) IN ('', 'nan', 'none', '<na>'))
+                  AND votes IS NOT NULL AND NOT isnan(votes)) AS BIGINT) AS rows_after_key_filter
+      FROM ({S.LINES}) AS l GROUP BY ALL) AS c
 """)
 def drop_invalid_rows(spark, d):
     """F1 + F2: rows kept and dropped by the key filter, per dataset."""
@@ -226,15 +226,16 @@ def row_problem_flags(spark, d):
 
 @register("row_problem_counts", f"""
 SELECT count(*) AS municipal_rows,
-       count_if(missing_candidate) AS municipal_missing_candidate,
-       count_if(missing_votes) AS municipal_missing_votes,
-       count_if(negative_votes) AS municipal_negative_votes,
-       count_if(missing_booth_id) AS municipal_missing_booth_id,
-       count_if(vote_share_exprimes_out_of_range) AS municipal_vote_share_exprimes_out_of_range,
-       count_if(vote_share_registered_out_of_range)
+       CAST(count_if(missing_candidate) AS BIGINT) AS municipal_missing_candidate,
+       CAST(count_if(missing_votes) AS BIGINT) AS municipal_missing_votes,
+       CAST(count_if(negative_votes) AS BIGINT) AS municipal_negative_votes,
+       CAST(count_if(missing_booth_id) AS BIGINT) AS municipal_missing_booth_id,
+       CAST(count_if(vote_share_exprimes_out_of_range) AS BIGINT)
+         AS municipal_vote_share_exprimes_out_of_range,
+       CAST(count_if(vote_share_registered_out_of_range) AS BIGINT)
          AS municipal_vote_share_registered_out_of_range,
-       count_if(duplicate_candidate_row) AS municipal_duplicate_candidate_rows,
-       count_if(NOT row_ok) AS municipal_rows_with_any_problem
+       CAST(count_if(duplicate_candidate_row) AS BIGINT) AS municipal_duplicate_candidate_rows,
+       CAST(count_if(NOT row_ok) AS BIGINT) AS municipal_rows_with_any_problem
 FROM ({FLAGS_SQL}) AS f
 """)
 def row_problem_counts(spark, d):

@@ -33,10 +33,17 @@ def test_every_query_has_a_builder():
     assert len(q) >= 60
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                 "boolean": "BOOLEAN", "date": "DATE", "smallint": "SMALLINT", "float": "FLOAT"}
+
+
 @pytest.mark.parametrize("name", sorted(E.oracle_sql()))
 def test_query_matches_oracle(spark, con, name):
     sdf = E.queries()[name](spark, SF)
     cols = sorted(sdf.columns)
+    stypes = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString()) for f in sdf.schema.fields}
+    rel = con.sql(E.oracle_sql()[name])
+    assert stypes == {c: str(t) for c, t in zip(rel.columns, rel.types)}
     srows = [tuple(r[c] for c in cols) for r in sdf.collect()]
     res = con.execute(E.oracle_sql()[name])
     dcols = [d[0] for d in res.description]
