@@ -34,7 +34,8 @@ def test_every_query_has_a_builder():
 
 
 SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
-                 "boolean": "BOOLEAN", "date": "DATE", "smallint": "SMALLINT", "float": "FLOAT"}
+                 "boolean": "BOOLEAN", "date": "DATE", "smallint": "SMALLINT", "float": "FLOAT",
+                 "timestamp_ntz": "TIMESTAMP"}
 
 
 @pytest.mark.parametrize("name", sorted(E.oracle_sql()))
