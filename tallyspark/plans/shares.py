@@ -147,14 +147,21 @@ def pivot_shares(spark, d):
 
 
 @register("pivot_votes", f"""
-SELECT * FROM ({_pivot_sql(S.PURCHASES, ("dataset_id", "id_bvote"), "votes")}) AS w
+SELECT m.dataset_id, m.id_bvote, m.num_arrond, w.* EXCLUDE (dataset_id, id_bvote)
+FROM (SELECT dataset_id, id_bvote, num_arrond FROM (
+        SELECT *, row_number() OVER (PARTITION BY dataset_id, id_bvote ORDER BY num_arrond) AS rn
+        FROM ({S.PURCHASES}) AS p) AS t WHERE rn = 1) AS m
+LEFT JOIN ({_pivot_sql(S.PURCHASES, ("dataset_id", "id_bvote"), "votes")}) AS w
+  USING (dataset_id, id_bvote)
 """, raw_sql=True)
 def pivot_votes(spark, d):
-    """R4 + J2: votes per (dataset, station) pivoted by candidate, absent -> 0,
-    joined back to one metadata row per station."""
+    """R4 + J2 + W5: votes per (dataset, station) pivoted by candidate (absent
+    -> 0), attached by a left join to one metadata row per station."""
     long = V.purchases(spark, d)
-    wide = R.pivot_sum(long, ["dataset_id", "id_bvote"], "candidate", "votes")
-    return wide
+    keys = ["dataset_id", "id_bvote"]
+    meta = Q.first_per_key(long.select(*keys, "num_arrond"), keys, ["num_arrond"])
+    wide = R.pivot_sum(long, keys, "candidate", "votes")
+    return meta.join(wide, keys, "left")
 
 
 @register("available_sets", f"""

@@ -199,3 +199,12 @@ def test_exact_median_bracketed_large_group(spark):
         med = {r.k: r.m for r in TT.exact_median(df, ["k"], "v", "m", accuracy=acc).collect()}
         assert med["hot"] == float(np.median(vals))
         assert med["small"] == 2.5
+
+
+def test_export_tables_skips_absent(spark):
+    root = K.scratch_path(spark, "test-tables")
+    a = spark.createDataFrame([(1, "x")], "k int, v string")
+    done = K.export_tables({"long": a, "wide": None}, root)
+    assert set(done) == {"long"}
+    back = spark.read.option("header", True).csv(done["long"])
+    assert [tuple(r) for r in back.collect()] == [("1", "x")]
