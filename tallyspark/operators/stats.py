@@ -176,11 +176,23 @@ def _collect_features(feats: Features) -> dict[str, list[str]]:
     return names
 
 
-def fit_pca(feats: Features, n_components: int = 4) -> dict[str, PCAFit]:
+def fit_pca(feats: Features, n_components: int = 4,
+            datasets: Sequence[str] | None = None) -> dict[str, PCAFit]:
     """M4 + M5: per dataset, eigen-decomposition of the standardised
-    covariance; loadings signed so the largest entry is positive."""
+    covariance; loadings signed so the largest entry is positive.
+
+    ``datasets`` restricts the fit to those slices (F5): an unknown or empty
+    one raises ``ValueError``.  By default every dataset is fitted from the
+    same grouped job.
+    """
     names = _collect_features(feats)
-    sums = gram(feats.vectors, [feats.dataset]).collect()
+    vectors = feats.vectors
+    if datasets is not None:
+        missing = sorted(set(datasets) - set(names))
+        if missing:
+            raise ValueError(f"Unknown dataset_id: {', '.join(missing)}")
+        vectors = vectors.where(F.col(feats.dataset).isin(*datasets))
+    sums = gram(vectors, [feats.dataset]).collect()
     fits = {}
     for r in sums:
         ds, n = r[feats.dataset], int(r["n"])

@@ -163,3 +163,14 @@ def test_cca_degenerate_two_share_blocks(spark):
     assert abs(fit.correlations[0] - r) < 1e-6
     assert fit.correlations[1] < 1e-6
     assert not fit.degenerate[0] and fit.degenerate[1]
+
+
+def test_pca_single_slice_and_unknown(spark):
+    rng = np.random.default_rng(8)
+    long = _long_from_matrix(spark, rng.random((10, 3)), "A").unionByName(
+        _long_from_matrix(spark, rng.random((12, 3)), "B"))
+    feats = ST.feature_vectors(long, "dataset_id", ["id_bvote"], "candidate", "v",
+                               min_total=0.0)
+    assert set(ST.fit_pca(feats, 2, datasets=["B"])) == {"B"}
+    with pytest.raises(ValueError, match="Unknown dataset_id"):
+        ST.fit_pca(feats, 2, datasets=["Z"])
