@@ -258,7 +258,139 @@ def clean_sample(spark, d):
     return Q.clean_sample(V.lines(spark, d), order)
 
 
-@register("validation_summary")
+_MISS = "('', 'nan', 'none', '<na>')"
+_MISS_W = "('', 'nan', 'none', '<na>', 'null')"
+
+
+def _oor_sql(x):
+    return f"({x} IS NULL OR {x} < -1e-9 OR {x} > 1 + 1e-9)"
+
+
+def _ratio_sql(a, b):
+    return f"CASE WHEN {b} <> 0 AND isfinite({a} / {b}) THEN {a} / {b} END"
+
+
+VALIDATION_SQL = f"""
+WITH
+wl AS ({S.wide_long()}),
+wfam AS (SELECT dataset_id, dataset_id || '.parquet' AS source_file, id_bvote, num_arrond,
+                nb_inscr, nb_exprim, lower(candidate_source_column) AS candidate, votes,
+                {_ratio_sql("votes", "nb_exprim")} AS vote_share_exprimes
+         FROM wl),
+lk AS (SELECT *, trim(source_bv_id) AS k FROM ({S.LINES}) AS l),
+lkept AS (SELECT * FROM lk
+          WHERE NOT (k IS NULL OR lower(k) IN {_MISS})
+            AND NOT (candidate IS NULL OR lower(trim(candidate)) IN {_MISS})
+            AND votes IS NOT NULL AND NOT isnan(votes)),
+lst AS (SELECT dataset_id, k, coalesce(sum(votes), 0) AS nb_exprim,
+               round_even(median(CASE WHEN vote_share_registered > 0
+                                      THEN votes / vote_share_registered END), 0) AS nb_inscr
+        FROM lkept GROUP BY ALL),
+lfam AS (SELECT a.dataset_id, a.source_file, a.raw_row_id, a.k AS id_bvote, a.k AS source_bv_id,
+                NULLIF(regexp_extract(a.k, '^(\\d{{5}})_(\\d{{2}})(\\d{{2}})$', 2), '') AS num_arrond,
+                a.candidate, a.candidate AS candidate_source_column, a.votes,
+                s.nb_exprim, s.nb_inscr,
+                coalesce(CASE WHEN isfinite(a.vote_share_exprimes) THEN a.vote_share_exprimes END,
+                         {_ratio_sql("a.votes", "s.nb_exprim")}) AS vote_share_exprimes,
+                coalesce(CASE WHEN isfinite(a.vote_share_registered) THEN a.vote_share_registered END,
+                         {_ratio_sql("a.votes", "s.nb_inscr")}) AS vote_share_registered
+         FROM lkept a JOIN lst s ON a.dataset_id IS NOT DISTINCT FROM s.dataset_id
+                                AND a.k IS NOT DISTINCT FROM s.k),
+u AS (SELECT dataset_id, source_file, id_bvote, num_arrond, nb_inscr, nb_exprim, candidate,
+             vote_share_exprimes FROM wfam
+      UNION ALL
+      SELECT dataset_id, source_file, id_bvote, num_arrond, nb_inscr, nb_exprim, candidate,
+             vote_share_exprimes FROM lfam),
+cells AS (SELECT dataset_id, id_bvote, num_arrond, nb_inscr, nb_exprim, candidate,
+                 coalesce(sum(vote_share_exprimes), 0) AS s
+          FROM u WHERE candidate IS NOT NULL GROUP BY ALL),
+wc AS (SELECT count(*) AS wide_rows, coalesce(sum(lo), 0) AS below, coalesce(sum(hi), 0) AS above
+       FROM (SELECT dataset_id, id_bvote, num_arrond, nb_inscr, nb_exprim,
+                    count_if(s < -1e-9) AS lo, count_if(s > 1 + 1e-9) AS hi
+             FROM cells GROUP BY ALL) AS x),
+nc AS (SELECT count(DISTINCT candidate) AS n FROM u WHERE candidate IS NOT NULL),
+st AS (SELECT count_if(NOT coalesce(abs(t - nb_exprim) <= 0.5, false)) AS vote_mis,
+              count_if(NOT (abs(r - 1) IS NULL OR abs(r - 1) <= 0.005)) AS share_mis
+       FROM (SELECT *, CASE WHEN nb_exprim <> 0 THEN t / nb_exprim END AS r
+             FROM (SELECT dataset_id, source_file, id_bvote, num_arrond, nb_inscr, nb_exprim,
+                          coalesce(sum(votes), 0) AS t
+                   FROM wfam GROUP BY ALL) AS g) AS h),
+lf AS (SELECT *, (candidate IS NULL OR lower(trim(candidate)) IN {_MISS_W}) AS f_cand,
+              votes IS NULL AS f_votes, coalesce(votes < 0, false) AS f_neg,
+              ((id_bvote IS NULL OR lower(trim(id_bvote)) IN {_MISS_W})
+               AND (source_bv_id IS NULL OR lower(trim(source_bv_id)) IN {_MISS_W})) AS f_id,
+              {_oor_sql("vote_share_exprimes")} AS f_se,
+              {_oor_sql("vote_share_registered")} AS f_sr
+       FROM lfam),
+lkeys AS (SELECT count(*) AS n, count_if(f_cand) AS c1, count_if(f_votes) AS c2,
+                 count_if(f_neg) AS c3, count_if(f_id) AS c4, count_if(f_se) AS c5,
+                 count_if(f_sr) AS c6,
+                 count_if(f_cand OR f_votes OR f_neg OR f_id OR f_se OR f_sr) AS other
+          FROM lf GROUP BY dataset_id, source_file, raw_row_id, candidate_source_column),
+mc AS (SELECT sum(n) AS rows, sum(c1) AS c1, sum(c2) AS c2, sum(c3) AS c3, sum(c4) AS c4,
+              sum(c5) AS c5, sum(c6) AS c6,
+              sum(CASE WHEN n > 1 THEN n ELSE 0 END) AS dup,
+              sum(CASE WHEN n > 1 THEN n ELSE other END) AS anyp
+       FROM lkeys),
+wrep AS (SELECT w.source_file, w.kept * d.ncand AS expected, coalesce(a.actual, 0) AS actual,
+                d.ncand
+         FROM (SELECT dataset_id || '.parquet' AS source_file, count(*) AS kept
+               FROM ({S.BALLOTS_WIDE}) AS b GROUP BY ALL) AS w
+         JOIN (SELECT dataset_id || '.parquet' AS source_file, count(*) AS ncand
+               FROM ({S.detected()}) AS dd WHERE numeric_ratio >= 0.8 GROUP BY ALL) AS d
+           USING (source_file)
+         LEFT JOIN (SELECT source_file, count(*) AS actual FROM wfam GROUP BY ALL) AS a
+           USING (source_file)),
+rc AS (SELECT count_if(expected <> actual) AS problems FROM wrep),
+m AS (SELECT (SELECT count(*) FROM u) AS long_rows, (SELECT count(*) FROM wfam) AS nonmuni,
+             (SELECT rows FROM mc) AS muni, wc.wide_rows, nc.n AS ncand, wc.below, wc.above,
+             st.vote_mis, st.share_mis, rc.problems, mc.*
+      FROM wc, nc, st, rc, mc)
+SELECT "check", value, status FROM (
+  SELECT 1 AS o, 'long_table_exists' AS "check", 'True' AS value, 'OK' AS status
+  UNION ALL SELECT 2, 'wide_table_exists', 'True', 'OK'
+  UNION ALL SELECT 3, 'long_rows', CAST(long_rows AS VARCHAR), 'INFO' FROM m
+  UNION ALL SELECT 4, 'long_columns', '28', 'INFO'
+  UNION ALL SELECT 5, 'non_municipal_rows', CAST(nonmuni AS VARCHAR), 'INFO' FROM m
+  UNION ALL SELECT 6, 'municipal_rows', CAST(muni AS VARCHAR), 'INFO' FROM m
+  UNION ALL SELECT 7, 'wide_rows', CAST(wide_rows AS VARCHAR), 'INFO' FROM m
+  UNION ALL SELECT 8, 'wide_columns', CAST(ncand + 5 AS VARCHAR), 'INFO' FROM m
+  UNION ALL SELECT 9, 'wide_candidate_columns', CAST(ncand AS VARCHAR), 'INFO' FROM m
+  UNION ALL SELECT 10, 'missing_core_long_columns', '', 'OK'
+  UNION ALL SELECT 11, 'row_count_problems', CAST(problems AS VARCHAR),
+                   CASE WHEN problems = 0 THEN 'OK' ELSE 'PROBLEM' END FROM m
+  UNION ALL SELECT 12, 'source_expressed_vote_mismatches', CAST(vote_mis AS VARCHAR),
+                   CASE WHEN vote_mis = 0 THEN 'OK' WHEN vote_mis <= 5 THEN 'CHECK' ELSE 'PROBLEM' END FROM m
+  UNION ALL SELECT 13, 'source_vote_share_sum_mismatches', CAST(share_mis AS VARCHAR),
+                   CASE WHEN share_mis = 0 THEN 'OK' WHEN share_mis <= 5 THEN 'CHECK' ELSE 'PROBLEM' END FROM m
+  UNION ALL SELECT 14, 'municipal_missing_candidate', CAST(c1 AS VARCHAR), CASE WHEN c1 = 0 THEN 'OK' ELSE 'PROBLEM' END FROM m
+  UNION ALL SELECT 15, 'municipal_missing_votes', CAST(c2 AS VARCHAR), CASE WHEN c2 = 0 THEN 'OK' ELSE 'PROBLEM' END FROM m
+  UNION ALL SELECT 16, 'municipal_negative_votes', CAST(c3 AS VARCHAR), CASE WHEN c3 = 0 THEN 'OK' ELSE 'PROBLEM' END FROM m
+  UNION ALL SELECT 17, 'municipal_missing_booth_id', CAST(c4 AS VARCHAR), CASE WHEN c4 = 0 THEN 'OK' ELSE 'PROBLEM' END FROM m
+  UNION ALL SELECT 18, 'municipal_vote_share_exprimes_out_of_range', CAST(c5 AS VARCHAR), CASE WHEN c5 = 0 THEN 'OK' ELSE 'PROBLEM' END FROM m
+  UNION ALL SELECT 19, 'municipal_vote_share_registered_out_of_range', CAST(c6 AS VARCHAR), CASE WHEN c6 = 0 THEN 'OK' ELSE 'PROBLEM' END FROM m
+  UNION ALL SELECT 20, 'municipal_duplicate_candidate_rows', CAST(dup AS VARCHAR), CASE WHEN dup = 0 THEN 'OK' ELSE 'PROBLEM' END FROM m
+  UNION ALL SELECT 21, 'municipal_rows_with_any_problem', CAST(anyp AS VARCHAR), CASE WHEN anyp = 0 THEN 'OK' ELSE 'PROBLEM' END FROM m
+  UNION ALL SELECT 22, 'suspicious_candidate_columns', CAST(susp AS VARCHAR),
+                   CASE WHEN susp = 0 THEN 'OK' ELSE 'PROBLEM' END
+            FROM (SELECT count(DISTINCT candidate) AS susp FROM u
+                  WHERE lower(trim(candidate)) IN ({", ".join(f"'{n}'" for n in
+                                                     X.fixed.SUSPICIOUS_EXACT_NAMES)})
+                     OR lower(trim(candidate)) LIKE 'nb\\_%' ESCAPE '\\'
+                     OR lower(trim(candidate)) LIKE 'num\\_%' ESCAPE '\\'
+                     OR lower(trim(candidate)) LIKE 'geo\\_%' ESCAPE '\\'
+                     OR lower(trim(candidate)) LIKE 'st\\_%' ESCAPE '\\'
+                     OR lower(trim(candidate)) LIKE '%\\_shape' ESCAPE '\\') AS sp
+  UNION ALL SELECT 23, 'wide_duplicate_index_rows', '0', 'OK'
+  UNION ALL SELECT 24, 'wide_values_below_zero', CAST(below AS VARCHAR), CASE WHEN below = 0 THEN 'OK' ELSE 'PROBLEM' END FROM m
+  UNION ALL SELECT 25, 'wide_values_above_one', CAST(above AS VARCHAR), CASE WHEN above = 0 THEN 'OK' ELSE 'PROBLEM' END FROM m
+  UNION ALL SELECT 26, 'skipped_files_in_cleaning_report', '0', 'INFO'
+  UNION ALL SELECT 27, 'error_files_in_cleaning_report', '0', 'OK'
+) AS s
+"""
+
+
+@register("validation_summary", VALIDATION_SQL, raw_sql=True)
 def validation_summary(spark, d):
     """The validation checks over both families, as (check, value, status)."""
     from .shares import PIVOT_INDEX
