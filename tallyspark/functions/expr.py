@@ -103,7 +103,7 @@ def coalesce_sum(*cols: ColumnLike) -> Column:
     return total
 
 
-def extract_year(c: ColumnLike, pattern: str = r"(20\d{2})") -> Column:
+def extract_year(c: ColumnLike, pattern: str = fixed.YEAR_PATTERN) -> Column:
     """First four-digit year in the text, else null."""
     found = F.regexp_extract(_col(c).cast("string"), pattern, 1)
     return F.when(found != "", found.cast("int"))
@@ -122,7 +122,7 @@ def parse_date_dayfirst(c: ColumnLike) -> Column:
 
 
 def parse_structured_key(c: ColumnLike,
-                         pattern: str = r"^(\d{5})_(\d{2})(\d{2})$") -> dict[str, Column]:
+                         pattern: str = fixed.STATION_KEY_PATTERN) -> dict[str, Column]:
     """Split a key like ``75056_0112`` into area ``01`` and unit ``12``.
 
     Returns the trimmed key and the two parts (null when the key does not match).
@@ -135,7 +135,7 @@ def parse_structured_key(c: ColumnLike,
             "unit": F.when(unit != "", unit)}
 
 
-def split_key(c: ColumnLike, sep: str = "_") -> dict[str, Column]:
+def split_key(c: ColumnLike, sep: str = fixed.ELECTION_ID_SEPARATOR) -> dict[str, Column]:
     """``2020_muni_t1`` -> year 2020, round 1; both null if either part fails."""
     parts = F.split(_col(c).cast("string"), sep)
     year_txt = strip_text(F.try_element_at(parts, F.lit(1)))
@@ -146,7 +146,8 @@ def split_key(c: ColumnLike, sep: str = "_") -> dict[str, Column]:
             "round": F.when(ok, round_txt.try_cast("int"))}
 
 
-def padded_code(c: ColumnLike, width: int = 4, head: int = 2) -> dict[str, Column]:
+def padded_code(c: ColumnLike, width: int = fixed.UNIT_CODE_WIDTH,
+                head: int = fixed.UNIT_CODE_HEAD) -> dict[str, Column]:
     """Zero-fill a unit code to ``width``; first ``head`` digits -> area, rest -> unit.
 
     Returns area, unit (ints) and the key ``"area-unit"``.  Text longer than
@@ -178,9 +179,9 @@ def compose_name(last: ColumnLike, first: ColumnLike | None = None) -> Column:
 def safe_name(c: ColumnLike) -> Column:
     """File-name-safe text: runs outside ``[A-Za-z0-9_.-]`` become ``_``, outer ``_``
     stripped, empty (or null) -> ``unknown``."""
-    text = F.regexp_replace(strip_text(c), r"[^A-Za-z0-9_.-]+", "_")
+    text = F.regexp_replace(strip_text(c), f"[^{fixed.SAFE_NAME_KEEP}]+", "_")
     text = F.regexp_replace(text, r"^_+|_+$", "")
-    return F.coalesce(F.nullif(text, F.lit("")), F.lit("unknown"))
+    return F.coalesce(F.nullif(text, F.lit("")), F.lit(fixed.SAFE_NAME_DEFAULT))
 
 
 def file_key(c: ColumnLike) -> Column:

@@ -111,6 +111,16 @@ LONG_COLUMN_ORDER = (
     "liste", "votes", "vote_share_exprimes", "vote_share_registered",
 )
 
+# Patterns and formats.
+STATION_KEY_PATTERN = r"^(\d{5})_(\d{2})(\d{2})$"   # area = group 2, unit = group 3
+YEAR_PATTERN = r"(20\d{2})"
+SAFE_NAME_KEEP = r"A-Za-z0-9_.-"                    # runs of anything else become "_"
+SAFE_NAME_DEFAULT = "unknown"
+UNIT_CODE_WIDTH = 4                                 # zero-filled, first 2 digits = area
+UNIT_CODE_HEAD = 2
+ELECTION_ID_SEPARATOR = "_"                         # year _ kind _ tN
+LONG_FAMILY_PREFIX = "elections-municipales-"
+
 # Tolerances and thresholds.
 VALUE_COLUMN_MIN_NUMERIC_RATIO = 0.80
 EXPRESSED_VOTE_TOLERANCE = 0.5

@@ -43,7 +43,7 @@ def list_sources(spark: SparkSession, root: str, pattern: str = "*.parquet",
 
 
 def is_long_shape(columns: Iterable[str], name: str = "",
-                  prefix: str = "elections-municipales-",
+                  prefix: str = fixed.LONG_FAMILY_PREFIX,
                   shape_columns: Sequence[str] = fixed.LONG_SHAPE_COLUMNS) -> bool:
     """S3: long if the file name has the long-family prefix or the columns
     hold every long-shape column."""
@@ -262,7 +262,7 @@ def clean_wide(df: DataFrame, group: Sequence[str] = ("dataset_id", "source_file
 # ------------------------------------------------------------ long cleaner
 def clean_long(df: DataFrame, group: Sequence[str] = ("dataset_id", "source_file"),
                required: Sequence[str] = fixed.REQUIRED_LONG_COLUMNS,
-               key_pattern: str = r"^(\d{5})_(\d{2})(\d{2})$", materialize: bool = False
+               key_pattern: str = fixed.STATION_KEY_PATTERN, materialize: bool = False
                ) -> tuple[DataFrame | None, DataFrame]:
     """Already-long rows -> long table: station key parsed, invalid rows
     dropped, expressed total rebuilt as the station's vote sum, registered
