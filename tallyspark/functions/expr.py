@@ -187,7 +187,10 @@ def safe_name(c: ColumnLike) -> Column:
 def file_key(c: ColumnLike) -> Column:
     """Base name of a path (``\\`` read as ``/``); null -> ``''``."""
     text = strip_text(F.replace(_col(c).cast("string"), F.lit("\\"), F.lit("/")))
-    return F.coalesce(F.regexp_extract(text, r"([^/]*)/*$", 1), F.lit(""))
+    # Trailing "/" and "/." segments name nothing; a lone "." is no name.
+    text = F.regexp_replace(text, r"(/+\.?)+$", "")
+    name = F.regexp_extract(text, r"([^/]*)$", 1)
+    return F.coalesce(F.when(name != ".", name).otherwise(F.lit("")), F.lit(""))
 
 
 def contains_any(c: ColumnLike, markers: Sequence[str] = fixed.LONG_FAMILY_MARKERS) -> Column:

@@ -170,9 +170,11 @@ def safe_name(spark, d):
 
 
 @register("file_key", f"""
-SELECT page_id, coalesce(regexp_extract({_strip("replace(url, chr(92), '/')")},
-                                        '([^/]*)/*$', 1), '') AS file_key
-FROM pages
+SELECT page_id, coalesce(CASE WHEN n = '.' THEN '' ELSE n END, '') AS file_key
+FROM (SELECT page_id,
+             regexp_extract(regexp_replace({_strip("replace(url, chr(92), '/')")},
+                                           '(/+\\.?)+$', ''), '([^/]*)$', 1) AS n
+      FROM pages) AS p
 """)
 def file_key(spark, d):
     """Base name of each page URL path."""
