@@ -63,3 +63,65 @@ def test_text_rules_match_python(spark):
         assert r.num == expected, repr(v)
         assert r.safe == py_safe(v), repr(v)
         assert r.key == py_file_key(v), repr(v)
+
+
+def py_year(s):
+    if s is None:
+        return None
+    m = re.search(fixed.YEAR_PATTERN, s)
+    return int(m.group(1)) if m else None
+
+
+def py_padded(s):
+    t = s if len(s) >= fixed.UNIT_CODE_WIDTH else s.rjust(fixed.UNIT_CODE_WIDTH, "0")
+    a, u = t[:fixed.UNIT_CODE_HEAD], t[fixed.UNIT_CODE_HEAD:]
+    ok = re.fullmatch(r"[+-]?\d+", a) and re.fullmatch(r"[+-]?\d+", u)
+    return f"{int(a)}-{int(u)}" if ok else None
+
+
+def py_split(s):
+    parts = s.split(fixed.ELECTION_ID_SEPARATOR)
+    try:
+        y = parts[0].strip()
+        r = parts[2][1]
+        if re.fullmatch(r"[+-]?\d+", y) and re.fullmatch(r"\d", r):
+            return int(y), int(r)
+    except IndexError:
+        pass
+    return None, None
+
+
+def test_parsers_match_python(spark):
+    rnd = random.Random(5)
+    digits = "0123456789"
+    texts = []
+    for _ in range(300):
+        kind = rnd.randint(0, 3)
+        if kind == 0:
+            texts.append("".join(rnd.choice(digits + "-_ t/") for _ in range(rnd.randint(0, 8))))
+        elif kind == 1:
+            texts.append(f"{rnd.randint(1990, 2030)}_{rnd.choice(['muni', 'x', ''])}_"
+                         f"{rnd.choice(['t1', 't2', 'tx', 't', ''])}")
+        elif kind == 2:
+            texts.append(str(rnd.randint(0, 99999)))
+        else:
+            texts.append(f"{rnd.randint(1, 28):02d}/{rnd.randint(1, 12):02d}/{rnd.randint(1995, 2030)}")
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, v string")
+    sk = X.split_key("v")
+    pc = X.padded_code("v")
+    rows = df.select("i", X.extract_year("v").alias("y"), sk["year"].alias("sy"),
+                     sk["round"].alias("sr"), pc["key"].alias("pk"),
+                     X.parse_date_dayfirst("v").alias("d")).orderBy("i").collect()
+    import datetime as dt
+    for r in rows:
+        t = texts[r.i]
+        assert r.y == py_year(t), t
+        assert (r.sy, r.sr) == py_split(t), t
+        assert r.pk == py_padded(t), t
+        m = re.fullmatch(r"(\d{2})/(\d{2})/(\d{4})", t)
+        if m:
+            try:
+                want = dt.date(int(m.group(3)), int(m.group(2)), int(m.group(1)))
+            except ValueError:
+                want = None
+            assert r.d == want, t
