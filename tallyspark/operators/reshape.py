@@ -94,13 +94,19 @@ def unpivot_detected(df: DataFrame, group_columns: Sequence[str],
                      min_ratio: float = fixed.VALUE_COLUMN_MIN_NUMERIC_RATIO,
                      excluded: Sequence[str] = fixed.NON_VALUE_COLUMNS,
                      name_column: str = "candidate_source_column",
-                     value_column: str = "votes") -> DataFrame:
-    """Unpivot only the columns that pass the numeric-ratio rule in their group."""
+                     value_column: str = "votes", detected: DataFrame | None = None
+                     ) -> DataFrame:
+    """Unpivot only the columns that pass the numeric-ratio rule in their group.
+
+    ``detected`` (group columns + column name of the value columns) may be
+    passed when the caller has it already, so the rule is not computed twice.
+    """
     id_cols = list(dict.fromkeys(list(group_columns) + [c for c in metadata_columns
                                                          if c in df.columns]))
-    detected = (detect_value_columns(df, group_columns, metadata_columns, min_ratio, excluded,
-                                     name_column)
-                .where("is_value_column").select(*group_columns, name_column))
+    if detected is None:
+        detected = (detect_value_columns(df, group_columns, metadata_columns, min_ratio,
+                                         excluded, name_column)
+                    .where("is_value_column").select(*group_columns, name_column))
     cols = candidate_value_columns(df, id_cols, excluded)
     long = unpivot_values(df, id_cols, cols, name_column, value_column, as_text=True)
     long = join_on_keys(long, detected, list(group_columns) + [name_column], how="left_semi")

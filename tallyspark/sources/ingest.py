@@ -227,7 +227,9 @@ def clean_wide(df: DataFrame, group: Sequence[str] = ("dataset_id", "source_file
     kept, counts = drop_invalid_rows(df, valid_station_rows(df, id_col, total), group)
     meta = [c for c in df.columns if c in set(standard) and c not in group]
     detected = (R.detect_value_columns(kept, group, meta, name_column="candidate_source_column")
-                .where("is_value_column"))
+                .where("is_value_column").select(*group, "candidate_source_column"))
+    if materialize:
+        detected = detected.checkpoint()          # one row per (file, value column)
     position = F.create_map(*[x for i, c in enumerate(df.columns)
                               for x in (F.lit(c), F.lit(i))])
     names = (detected.groupBy(*group)
@@ -237,7 +239,8 @@ def clean_wide(df: DataFrame, group: Sequence[str] = ("dataset_id", "source_file
              .select(*group, F.size("__c").alias("candidate_columns"),
                      F.array_join(F.transform("__c", lambda s: s["name"]), " | ")
                      .alias("candidate_column_names")))
-    long = R.unpivot_detected(kept, group, meta, name_column="candidate_source_column")
+    long = R.unpivot_detected(kept, group, meta, name_column="candidate_source_column",
+                              detected=detected)
     long = long.withColumns({
         "candidate": F.col("candidate_source_column"),
         total: X.to_number(total, R.is_numeric_type(df.schema[total].dataType)),
