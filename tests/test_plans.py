@@ -5,6 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as E
+from tallyspark.plans import load_all
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables absent")
@@ -16,7 +17,7 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(load_all()))
 def test_no_python_in_plan(spark, name):
     plan = _plan(E.queries()[name](spark, SF))
     assert not any(node in plan for node in PYTHON_NODES), name
