@@ -11,12 +11,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, packing, token_counts
-from .staging import new_folder
+from . import byte_bpe, line_dedup, packing, quality, token_counts
+from .staging import importable, new_folder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return importable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality verdicts of all documents."""
+    return quality.quality_verdicts(_table(spark, sf_dir, "documents"), ["doc_id"]).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept")
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +45,37 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without lines of 20 characters or more that 3 documents share."""
+    left = line_dedup.drop_repeated_lines(
+        _table(spark, sf_dir, "documents").select("doc_id", "text"), min_chars=20, min_docs=3)
+    return left.select("doc_id", F.col("_n_lines").alias("n_lines"),
+                       F.col("_n_dropped").alias("n_dropped"),
+                       F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+OP9_SQL = """
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
+  FROM documents),
+keyed AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM lines),
+shared AS (
+  SELECT k, max(doc_id) AS last FROM keyed WHERE length(k) >= 20
+  GROUP BY k HAVING count(DISTINCT doc_id) >= 3),
+marked AS (
+  SELECT keyed.*, coalesce(shared.last <> keyed.doc_id, false) AS gone
+  FROM keyed LEFT JOIN shared ON keyed.k = shared.k)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), ''))
+         AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into windows of 4096 tokens, by source."""
     pieces = packing.pack(_table(spark, sf_dir, "documents"),
@@ -47,7 +85,9 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_quality_rules": (op2_quality_rules, None),
     "op4_token_counts": (op4_token_counts, None),
     "op5_byte_bpe": (op5_byte_bpe, None),
+    "op9_line_dedup": (op9_line_dedup, OP9_SQL),
     "op10_packing": (op10_packing, None),
 }

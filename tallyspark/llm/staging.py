@@ -10,6 +10,7 @@ removed at its end.
 from __future__ import annotations
 
 import atexit
+import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,17 @@ from pyspark.sql import DataFrame, SparkSession
 _MADE: list[tuple[SparkSession, str]] = []
 
 
+def importable(spark: SparkSession) -> SparkSession:
+    """Let Python workers on this machine import the package from where it lies.
+
+    On a cluster it is installed or sent with ``--py-files``; a path that does
+    not exist there is ignored.
+    """
+    home = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    spark.sparkContext.environment.setdefault("PYTHONPATH", home)
+    return spark
+
+
 def shared_root(spark: SparkSession) -> str:
     conf = spark.sparkContext.getConf()
     root = (conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
