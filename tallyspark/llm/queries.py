@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, line_dedup, packing, quality, token_counts
+from . import byte_bpe, line_dedup, ngram_join, packing, quality, token_counts
 from .staging import importable, new_folder
 
 
@@ -45,6 +45,11 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents under 3-word Jaccard similarity of 0.9."""
+    return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"), size=3, percent=90)
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without lines of 20 characters or more that 3 documents share."""
     left = line_dedup.drop_repeated_lines(
@@ -88,6 +93,7 @@ QUERIES = {
     "op2_quality_rules": (op2_quality_rules, None),
     "op4_token_counts": (op4_token_counts, None),
     "op5_byte_bpe": (op5_byte_bpe, None),
+    "op6_ngram_join": (op6_ngram_join, None),
     "op9_line_dedup": (op9_line_dedup, OP9_SQL),
     "op10_packing": (op10_packing, None),
 }
