@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, line_dedup, ngram_join, packing, quality, token_counts
+from . import byte_bpe, line_dedup, ngram_join, packing, pii, quality, token_counts
 from .staging import importable, new_folder
 
 
@@ -38,8 +38,8 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all documents and the bytes they decode to, as digests."""
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    ids = byte_bpe.encode(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
-    both = byte_bpe.decode(ids, ranks)
+    both = byte_bpe.round_trip(_table(spark, sf_dir, "documents"), ranks,
+                               public_tokenizers.PATTERN)
     return both.select("doc_id", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"),
                        F.sha2("ids", 256).alias("ids_sha256"),
                        F.sha2("bytes", 256).alias("decoded_sha256"))
@@ -50,6 +50,16 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"), size=3, percent=90)
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data, and of terms that reveal it, in all documents."""
+    found = pii.pii_spans(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.concat(*[pii.span_list(k) for k in pii.PATTERNS])
+    return found.select(
+        "doc_id", *[F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in pii.PATTERNS],
+        F.sha2(F.array_join(base, ","), 256).alias("base_sha256"),
+        F.array_join(F.concat(base, pii.span_list("term")), ",").alias("spans"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without lines of 20 characters or more that 3 documents share."""
     left = line_dedup.drop_repeated_lines(
@@ -94,6 +104,7 @@ QUERIES = {
     "op4_token_counts": (op4_token_counts, None),
     "op5_byte_bpe": (op5_byte_bpe, None),
     "op6_ngram_join": (op6_ngram_join, None),
+    "op7_pii": (op7_pii, None),
     "op9_line_dedup": (op9_line_dedup, OP9_SQL),
     "op10_packing": (op10_packing, None),
 }
