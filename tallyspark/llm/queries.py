@@ -11,7 +11,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, line_dedup, ngram_join, packing, pii, quality, token_counts
+from . import (byte_bpe, line_dedup, ngram_join, packing, pii, quality, token_counts,
+               toxicity)
 from .staging import importable, new_folder
 
 
@@ -26,6 +27,15 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "base_failed", "kept")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents."""
+    docs = _table(spark, sf_dir, "documents")
+    chain = toxicity.learn(docs, _table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, chain).select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "spans")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all documents, from a cache that starts empty."""
     counts = token_counts.count_tokens(
@@ -101,6 +111,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_quality_rules": (op2_quality_rules, None),
+    "op3_toxicity": (op3_toxicity, None),
     "op4_token_counts": (op4_token_counts, None),
     "op5_byte_bpe": (op5_byte_bpe, None),
     "op6_ngram_join": (op6_ngram_join, None),

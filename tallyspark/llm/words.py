@@ -47,7 +47,8 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
 class Texts:
     """Some texts: ``data`` bytes and ``bounds`` (text i is data[bounds[i]:bounds[i+1]])."""
 
-    def __init__(self, data: np.ndarray, bounds: np.ndarray, fold: bool = False):
+    def __init__(self, data: np.ndarray, bounds: np.ndarray, fold: bool = False,
+                 gaps: np.ndarray = _SPACE):
         self.data, self.bounds, self.count = data, bounds, len(bounds) - 1
         size = len(data)
         need = 1 << max(16, int(size + 1).bit_length())
@@ -56,7 +57,7 @@ class Texts:
         np.cumsum((_FOLDED if fold else _BYTE)[data] * powers[:size], out=self._sums[1:])
         self._edge = np.zeros(size + 1, bool)
         self._edge[bounds] = True
-        word = ~_SPACE[data]
+        word = ~gaps[data]
         self.is_word = word
         gap = ~word
         before, after = np.ones(size, bool), np.ones(size, bool)
@@ -123,8 +124,12 @@ class Texts:
         return hashes, text[where], where
 
 
-def slices(column: pa.Array, fold: bool = False) -> Iterator[tuple[int, Texts]]:
-    """(first row, Texts) over a string column; null is empty."""
+def slices(column: pa.Array, fold: bool = False,
+           gaps: np.ndarray = _SPACE) -> Iterator[tuple[int, Texts]]:
+    """(first row, Texts) over a string column; null is empty.
+
+    ``gaps`` flags the bytes between words.
+    """
     column = pc.fill_null(column, "").cast(pa.large_string())
     offsets = np.frombuffer(column.buffers()[1], np.int64)[
         column.offset:column.offset + len(column) + 1]
@@ -136,5 +141,6 @@ def slices(column: pa.Array, fold: bool = False) -> Iterator[tuple[int, Texts]]:
     while row < len(column):
         last = int(np.searchsorted(offsets, offsets[row] + SLICE_BYTES, side="right")) - 1
         last = min(max(last, row + 1), len(column))
-        yield row, Texts(data[offsets[row]:offsets[last]], offsets[row:last + 1] - offsets[row], fold)
+        yield row, Texts(data[offsets[row]:offsets[last]], offsets[row:last + 1] - offsets[row],
+                         fold, gaps)
         row = last
