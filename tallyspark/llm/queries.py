@@ -11,15 +11,25 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (byte_bpe, line_dedup, ngram_join, packing, pii, quality, token_counts,
+from . import (byte_bpe, hnsw, line_dedup, ngram_join, packing, pii, quality, token_counts,
                toxicity)
-from .staging import importable, new_folder
+from .staging import importable, new_folder, stage
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return importable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest of every row for each row whose vec_id 100 divides."""
+    distinct = stage(hnsw.points(_table(spark, sf_dir, "embeddings"), k=10), "points")
+    shards = stage(hnsw.index(distinct), "shards")
+    queries = (hnsw.usable(_table(spark, sf_dir, "embeddings"))
+               .where(F.col("id") % 100 == 0)
+               .select(F.col("id").alias("query_id"), "vector"))
+    return hnsw.search(shards, queries, k=10)
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality verdicts of all documents."""
     return quality.quality_verdicts(_table(spark, sf_dir, "documents"), ["doc_id"]).select(
@@ -110,6 +120,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_hnsw": (op1_hnsw, None),
     "op2_quality_rules": (op2_quality_rules, None),
     "op3_toxicity": (op3_toxicity, None),
     "op4_token_counts": (op4_token_counts, None),
