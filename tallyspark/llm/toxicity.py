@@ -284,7 +284,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             "head": [True] * len(head) + [False] * len(chain.names),
             "weight": np.concatenate([head, chain.weights])})
 
-    model = (sample.join(F.broadcast(fits), "_key").groupBy(F.lit(0))
+    model = (sample.join(F.broadcast(fits), "_key").groupBy(F.lit("all").alias("one"))
              .applyInPandas(run, "name long, head boolean, weight double").toPandas())
     if not len(model):
         return Chain(np.zeros(0, np.uint64), np.zeros(0), -30.0, np.zeros((2, 2)), 0.0, -30.0)
