@@ -11,8 +11,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (byte_bpe, hnsw, line_dedup, ngram_join, packing, pii, quality, token_counts,
-               toxicity)
+from . import (byte_bpe, hnsw, line_dedup, ngram_join, packing, pii, quality, revisits,
+               token_counts, toxicity)
 from .staging import importable, new_folder, stage
 
 
@@ -80,6 +80,106 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join(F.concat(base, pii.span_list("term")), ",").alias("spans"))
 
 
+def _records(pages: DataFrame) -> DataFrame:
+    """Archive records that follow from the pages: each page as a full response, a
+    later revisit of it under a variant of its URL, and for some an earlier one.
+
+    Entity tags are digests of the pages.  Every 11th response has none, every 7th
+    later revisit has a changed one, every 13th page names no time of modification.
+    """
+    tag = F.concat(F.lit('"'), F.md5("html"), F.lit('"'))
+    page = pages.select(
+        "page_id", "url", (F.lit(1_700_000_000) + F.col("page_id") * 60).alias("at"),
+        F.when(F.col("page_id") % 11 != 3, tag).alias("tag"),
+        F.when(F.col("page_id") % 13 != 0, F.concat(F.lit("m"), F.col("page_id").cast("string")))
+        .alias("modified"),
+        F.md5("html").alias("digest"), F.octet_length("html").cast("string").alias("size"))
+    later = F.col("at") + 30 + (F.col("page_id") % 50) * 3600
+    record = lambda number, url, ts, kind, own, digest, **headers: F.struct(
+        (F.col("page_id") * 3 + number).alias("record_id"), url.alias("url"), ts.alias("ts"),
+        F.lit(kind).alias("kind"), own.alias("etag"), F.col("modified").alias("last_modified"),
+        digest.alias("digest"),
+        F.map_filter(F.create_map(*[x for k, v in headers.items()
+                                    for x in (F.lit(k.replace("_", "-")), v)]),
+                     lambda k, v: v.isNotNull()).alias("headers"))
+    changed = F.when(F.col("page_id") % 7 == 0, F.lit('"changed"')).otherwise(F.col("tag"))
+    none = F.lit(None).cast("string")
+    records = F.array(
+        record(0, F.col("url"), F.col("at"), "response", F.col("tag"), F.col("digest"),
+               content_length=F.col("size"), date=F.col("at").cast("string"), etag=F.col("tag"),
+               server=F.lit("origin")),
+        record(1, F.concat("url", F.lit("#again")), later, "revisit", changed, none,
+               cache_control=F.lit("max-age=60"), content_length=F.lit("0"),
+               date=later.cast("string")),
+        record(2, F.col("url"), F.col("at") - 7200, "revisit", F.col("tag"), none,
+               date=(F.col("at") - 7200).cast("string")))
+    return (page.select("page_id", F.explode(records).alias("r")).select("r.*")
+            .where((F.col("record_id") % 3 != 2) | (F.expr("record_id div 3") % 5 == 0)))
+
+
+def op8_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of all pages with their revisits resolved."""
+    found = revisits.resolve_revisits(_records(_table(spark, sf_dir, "pages")))
+    listed = F.array_join(F.sort_array(F.transform(
+        F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";")
+    return found.withColumn("headers", listed)
+
+
+OP8_SQL = r"""
+WITH page AS (
+  SELECT page_id, url, 1700000000 + page_id * 60 AS taken,
+         CASE WHEN page_id % 11 <> 3 THEN '"' || md5(html) || '"' END AS tag,
+         CASE WHEN page_id % 13 <> 0 THEN 'm' || page_id END AS modified,
+         md5(html) AS digest, strlen(html) AS size FROM pages),
+records AS (
+  SELECT page_id * 3 AS record_id, url, taken AS ts, 'response' AS kind, tag AS etag, modified, digest,
+         'content-length=' || size || ';date=' || taken || coalesce(';etag=' || tag, '')
+           || ';server=origin' AS headers, size, tag FROM page
+  UNION ALL
+  SELECT page_id * 3 + 1, url || '#again', taken + 30 + (page_id % 50) * 3600, 'revisit',
+         CASE WHEN page_id % 7 = 0 THEN '"changed"' ELSE tag END, modified, NULL,
+         'cache-control=max-age=60;content-length=0;date=' || (taken + 30 + (page_id % 50) * 3600),
+         NULL, NULL FROM page
+  UNION ALL
+  SELECT page_id * 3 + 2, url, taken - 7200, 'revisit', tag, modified, NULL, 'date=' || (taken - 7200),
+         NULL, NULL FROM page WHERE page_id % 5 = 0),
+split AS (
+  SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(url,
+             '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '^www\.', ''), ':(80|443)$', '') AS host,
+         regexp_replace(regexp_extract(url,
+             '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/+$', '') AS path,
+         array_to_string(list_sort(list_filter(
+             string_split(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), '&'),
+             lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]+|ref|fbclid|gclid)(=|$)'))),
+             '&') AS query
+  FROM records),
+named AS (
+  SELECT *, host || path || CASE WHEN query <> '' THEN '?' || query ELSE '' END AS canonical_url
+  FROM split),
+met AS (
+  SELECT r.*, f.record_id AS f_id, f.etag AS f_etag, f.modified AS f_modified, f.digest AS f_digest,
+         f.size AS f_size, f.tag AS f_tag
+  FROM named r ASOF LEFT JOIN (SELECT * FROM named WHERE kind = 'response') f
+    ON r.canonical_url = f.canonical_url AND r.ts > f.ts),
+judged AS (
+  SELECT *, CASE WHEN kind = 'response' THEN 'response'
+      WHEN f_id IS NULL THEN 'no_earlier_response'
+      WHEN etag IS NOT NULL AND f_etag IS NOT NULL
+        THEN CASE WHEN etag = f_etag THEN 'resolved' ELSE 'validator_mismatch' END
+      WHEN modified IS NOT NULL AND f_modified IS NOT NULL
+        THEN CASE WHEN modified = f_modified THEN 'resolved' ELSE 'validator_mismatch' END
+      ELSE 'no_validator' END AS outcome FROM met)
+SELECT record_id, canonical_url, ts, outcome,
+       CASE WHEN outcome = 'resolved' THEN f_id END AS refers_to,
+       CASE WHEN outcome = 'resolved' THEN f_digest ELSE digest END AS digest,
+       CASE WHEN outcome = 'resolved' THEN
+         CASE WHEN record_id % 3 = 1 THEN 'cache-control=max-age=60;' ELSE '' END
+         || 'content-length=' || f_size || ';date=' || ts || coalesce(';etag=' || f_tag, '')
+         || ';server=origin' ELSE headers END AS headers
+FROM judged
+"""
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without lines of 20 characters or more that 3 documents share."""
     left = line_dedup.drop_repeated_lines(
@@ -127,6 +227,7 @@ QUERIES = {
     "op5_byte_bpe": (op5_byte_bpe, None),
     "op6_ngram_join": (op6_ngram_join, None),
     "op7_pii": (op7_pii, None),
+    "op8_revisits": (op8_revisits, OP8_SQL),
     "op9_line_dedup": (op9_line_dedup, OP9_SQL),
     "op10_packing": (op10_packing, None),
 }
