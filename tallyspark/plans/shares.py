@@ -128,18 +128,18 @@ def station_mismatches(spark, d):
 PIVOT_INDEX = ("dataset_id", "id_bvote", "num_arrond", "nb_inscr", "nb_exprim")
 
 
-def _pivot_sql(src: str, index, value: str, pivot: str = "candidate") -> str:
+def _pivot_sql(src: str, index, value: str, values, pivot: str = "candidate") -> str:
     idx = ", ".join(index)
     return f"""
 SELECT {idx}, round(coalesce(COLUMNS(* EXCLUDE ({idx})), 0), 6) + 0.0
 FROM (PIVOT (SELECT {idx}, {pivot}, {value} FROM ({src}) AS s WHERE {pivot} IS NOT NULL)
-      ON {pivot} USING sum({value}) GROUP BY {idx}) AS p
+      ON {pivot} IN {S.names(values)} USING sum({value}) GROUP BY {idx}) AS p
 """
 
 
 @register("pivot_shares", f"""
 SELECT * REPLACE (round(nb_inscr, 6) + 0.0 AS nb_inscr, round(nb_exprim, 6) + 0.0 AS nb_exprim)
-FROM ({_pivot_sql(S.BALLOTS_LONG, PIVOT_INDEX, "vote_share_exprimes")}) AS w
+FROM ({_pivot_sql(S.BALLOTS_LONG, PIVOT_INDEX, "vote_share_exprimes", S.PRIORITIES)}) AS w
 """, raw_sql=True)
 def pivot_shares(spark, d):
     """R3 + A1: one row per station index, one share column per candidate, absent -> 0."""
@@ -151,7 +151,7 @@ SELECT m.dataset_id, m.id_bvote, m.num_arrond, w.* EXCLUDE (dataset_id, id_bvote
 FROM (SELECT dataset_id, id_bvote, num_arrond FROM (
         SELECT *, row_number() OVER (PARTITION BY dataset_id, id_bvote ORDER BY num_arrond) AS rn
         FROM ({S.PURCHASES}) AS p) AS t WHERE rn = 1) AS m
-LEFT JOIN ({_pivot_sql(S.PURCHASES, ("dataset_id", "id_bvote"), "votes")}) AS w
+LEFT JOIN ({_pivot_sql(S.PURCHASES, ("dataset_id", "id_bvote"), "votes", S.BRANDS)}) AS w
   USING (dataset_id, id_bvote)
 """, raw_sql=True)
 def pivot_votes(spark, d):

@@ -57,6 +57,15 @@ FROM embeddings, LATERAL (SELECT unnest(range(1, len(embedding) + 1)) AS pos,
 """
 
 
+# Pivot columns have to be named for the text to back a view.
+PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+BRANDS = tuple(f"Brand#{a}{b}" for a in range(1, 6) for b in range(1, 6))
+
+
+def names(values) -> str:
+    return "(" + ", ".join(f"'{v}'" for v in values) + ")"
+
+
 def with_totals(src: str) -> str:
     """Station totals within / across datasets and both shares."""
     return f"""
@@ -83,7 +92,8 @@ BALLOTS_WIDE = f"""
 SELECT w.*, t.nb_exprim, r.nb_inscr, c.c_mktsegment, c.c_acctbal
 FROM (SELECT dataset_id, id_bvote, num_arrond, coalesce(COLUMNS(* EXCLUDE (dataset_id, id_bvote, num_arrond)), 0.0::DOUBLE)
       FROM (PIVOT (SELECT dataset_id, id_bvote, num_arrond, candidate, votes FROM ({BALLOTS}) AS b)
-            ON candidate USING sum(votes) GROUP BY dataset_id, id_bvote, num_arrond) AS p) AS w
+            ON candidate IN {names(PRIORITIES)} USING sum(votes)
+            GROUP BY dataset_id, id_bvote, num_arrond) AS p) AS w
 JOIN (SELECT dataset_id, id_bvote, sum(votes) AS nb_exprim FROM ({BALLOTS}) AS b GROUP BY ALL) AS t
   USING (dataset_id, id_bvote)
 JOIN (SELECT id_bvote, sum(votes) AS nb_inscr FROM ({BALLOTS}) AS b GROUP BY ALL) AS r USING (id_bvote)

@@ -21,11 +21,11 @@ only when the measured size of a side is under the threshold.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.reshape import pivot_sum
-from ..operators.totals import group_total, vote_shares
+from ..operators.totals import vote_shares
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,8 +51,12 @@ def with_totals(long: DataFrame, dataset: str = "dataset_id", station: str = "id
                 ) -> DataFrame:
     """Expressed = station total within the dataset; registered = station total
     over all datasets; shares of both."""
-    out = group_total(long, [dataset, station], "votes", "nb_exprim")
-    out = group_total(out, [station], "votes", "nb_inscr")
+    # One shuffle by station serves both windows.  Rows come at (dataset, station,
+    # candidate) grain, so a window holds datasets x candidates rows at most.
+    within = Window.partitionBy(dataset, station)
+    over_all = Window.partitionBy(station)
+    out = (long.withColumn("nb_inscr", F.sum("votes").over(over_all))
+           .withColumn("nb_exprim", F.sum("votes").over(within)))
     return vote_shares(out)
 
 
