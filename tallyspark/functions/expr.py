@@ -156,7 +156,7 @@ def padded_code(c: ColumnLike, width: int = fixed.UNIT_CODE_WIDTH,
     text = _col(c).cast("string")
     padded = F.when(F.length(text) < width, F.lpad(text, width, "0")).otherwise(text)
     area_txt = F.substring(padded, 1, head)
-    unit_txt = F.substring(padded, head + 1, 1 << 20)
+    unit_txt = F.substr(padded, F.lit(head + 1))
     area = F.when(area_txt.rlike(_INT_RE), area_txt.try_cast("int"))
     unit = F.when(unit_txt.rlike(_INT_RE), unit_txt.try_cast("int"))
     return {"area": area, "unit": unit,

@@ -19,7 +19,7 @@ REQUIRED_WIDE_COLUMNS = (
 )
 
 # Columns a long file needs.
-REQUIRED_LONG_COLUMNS = ("source_bv_id", "scrutin", "annee", "tour", "candidate", "votes")
+REQUIRED_LONG_COLUMNS = ("scrutin", "annee", "tour", "candidate", "votes", "source_bv_id")
 
 # Shape detection: a file with all of these is long.
 LONG_SHAPE_COLUMNS = ("candidate", "votes", "source_bv_id")
@@ -104,11 +104,25 @@ WIDE_METADATA_COLUMNS = (
 
 # Column order of the long table.
 LONG_COLUMN_ORDER = (
-    "dataset_id", "source_file", "raw_row_id", "id_bvote", "source_bv_id", "scrutin",
-    "annee", "tour", "date", "num_circ", "num_quartier", "num_arrond", "num_bureau",
-    "nb_procu", "nb_inscr", "nb_emarg", "nb_votant", "nb_bl", "nb_nul", "nb_bl_nul",
-    "nb_exprim", "candidate", "candidate_source_column", "nom", "prenom", "nuance",
-    "liste", "votes", "vote_share_exprimes", "vote_share_registered",
+    "id_bvote", "scrutin", "annee", "tour", "date", "num_circ", "num_quartier", "num_arrond",
+    "num_bureau", "nb_procu", "nb_inscr", "nb_emarg", "nb_votant", "nb_bl_nul", "nb_exprim",
+    "raw_row_id", "candidate_source_column", "votes", "candidate", "source_file", "dataset_id",
+    "vote_share_exprimes", "vote_share_registered", "nb_bl", "nb_nul", "source_bv_id", "nom",
+    "prenom", "nuance", "liste",
+)
+
+# Columns that the validation expects in the long table.
+CORE_LONG_COLUMNS = (
+    "dataset_id", "source_file", "raw_row_id", "id_bvote", "scrutin", "annee", "tour",
+    "num_arrond", "num_bureau", "nb_inscr", "nb_votant", "nb_exprim", "candidate",
+    "candidate_source_column", "votes", "vote_share_exprimes", "vote_share_registered",
+)
+
+# Text columns of the long family.
+LONG_STRINGS = (
+    "id_bvote", "source_bv_id", "scrutin", "tour", "num_circ", "num_quartier", "num_arrond",
+    "num_bureau", "candidate", "candidate_source_column", "source_file", "dataset_id", "nom",
+    "prenom", "nuance", "liste",
 )
 
 # Patterns and formats.

@@ -356,16 +356,10 @@ def one_row(*frames: DataFrame) -> DataFrame:
     return out.agg(*[F.max(c).alias(c) for c in out.columns])
 
 
-CORE_LONG_COLUMNS = ("dataset_id", "source_file", "raw_row_id", "id_bvote", "scrutin",
-                     "annee", "tour", "date", "num_arrond", "num_bureau", "nb_inscr",
-                     "nb_votant", "nb_exprim", "candidate", "candidate_source_column", "votes",
-                     "vote_share_exprimes", "vote_share_registered")
-
-
 def validation_summary(long: DataFrame, wide_check: DataFrame, report: DataFrame,
                        row_counts: DataFrame, station_checks: DataFrame,
                        long_family_counts: DataFrame, suspicious: DataFrame,
-                       core_columns: Sequence[str] = CORE_LONG_COLUMNS,
+                       core_columns: Sequence[str] = fixed.CORE_LONG_COLUMNS,
                        flag: str = "is_municipal") -> DataFrame:
     """The validation checks as (check, value, status) rows.
 

@@ -7,10 +7,12 @@ Layout of the work:
   one dense vector per station of a dataset, over that dataset's active
   features.  A station holds at most ``p`` entries, so nothing unbounded is
   collected.
-* ``gram`` sums, per dataset, the count, the vector and the packed upper
-  triangle of ``x xᵀ`` with ``Summarizer`` - an ordinary grouped aggregate with
-  a map-side partial step, one job for every dataset at once.  No row pairs
-  are ever emitted.
+* ``gram`` takes the mean vector per dataset first and then sums, per dataset,
+  the centred vectors and the packed upper triangle of their ``x xᵀ`` with
+  ``Summarizer`` - ordinary grouped aggregates with a map-side partial step,
+  one plan for every dataset at once.  Centring first keeps columns whose
+  spread is small against their mean exact, and a constant column's variance
+  is exactly 0.  No row pairs are ever emitted.
 * The p×p eigen / SVD solve runs on the driver (p is the number of features;
   it is checked against ``MAX_FEATURES``).
 * Scores are computed on the executors from the dense vectors and a weights
@@ -36,8 +38,6 @@ from ._join import join_on_keys
 from .reshape import active_features
 
 MAX_FEATURES = 2048
-# A variance this small relative to the mean square is a constant column.
-CONSTANT_RTOL = 1e-12
 
 
 # ------------------------------------------------------------ feature matrix
@@ -93,10 +93,19 @@ def _cross(x, y):
     return F.flatten(F.transform(x, lambda a: F.transform(y, lambda b: a * b)))
 
 
+def centred(vectors: DataFrame, group: Sequence[str], x: str = "x") -> DataFrame:
+    """``vectors`` with ``x`` less its group's mean, and that mean as ``shift``."""
+    means = (vectors.groupBy(*group)
+             .agg(vector_to_array(Summarizer.mean(array_to_vector(F.col(x)))).alias("shift")))
+    return (join_on_keys(vectors, means, group)
+            .withColumn(x, F.zip_with(x, "shift", lambda v, m: v - m)))
+
+
 def gram(vectors: DataFrame, group: Sequence[str], x: str = "x") -> DataFrame:
-    """Per group: n, Σx and packed Σ x xᵀ (as ML vectors)."""
-    return (vectors.groupBy(*group)
-            .agg(F.count(F.lit(1)).alias("n"),
+    """Per group: n, the mean (shift), and Σ(x - shift) and packed Σ of its x xᵀ
+    (as ML vectors)."""
+    return (centred(vectors, group, x).groupBy(*group)
+            .agg(F.count(F.lit(1)).alias("n"), F.first("shift").alias("shift"),
                  Summarizer.sum(array_to_vector(F.col(x))).alias("sx"),
                  Summarizer.sum(array_to_vector(_outer_packed(F.col(x)))).alias("sxx")))
 
@@ -118,16 +127,23 @@ class Moments:
     cov: np.ndarray          # sample covariance (n - 1)
 
 
-def moments(n: int, sx: np.ndarray, sxx: np.ndarray) -> Moments:
-    """Mean, sample std (zero -> 1) and covariance from the sums."""
-    mean = sx / n
-    cov = (sxx - n * np.outer(mean, mean)) / (n - 1) if n > 1 else np.full_like(sxx, np.nan)
+def moments(n: int, shift: np.ndarray, sx: np.ndarray, sxx: np.ndarray) -> Moments:
+    """Mean, sample std (exactly zero -> 1) and covariance from the sums of the
+    vectors less ``shift``, which is their mean up to rounding (or, for a join,
+    the mean of one side)."""
+    off = sx / n
+    cov = (sxx - n * np.outer(off, off)) / (n - 1) if n > 1 else np.full_like(sxx, np.nan)
     var = np.diag(cov).copy()
-    scale = np.maximum(np.diag(sxx) / max(n, 1), 1e-300)
-    constant = ~(var > CONSTANT_RTOL * scale)
+    constant = ~(var > 0)
     std = np.where(constant, 1.0, np.sqrt(np.where(constant, 1.0, var)))
     cov = np.where(constant[:, None] | constant[None, :], 0.0, cov)
-    return Moments(n, mean, std, constant, cov)
+    return Moments(n, shift + off, std, constant, cov)
+
+
+def moments_of(row, p: int) -> Moments:
+    """Moments of a collected ``gram`` row with ``p`` features."""
+    return moments(int(row["n"]), np.array(row["shift"]), row["sx"].toArray(),
+                   _unpack(row["sxx"].toArray(), p))
 
 
 def standardized_cov(m: Moments) -> np.ndarray:
@@ -198,7 +214,7 @@ def fit_pca(feats: Features, n_components: int = 4,
         ds, n = r[feats.dataset], int(r["n"])
         f = names[ds]
         p = len(f)
-        m = moments(n, r["sx"].toArray(), _unpack(r["sxx"].toArray(), p))
+        m = moments_of(r, p)
         c = standardized_cov(m)
         vals, vecs = np.linalg.eigh(c)
         order = np.argsort(-vals, kind="stable")
@@ -331,16 +347,21 @@ class CCAFit:
 def cca_sums(left: DataFrame, right: DataFrame, key: str) -> dict:
     """Sums over the joined rows without building the joined rows.
 
+    Each side is shifted by its own mean first, which the sums do not mind.
+
     For a key with a left rows and b right rows the join holds a·b rows; their
     sums are b·Σx, a·Σy, b·Σxxᵀ, a·Σyyᵀ and Σx Σyᵀ.  So each side is summed
     per key first (combine on the map side), the per-key sums are joined one
     to one, and a weighted sum finishes.
     """
-    ls = (left.groupBy(key).agg(F.count(F.lit(1)).alias("a"),
+    one = F.lit("side").alias("__side")
+    left = centred(left.withColumn("__side", one), ["__side"]).withColumnRenamed("shift", "mx")
+    right = centred(right.withColumn("__side", one), ["__side"]).withColumnRenamed("shift", "my")
+    ls = (left.groupBy(key).agg(F.count(F.lit(1)).alias("a"), F.first("mx").alias("mx"),
                                 Summarizer.sum(array_to_vector("x")).alias("sx"),
                                 Summarizer.sum(array_to_vector(_outer_packed(F.col("x"))))
                                 .alias("sxx")))
-    rs = (right.groupBy(key).agg(F.count(F.lit(1)).alias("b"),
+    rs = (right.groupBy(key).agg(F.count(F.lit(1)).alias("b"), F.first("my").alias("my"),
                                  Summarizer.sum(array_to_vector("x")).alias("sy"),
                                  Summarizer.sum(array_to_vector(_outer_packed(F.col("x"))))
                                  .alias("syy")))
@@ -349,7 +370,8 @@ def cca_sums(left: DataFrame, right: DataFrame, key: str) -> dict:
     # Grouped on a constant: no joined key -> no row (a global aggregate would
     # ask an empty Summarizer for its sum).
     res = j.groupBy(F.lit(1).alias("__g")).agg(
-        F.sum(F.col("a") * F.col("b")).alias("n"),
+        F.sum(F.col("a") * F.col("b")).alias("n"), F.first("mx").alias("mx"),
+        F.first("my").alias("my"),
         Summarizer.sum(F.col("sx"), F.col("b").cast("double")).alias("tot_x"),
         Summarizer.sum(F.col("sy"), F.col("a").cast("double")).alias("tot_y"),
         Summarizer.sum(F.col("sxx"), F.col("b").cast("double")).alias("tot_xx"),
@@ -358,7 +380,7 @@ def cca_sums(left: DataFrame, right: DataFrame, key: str) -> dict:
     if not res or not res[0]["n"]:
         return {"n": 0}
     tot = res[0]
-    return {"n": int(tot["n"]), "Sx": tot["tot_x"].toArray(), "Sy": tot["tot_y"].toArray(),
+    return {"n": int(tot["n"]), "mx": np.array(tot["mx"]), "my": np.array(tot["my"]), "Sx": tot["tot_x"].toArray(), "Sy": tot["tot_y"].toArray(),
             "Sxx": tot["tot_xx"].toArray(), "Syy": tot["tot_yy"].toArray(),
             "Sxy": tot["tot_xy"].toArray()}
 
@@ -375,11 +397,11 @@ def solve_cca(sums: dict, x_features: list[str], y_features: list[str], n_compon
     if n == 0:
         raise ValueError(f"No common stations between {left} and {right}")
     p, q = len(x_features), len(y_features)
-    mx = moments(n, sums["Sx"], _unpack(sums["Sxx"], p))
-    my = moments(n, sums["Sy"], _unpack(sums["Syy"], q))
+    mx = moments(n, sums["mx"], sums["Sx"], _unpack(sums["Sxx"], p))
+    my = moments(n, sums["my"], sums["Sy"], _unpack(sums["Syy"], q))
     sxx = standardized_cov(mx) + ridge * np.eye(p)
     syy = standardized_cov(my) + ridge * np.eye(q)
-    cross = sums["Sxy"].reshape(p, q) - n * np.outer(mx.mean, my.mean)
+    cross = sums["Sxy"].reshape(p, q) - np.outer(sums["Sx"], sums["Sy"]) / n
     cross[mx.constant, :] = 0.0
     cross[:, my.constant] = 0.0
     sxy = cross / (n - 1) / np.outer(mx.std, my.std)

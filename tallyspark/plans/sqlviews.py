@@ -59,7 +59,7 @@ FROM embeddings, LATERAL (SELECT unnest(range(1, len(embedding) + 1)) AS pos,
 
 # Pivot columns have to be named for the text to back a view.
 PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
-BRANDS = tuple(f"Brand#{a}{b}" for a in range(1, 6) for b in range(1, 6))
+BRANDS = tuple(f"Brand#{n}" for n in range(1, 26))
 
 
 def names(values) -> str:

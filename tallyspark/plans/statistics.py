@@ -32,12 +32,19 @@ def ballot_features(spark, d, materialize: bool = True) -> ST.Features:
 
 
 def vector_features(spark, d) -> ST.Features:
-    """The 64 embedding dimensions as features of one dataset (no threshold:
-    dimensions are signed, so the share-total rule does not apply)."""
-    ensure_checkpoint_dir(spark)
-    long = V.vectors(spark, d).checkpoint()
-    return ST.feature_vectors(long, "dataset_id", ("id_bvote", "num_arrond"), "candidate",
-                              "votes", min_total=float("-inf"))
+    """The embedding dimensions as features of one dataset (no threshold:
+    dimensions are signed, so the share-total rule does not apply).  The array
+    column is the station's dense vector as it is."""
+    rows = V.table(spark, d, "embeddings").where(F.col("embedding").isNotNull())
+    dataset = F.lit("embeddings").alias("dataset_id")
+    vectors = rows.select(dataset, F.col("vec_id").cast("string").alias("id_bvote"),
+                          F.col("label").cast("string").alias("num_arrond"),
+                          F.col("embedding").cast("array<double>").alias("x"))
+    names = (rows.agg(F.max(F.size("embedding")).alias("p"))
+             .select(dataset, F.explode(F.sequence(F.lit(0), F.col("p") - 1)).alias("idx"))
+             .select("dataset_id", F.format_string("d%02d", "idx").alias("candidate"), "idx",
+                     F.lit(None).cast("double").alias("total")))
+    return ST.Features(vectors, names, "dataset_id", ("id_bvote", "num_arrond"))
 
 
 # SQL: zero-filled station × active-feature grid of the ballots view.
@@ -107,7 +114,7 @@ def q_correlation_matrix(spark, d):
     rows = []
     for r in ST.gram(feats.vectors, ["dataset_id"]).collect():
         f = names[r["dataset_id"]]
-        m = ST.moments(int(r["n"]), r["sx"].toArray(), ST._unpack(r["sxx"].toArray(), len(f)))
+        m = ST.moments_of(r, len(f))
         c = ST.standardized_cov(m)
         for i, a in enumerate(f):
             for j, b in enumerate(f):
@@ -135,9 +142,9 @@ def q_cross_correlation(spark, d):
     rv = feats.vectors.where(F.col("dataset_id") == right)
     s = ST.cca_sums(lv, rv, "id_bvote")
     fx, fy = names[left], names[right]
-    mx = ST.moments(s["n"], s["Sx"], ST._unpack(s["Sxx"], len(fx)))
-    my = ST.moments(s["n"], s["Sy"], ST._unpack(s["Syy"], len(fy)))
-    cross = (s["Sxy"].reshape(len(fx), len(fy)) - s["n"] * np.outer(mx.mean, my.mean))
+    mx = ST.moments(s["n"], s["mx"], s["Sx"], ST._unpack(s["Sxx"], len(fx)))
+    my = ST.moments(s["n"], s["my"], s["Sy"], ST._unpack(s["Syy"], len(fy)))
+    cross = s["Sxy"].reshape(len(fx), len(fy)) - np.outer(s["Sx"], s["Sy"]) / s["n"]
     r = cross / (s["n"] - 1) / np.outer(mx.std, my.std)
     rows = [(left, right, a, b, float(r[i, j])) for i, a in enumerate(fx)
             for j, b in enumerate(fy)]

@@ -7,9 +7,6 @@ driver entry point.
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import SparkSession
 
 # Settings every session of ours should carry.  AQE re-plans joins at runtime
@@ -43,20 +40,15 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint folder the cluster names; set one only if unset.
 
-    On a cluster ``spark.checkpoint.dir`` points to shared storage and is
-    honoured as is.  Only a bare local session (tests, bench) gets a fresh
-    scratch folder.
+    ``spark.checkpoint.dir`` points to shared storage and is honoured as is.
+    Where it is unset, a folder below the warehouse serves, which executors
+    share as well.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        sc.setCheckpointDir(configured)
-        return configured
-    if not sc.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-    folder = tempfile.mkdtemp(prefix="tallyspark-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+    folder = (spark.conf.get("spark.checkpoint.dir", None)
+              or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_staging")
     sc.setCheckpointDir(folder)
-    return folder
+    return sc.getCheckpointDir()

@@ -145,9 +145,6 @@ def typed_projection(df: DataFrame, strings: Iterable[str] = (), numbers: Iterab
     return df.select(*cols)
 
 
-LONG_STRINGS = ("id_bvote", "scrutin", "tour", "num_circ", "num_quartier", "num_arrond",
-                "num_bureau", "candidate", "candidate_source_column", "source_file",
-                "dataset_id", "source_bv_id", "nom", "prenom", "nuance", "liste")
 LONG_NUMBERS = ("nb_procu", "nb_inscr", "nb_emarg", "nb_votant", "nb_bl", "nb_nul",
                 "nb_bl_nul", "nb_exprim", "votes", "vote_share_exprimes",
                 "vote_share_registered")
@@ -155,7 +152,7 @@ LONG_NUMBERS = ("nb_procu", "nb_inscr", "nb_emarg", "nb_votant", "nb_bl", "nb_nu
 
 def long_types(df: DataFrame) -> DataFrame:
     """Output types of the long table."""
-    return typed_projection(df, LONG_STRINGS, LONG_NUMBERS, "annee", "date", ("raw_row_id",))
+    return typed_projection(df, fixed.LONG_STRINGS, LONG_NUMBERS, "annee", "date", ("raw_row_id",))
 
 
 # ------------------------------------------------------------ filters
@@ -351,7 +348,7 @@ def clean_folder(spark: SparkSession, root: str, materialize: bool = False
             schema = spark.read.parquet(path).schema
         except Exception as exc:  # noqa: BLE001 - reported per file
             reports.append(spark.createDataFrame(
-                [(name, "error", f"{type(exc).__name__}: {str(exc)[:300]}")],
+                [(name, "error", f"{type(exc).__name__}: {exc}")],
                 "source_file string, status string, reason string"))
             continue
         shape = "long" if is_long_shape(schema.fieldNames(), name) else "wide"

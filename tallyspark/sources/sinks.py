@@ -46,20 +46,16 @@ def export_tables(tables: Mapping[str, DataFrame | None], root: str) -> dict[str
 
 
 def export_by_key(df: DataFrame, key: str, path: str, fmt: str = "csv",
-                  key_column: str = "dataset_key", files_per_key: int = 8) -> str:
+                  key_column: str = "dataset_key") -> str:
     """S10 + S11 + S12: one folder per key value, named by the file-safe form
     of the key.  The key column itself stays in the files; rows with a null
     key go to ``unknown``.
 
-    Rows are shuffled on (key, salt) where the salt is a hash of the whole
-    row modulo ``files_per_key``: a key holding a third of the rows is
-    written by up to that many tasks instead of one, and each folder gets at
-    most that many files.  The hash is deterministic, so a retried task
-    writes the same rows.
+    Rows are rebalanced by key: AQE splits a key's rows over as many tasks as
+    their measured size asks for, and joins small keys.
     """
     out = df.withColumn(key_column, X.safe_name(key))
-    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(files_per_key))
-    writer = (out.repartition(key_column, salt).write.mode("overwrite")
+    writer = (out.hint("rebalance", key_column).write.mode("overwrite")
               .partitionBy(key_column))
     if fmt == "csv":
         writer.option("header", True).csv(path)

@@ -1,5 +1,7 @@
 """Incremental ingest: newly arriving long-family files are cleaned as they
-land, with the same batch operators, and appended to the long table.
+land, with the same batch operators, and added to the long table as one
+folder per micro-batch (a batch that runs again after a failure replaces its
+own folder).
 
 The source has no streaming operators; this is only the file-arrival form
 of the batch cleaner.  Each micro-batch holds whole files, and every
@@ -36,10 +38,10 @@ def incremental_clean_long(spark: SparkSession, source_dir: str, schema: T.Struc
     def clean_batch(batch: DataFrame, batch_id: int) -> None:
         long, report = I.clean_long(batch)
         if long is not None:
-            long.write.mode("append").parquet(target)
+            long.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
         if report_target:
-            I.report_frame(report).withColumn("batch_id", F.lit(batch_id)) \
-                .write.mode("append").parquet(report_target)
+            (I.report_frame(report).write.mode("overwrite")
+             .parquet(f"{report_target}/batch={batch_id}"))
 
     writer = stream.writeStream.foreachBatch(clean_batch).option("checkpointLocation",
                                                                  checkpoint)

@@ -53,6 +53,24 @@ def test_pca_matches_dense_svd(spark):
     np.testing.assert_allclose(ev.cumulative_variance_ratio.iloc[-1], 1.0)
 
 
+@pytest.mark.parametrize("offset", [1e3, 1e5, 1e7])
+def test_pca_of_columns_far_from_zero(spark, offset):
+    rng = np.random.default_rng(3)
+    a, b = offset + rng.random(200), rng.random(200)
+    X = np.c_[a, b, 2 * a + 0.01 * rng.random(200), np.full(200, 0.1)]
+    long = _long_from_matrix(spark, X)
+    feats = ST.feature_vectors(long, "dataset_id", ["id_bvote", "num_arrond"], "candidate", "v",
+                               min_total=0.0)
+    m = ST.fit_pca(feats)["d"]
+    Z = (X - X.mean(axis=0)) / np.where(np.ptp(X, axis=0) == 0, 1, X.std(axis=0, ddof=1))
+    Z[:, 3] = 0
+    want = np.linalg.svd(Z, compute_uv=False) ** 2 / 199
+    np.testing.assert_allclose(m.eigenvalues, want, atol=1e-6)
+    assert m.moments.constant.tolist() == [False, False, False, True]
+    std = {r.candidate: r.std for r in ST.feature_stats(feats).collect()}
+    np.testing.assert_allclose(m.moments.std, [std[f] for f in m.features], rtol=1e-7)
+
+
 def test_pca_two_features_closed_form(spark):
     rng = np.random.default_rng(1)
     a = rng.random(30)
