@@ -599,7 +599,10 @@ def route_sources(spark, d):
     return out
 
 
-@register("row_provenance")
+@register("row_provenance", """
+SELECT 'lineitem.parquet' AS source_file, 'lineitem' AS dataset_id,
+       row_number() OVER () - 1 AS raw_row_id, l_orderkey, l_linenumber FROM lineitem
+""")
 def row_provenance(spark, d):
     """S4 + S5: each line item with its file name, dataset id and 0-based row
     position in the file."""
