@@ -44,11 +44,16 @@ def list_sources(spark: SparkSession, root: str, pattern: str = "*.parquet",
 
 def is_long_shape(columns: Iterable[str], name: str = "",
                   prefix: str = fixed.LONG_FAMILY_PREFIX,
-                  shape_columns: Sequence[str] = fixed.LONG_SHAPE_COLUMNS) -> bool:
-    """S3: long if the file name has the long-family prefix or the columns
-    hold every long-shape column."""
+                  shape_columns: Sequence[str] = fixed.LONG_SHAPE_COLUMNS,
+                  wide_columns: Sequence[str] = fixed.REQUIRED_WIDE_COLUMNS) -> bool:
+    """S3: the columns decide.  Long if they hold every long-shape column, wide
+    if they hold (after aliases) every required wide one; only a file with
+    neither is told by the long-family prefix of its name."""
     cols = {normalize_name(c) for c in columns}
-    return os.path.basename(name).startswith(prefix) or set(shape_columns) <= cols
+    if set(shape_columns) <= cols:
+        return True
+    renamed = cols | {new for old, new in fixed.COLUMN_ALIASES if old in cols}
+    return not set(wide_columns) <= renamed and os.path.basename(name).startswith(prefix)
 
 
 @dataclass(frozen=True)
@@ -70,15 +75,24 @@ def route_sources(spark: SparkSession, paths: Sequence[str], **shape_args) -> li
     return out
 
 
-def read_with_provenance(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+PROVENANCE = ("source_file", "dataset_id", "raw_row_id")
+
+
+def read_with_provenance(spark: SparkSession, path: str | Sequence[str],
+                         path_column: str | None = None) -> DataFrame:
     """S1 + S4 + S5: scan with ``source_file`` (file name), ``dataset_id`` (name
     without extension) and ``raw_row_id`` (0-based row in the file, from the
     Parquet row index: stable across retries).  ``path`` may list several
-    files of one schema; they are read with one scan."""
+    files of one schema; they are read with one scan.  ``path_column`` adds
+    the whole path, which tells files of the same name apart.  Columns of the
+    file that have one of these names give way."""
     paths = [path] if isinstance(path, str) else list(path)
     df = spark.read.parquet(*paths)
+    taken = {*PROVENANCE, path_column}
+    own = [F.col(f"`{c}`") for c in df.columns if normalize_name(c) not in taken]
+    whole = [F.col("_metadata.file_path").alias(path_column)] if path_column else []
     return df.select(
-        "*",
+        *own, *whole,
         F.col("_metadata.file_name").alias("source_file"),
         F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "").alias("dataset_id"),
         F.col("_metadata.row_index").alias("raw_row_id"))
@@ -286,7 +300,7 @@ def clean_long(df: DataFrame, group: Sequence[str] = ("dataset_id", "source_file
     numeric = {c: R.is_numeric_type(df.schema[c].dataType) for c in
                ("votes", "vote_share_exprimes", "vote_share_registered") if c in df.columns}
     kept = kept.withColumns({c: X.to_number(c, n) for c, n in numeric.items()})
-    keys = [g for g in group if g == "dataset_id"] + ["id_bvote"]
+    keys = [g for g in group if g in ("dataset_id", "source_path")] + ["id_bvote"]
     out = TT.rebuild_station_totals(kept, keys)
     # Totals the long family does not carry, and the shares: the source share
     # when finite, else votes over the rebuilt total.
@@ -336,27 +350,42 @@ def clean_folder(spark: SparkSession, root: str, materialize: bool = False
 
     Files are grouped by (shape, schema) from their footers, and each group is
     read with one scan and cleaned with one plan (its rows keep their file in
-    ``source_file`` / ``dataset_id``), so a folder of thousands of files with
-    a handful of schemas gives a handful of plans, not thousands.  A file
-    whose schema cannot be read becomes an ``error`` report row.
+    ``source_path`` / ``source_file`` / ``dataset_id``; the path is the
+    identity), so a folder of thousands of files with a handful of schemas
+    gives a handful of plans, not thousands.  A file whose schema cannot be
+    read, or that its cleaner refuses, becomes an ``error`` report row with
+    the whole message.  A folder without source files raises
+    ``FileNotFoundError``.
     """
+    paths_found = list_sources(spark, root)
+    if not paths_found:
+        raise FileNotFoundError(f"no source files under {root}")
     longs, reports = [], []
     groups: dict[tuple, list[str]] = {}
-    for path in list_sources(spark, root):
+
+    def failed(paths: Sequence[str], exc: Exception) -> None:
+        reports.append(spark.createDataFrame(
+            [(p.rstrip("/").rsplit("/", 1)[-1], "error", f"{type(exc).__name__}: {exc}")
+             for p in paths], "source_file string, status string, reason string"))
+
+    for path in paths_found:
         name = path.rstrip("/").rsplit("/", 1)[-1]
         try:
             schema = spark.read.parquet(path).schema
         except Exception as exc:  # noqa: BLE001 - reported per file
-            reports.append(spark.createDataFrame(
-                [(name, "error", f"{type(exc).__name__}: {exc}")],
-                "source_file string, status string, reason string"))
+            failed([path], exc)
             continue
         shape = "long" if is_long_shape(schema.fieldNames(), name) else "wide"
         groups.setdefault((shape, schema.json()), []).append(path)
+    identity = ("dataset_id", "source_file", "source_path")
     for (shape, _), paths in groups.items():
-        raw = read_with_provenance(spark, paths)
-        cleaned, rep = (clean_long(raw, materialize=materialize) if shape == "long"
-                        else clean_wide(raw, materialize=materialize))
+        try:
+            raw = read_with_provenance(spark, paths, "source_path")
+            cleaned, rep = (clean_long if shape == "long" else clean_wide)(
+                raw, group=identity, materialize=materialize)
+        except Exception as exc:  # noqa: BLE001 - reported per file
+            failed(paths, exc)
+            continue
         reports.append(report_frame(rep))
         if cleaned is not None:
             longs.append(cleaned)

@@ -119,6 +119,36 @@ def test_same_schema_files_one_scan(spark):
                    ("elections-europeennes-2012", 1)]
 
 
+def _wide_file(folder, name, n, **extra):
+    os.makedirs(folder, exist_ok=True)
+    pd.DataFrame({"id_bvote": [f"1-{k}" for k in range(n)], "scrutin": ["x"] * n,
+                  "annee": ["2019"] * n, "tour": ["1"] * n, "num_arrond": ["1"] * n,
+                  "num_bureau": [str(k) for k in range(n)], "nb_inscr": [9.0] * n,
+                  "nb_votant": [8.0] * n, "nb_exprim": [7.0] * n, "A": [3.0] * n,
+                  "B": [4.0] * n, **{k: [v] * n for k, v in extra.items()}}
+                 ).to_parquet(os.path.join(folder, name))
+
+
+def test_files_are_told_by_path_and_routed_by_columns(spark):
+    d = tempfile.mkdtemp(prefix="tallyspark-paths-")
+    name = "elections-municipales-2020-1ertour.parquet"   # long family by name, wide by columns
+    _wide_file(os.path.join(d, "a"), name, 3)
+    _wide_file(os.path.join(d, "b"), name, 2)
+    _wide_file(d, "own.parquet", 2, dataset_id="theirs", raw_row_id=5)
+    long, report = I.clean_folder(spark, d)
+    rows = sorted((r.file, r.status, r.rows_raw, r.rows_clean_long) for r in report.collect())
+    assert rows == [(name, "ok", 2, 4), (name, "ok", 3, 6), ("own.parquet", "ok", 2, 4)]
+    keys = long.select("source_path", "raw_row_id", "candidate")
+    assert keys.distinct().count() == long.count() == 14
+    assert {r.dataset_id for r in long.select("dataset_id").collect()} \
+        == {"own", name.removesuffix(".parquet")}
+
+
+def test_empty_folder_is_an_error(spark):
+    with pytest.raises(FileNotFoundError):
+        I.clean_folder(spark, tempfile.mkdtemp(prefix="tallyspark-empty-"))
+
+
 def test_exact_median_half_even(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", 4.0), ("a", 9.0),
                                 ("b", 2.0), ("b", 3.0), ("c", None)], "k string, v double")
