@@ -113,7 +113,8 @@ def _station_check(spark, d):
 
 @register("station_vote_check", STATION_CHECK_SQL, STATION_DOUBLES)
 def station_vote_check(spark, d):
-    """A4: sum of line amounts per order against the order's reported total."""
+    """A4: sum of line amounts per order against the order's reported total.
+    Only orders that have lines are judged, as the check goes over result rows."""
     return _station_check(spark, d)
 
 
