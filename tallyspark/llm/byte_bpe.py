@@ -16,13 +16,13 @@ whole.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .tokens import SpaceChunks
 
@@ -111,6 +111,7 @@ class BacktrackBPE:
         if rank is not None and rank in self.parts:
             return [rank]
         size, length, shorter = len(data), self.length, self.shorter
+        may_follow = self.may_follow
         longest: list[int] = [0] * size
         for end, token in self.automaton.iter(data.decode("latin-1")):
             longest[end + 1 - length[token]] = token  # ends rise, so the longest stays
@@ -119,7 +120,7 @@ class BacktrackBPE:
         at, token = 0, longest[0] if size else None
         while at < size:
             end = at + length[token]
-            if open_end[end] and (not ids or self.may_follow(ids[-1], token)):
+            if open_end[end] and (not ids or may_follow(ids[-1], token)):
                 ids.append(token)
                 at = end
                 token = longest[at] if at < size else None
@@ -144,25 +145,17 @@ def load(path: str) -> BacktrackBPE:
 def _chunks(path: str, pattern: str) -> SpaceChunks:
     import regex
     bpe, matches = load(path), regex.compile(pattern)
-    known: dict[str, bytes] = {}
+
+    def packed(match: str) -> bytes:
+        return array("I", bpe.encode(match.encode())).tobytes()
 
     def encode(texts: list[str]) -> list[bytes]:
-        out = []
-        for text in texts:
-            ids = b""
-            for match in matches.findall(text):
-                packed = known.get(match)
-                if packed is None:
-                    packed = np.array(bpe.encode(match.encode()), "<u4").tobytes()
-                    if len(match) < 32:
-                        if len(known) >= 100_000:
-                            known.clear()
-                        known[match] = packed
-                ids += packed
-            out.append(ids)
-        return out
-
-    return SpaceChunks(encode)
+        return [b"".join(map(packed, matches.findall(text))) for text in texts]
+
+    def encode_words(words: list[str]) -> list[bytes]:  # letters after a space: one match
+        return [packed(" " + word) for word in words]
+
+    return SpaceChunks(encode, encode_words)
 
 
 def encode_text(text: str, path: str, pattern: str) -> bytes:
@@ -170,30 +163,43 @@ def encode_text(text: str, path: str, pattern: str) -> bytes:
     return b"".join(_chunks(path, pattern).pieces(text))
 
 
-def encode(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id",
-           text: str = "text") -> DataFrame:
-    """(key, ids binary) per row: the ids as little-endian unsigned 32-bit integers."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = [encode_text(t.as_py() or "", ranks, pattern) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())],
-                                             [key, "ids"])
+def decode_ids(ids: bytes, path: str) -> bytes:
+    return load(path).decode(np.frombuffer(ids, "<u4").tolist())
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, ids binary")
 
+def _over(table: DataFrame, key: str, value: str, outputs: dict) -> DataFrame:
+    """``key`` and, for each row's ``value``, the binary ``outputs``: name -> function chain."""
+    names = list(outputs)
 
-def decode(encoded: DataFrame, ranks: str, key: str = "doc_id") -> DataFrame:
-    """(key, ids, bytes): the bytes that the ids stand for."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(ranks)
         for batch in batches:
-            data = [bpe.decode(np.frombuffer(i.as_py() or b"", "<u4").tolist())
-                    for i in batch.column(1)]
+            columns = [[] for _ in names]
+            for x in batch.column(1):
+                value = x.as_py()
+                for column, name in zip(columns, names):
+                    value = outputs[name](value)
+                    column.append(value)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(data, pa.binary())],
-                [key, "ids", "bytes"])
+                [batch.column(0), *(pa.array(c, pa.binary()) for c in columns)], [key, *names])
+
+    kind = table.schema[key].dataType.simpleString()
+    return (table.select(key, value)
+            .mapInArrow(run, f"`{key}` {kind}, " + ", ".join(f"`{n}` binary" for n in names)))
+
+
+def encode(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id",
+           text: str = "text") -> DataFrame:
+    """(key, ids) per row: the ids as little-endian unsigned 32-bit integers."""
+    return _over(docs, key, text, {"ids": lambda t: encode_text(t or "", ranks, pattern)})
+
+
+def decode(encoded: DataFrame, ranks: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
+    """(key, bytes): the bytes that the ids stand for."""
+    return _over(encoded, key, ids, {"bytes": lambda i: decode_ids(i or b"", ranks)})
+
 
-    kind = encoded.schema[key].dataType.simpleString()
-    return (encoded.select(key, F.col("ids"))
-            .mapInArrow(run, f"`{key}` {kind}, ids binary, bytes binary"))
+def round_trip(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id",
+               text: str = "text") -> DataFrame:
+    """(key, ids, bytes): texts encoded and their ids decoded, in one pass over the rows."""
+    return _over(docs, key, text, {"ids": lambda t: encode_text(t or "", ranks, pattern),
+                                   "bytes": lambda i: decode_ids(i, ranks)})

@@ -1,8 +1,8 @@
 """Word-memoised use of tokenizers inside tasks.
 
 A tokenizer spends nearly all its time on words it has met before.  Text is cut
-at places where no token can cross and the tokens of each chunk are kept in a
-dictionary of bounded size; the library itself encodes every chunk that is not
+at places where no token can cross and the tokens of each chunk are kept in two
+generations of a dictionary of bounded size; the library itself encodes every chunk that is not
 in it, so results are the library's.
 
 Byte-level patterns never cross a single space between two non-space
@@ -31,8 +31,8 @@ _ASCII_SPACE = re.compile("[\x20\x09-\x0d]+")
 #: Beyond these letters, lower case may depend on context or change length.
 _NOT_SIMPLE = re.compile("[^\x00-įĲ-ſ]|<\\|")
 
-#: Chunks kept per Python worker; the dictionary is emptied beyond it.
-MEMO_LIMIT = 800_000
+#: Chunks in a generation of the memo, of which a Python worker keeps two.
+MEMO_LIMIT = 250_000
 
 Encode = Callable[[list[str]], list]
 
@@ -51,6 +51,7 @@ class ChunkMemo:
         self.encode = lambda chunks: encode([as_text(c) for c in chunks])
         self.encode_words = encode_words or self.encode
         self.known: dict = {}
+        self.older: dict = {}
         self.marks = dict(zip(sorted(_MARKS), encode(sorted(_MARKS))))
 
     def values(self, chunks: list[str]) -> list:
@@ -58,14 +59,17 @@ class ChunkMemo:
         found = list(map(self.known.get, chunks))
         if None not in found:
             return found
-        known = self.known
-        if len(known) > self.limit:
-            known = self.known = {c: v for c, v in zip(chunks, found) if v is not None}
+        if len(self.known) > self.limit:  # chunks still in use come back from the older half
+            self.older, self.known = self.known, {}
+            found = [None] * len(chunks)
+        known, older = self.known, self.older
         words: dict[str, None] = {}
         others: list[str] = []
         marked: list[str] = []
         for chunk in {c for c, v in zip(chunks, found) if v is None}:
-            if chunk.isalpha():
+            if (value := older.get(chunk)) is not None:
+                known[chunk] = value
+            elif chunk.isalpha():
                 words[chunk] = None
             elif chunk and chunk[-1] in _MARKS and chunk[:-1].isalpha():
                 marked.append(chunk)
