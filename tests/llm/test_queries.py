@@ -12,6 +12,7 @@ import __spark_entry__ as E
 import corpus_pipeline
 from tallyspark.llm import quality
 from tallyspark.llm.queries import QUERIES
+from tallyspark.llm.staging import new_folder
 from tools.oracle_check import TABLES, digest
 
 SF = "/root/testdata/sf0.001"
@@ -78,10 +79,10 @@ def test_runs_whole(spark, con, name):
     if name == "op10_packing":
         assert {r.doc_id for r in rows} == {k for k, _ in documents(con)}
     elif name == "op1_hnsw":
-        queries = con.sql("SELECT count(*) FROM embeddings WHERE vec_id % 100 = 0").fetchone()[0]
+        queries = con.sql("SELECT count(*) FROM embeddings WHERE vec_id % 100 = 0").fetchall()[0][0]
         assert len(rows) == 10 * queries
     else:
-        assert len(rows) == con.sql(f"SELECT count(*) FROM {table}").fetchone()[0]
+        assert len(rows) == con.sql(f"SELECT count(*) FROM {table}").fetchall()[0][0]
     if name == "op3_toxicity":
         assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in rows)
 
@@ -97,7 +98,9 @@ def test_pipeline_against_brute_force(spark, con):
     stay = {k: t for k, t in left if first[k][1] == k}
     frames, frame = [], docs
     for name, function in corpus_pipeline.STAGES[:4]:
-        frame = function(spark, frame, SF).cache()
+        path = new_folder(spark, "test-stage")
+        function(spark, frame, SF).write.parquet(path)
+        frame = spark.read.parquet(path)
         frames.append({r.doc_id: r.text for r in frame.collect()})
         assert frame.columns == docs.columns
     assert frames[0] == dict(good) and frames[1] == dict(left) and frames[2] == stay
