@@ -326,7 +326,8 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, key: s
     members = (classes.where(F.col("node").isNotNull()).join(_blocks(described), "f1")
                .withColumn("level", level))
     tiles = stage(_tiles(stage(members, "members")), "tiles")
-    sets = (rows.join(tiles, rows["key"] == tiles["node"])
+    # The tiles grow with the data: never broadcast, the same plan at every size.
+    sets = (rows.join(tiles.hint("merge"), rows["key"] == tiles["node"])
             .select("node", "f1", "tiles", "text")
             .mapInArrow(_grams(size),
                         "node long, tiles array<struct<tile:string,side:int>>, grams binary"))
