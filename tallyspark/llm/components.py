@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .staging import stage
+from .staging import stage, unstage
 
 
 def contract(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -59,7 +59,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     a, b = (F.col(c) for c in edges.columns[:2])
     stars = edges.select(F.greatest(a, b).alias("node"), F.least(a, b).alias("root"))
     stars = stars.where("node <> root")
-    seen = None
+    seen = last = None
     while True:
         local = (stars.repartition("node").mapInArrow(_contract_part, "node long, root long")
                  .distinct())
@@ -70,6 +70,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         # A row that repeats a node, or whose root is a node, keeps the rounds going.
         state = stars.agg(F.count(F.lit(1)), F.sum(F.xxhash64("node", "root")
                                                    .cast("decimal(38,0)"))).first()
+        unstage(local, *[last] if last is not None else [])
         if state == seen:
             return stars
-        seen = state
+        seen, last = state, stars

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .staging import stage
+from .staging import stage, unstage
 
 #: Characters stripped from both ends of a line.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -80,10 +80,12 @@ def keep_bitmaps(docs: DataFrame, key: str = "doc_id", text: str = "text", min_c
                .select("_doc", "_text", F.expr("_pos div 64").cast("int").alias("word"),
                        F.expr("shiftleft(1L, int(_pos % 64))").alias("bit")))
     words = dropped.groupBy("_doc", "_text", "word").agg(F.bit_or("bit").alias("gone"))
-    return words.groupBy("_doc", "_text").agg(
+    bitmaps = stage(words.groupBy("_doc", "_text").agg(
         F.sum(F.bit_count("gone")).cast("long").alias("n_dropped"),
         F.sort_array(F.collect_list(F.struct("word", F.bitwise_not("gone").alias("bits"))))
-        .alias("keep"))
+        .alias("keep")), "keep")
+    unstage(lines, shared)
+    return bitmaps
 
 
 def apply_keep(docs: DataFrame, bitmaps: DataFrame, key: str = "doc_id",

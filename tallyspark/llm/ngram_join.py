@@ -11,6 +11,8 @@
    stream that links neighbours, so nothing is paired and a segment that very
    many share is spread over tasks.  The connected components of these links are
    the blocks; no similar pair lies across blocks.
+   A block of more than ``TILE`` elements is split by the components of what
+   small sketches of its sets allow, which again parts no similar pair.
 3. Product.  In each block the class by n-gram incidence matrix is multiplied by
    its transpose row by row: overlap counts are accumulated over the columns of
    a row, rows out of the size bounds and rows already linked are discarded.  A
@@ -35,17 +37,19 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components, contract
-from .staging import stage
+from .staging import stage, unstage
 from .words import mix, slices
 
 #: Ratio of the bounds of a size level.
 RATIO = 1.5
-#: Elements (shingles) of a tile.
-TILE = 1 << 20
+#: Elements (shingles) of a tile: some 150 MB in its task.
+TILE = 3 << 20
+#: Sketches of a tile, when large blocks are split.
+SKETCH_ROWS = 4096
 
 
 @lru_cache(maxsize=None)
@@ -104,8 +108,19 @@ def _signatures(hashes: np.ndarray, level: int, percent: int) -> np.ndarray:
     return keys if segments - full.sum() > segments - 1 - most else keys[full]
 
 
+def _sketches(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Per text how many of its elements fall into each of 128 parts of the hash space.
+
+    Two sets differ in no fewer elements than their counts do.
+    """
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    part = (mix(hashes + np.uint64(29)) >> np.uint64(57)).astype(np.int64)
+    counts = np.bincount(text * 128 + part, minlength=128 * len(sizes))
+    return np.minimum(counts, 255).astype(np.uint8).reshape(-1, 128)
+
+
 def _describe(size: int, percent: int, text: str):
-    """Per row its size, fingerprints and, once per task and set, its signatures."""
+    """Per row its size, fingerprints, sketch and, once per task and set, its signatures."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
@@ -132,10 +147,11 @@ def _describe(size: int, percent: int, text: str):
                 offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
                 keys = pa.ListArray.from_arrays(
                     offsets, pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int64)))
+                sketches = [x.tobytes() for x in _sketches(hashes, sizes)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("key").slice(row, texts.count), pa.array(sizes.astype(np.int64)),
-                     pa.array(one), pa.array(two), keys],
-                    ["key", "n", "f1", "f2", "segments"])
+                     pa.array(one), pa.array(two), pa.array(sketches, pa.binary()), keys],
+                    ["key", "n", "f1", "f2", "sketch", "segments"])
     return run
 
 
@@ -182,8 +198,10 @@ def _blocks(described: DataFrame) -> DataFrame:
                     F.lag("segment").over(order).alias("before"))
             .where("segment = before and node <> root").select("node", "root"))
     stars = connected_components(linked.where("kind = 0").select("node", "root").unionByName(seam))
-    return stage(stars.select(F.col("node").alias("f1"), F.col("root").alias("block"))
-                 .union(stars.select("root", "root").distinct()), "blocks")
+    blocks = stage(stars.select(F.col("node").alias("f1"), F.col("root").alias("block"))
+                   .union(stars.select("root", "root").distinct()), "blocks")
+    unstage(linked, stars)
+    return blocks
 
 
 def _product(sets: list[np.ndarray], sides: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -270,18 +288,22 @@ def _grams(size: int):
     return run
 
 
-def _tiles(members: DataFrame) -> DataFrame:
+def _large(members: DataFrame, weight: Column, limit: int) -> DataFrame:
+    """The blocks that weigh more than ``limit``."""
+    return (members.groupBy("block").agg(F.sum(weight).alias("whole"))
+            .where(F.col("whole") > limit).select("block"))
+
+
+def _tiles(members: DataFrame, weight: Column, limit: int, *payload: str) -> DataFrame:
     """``members`` with the (tile, side) pairs each class takes part in.
 
-    A block of at most TILE elements is one tile.  A larger one is cut by size
+    A block of at most ``limit`` weight is one tile.  A larger one is cut by size
     level and hash into chunks of about half a tile; chunks of the same and of
     neighbouring levels are paired, which is where partners can be.
     """
-    chunk = TILE // 2
-    totals = members.groupBy("block").agg(F.sum("n").alias("whole"))
-    large = totals.where(F.col("whole") > TILE).select("block")
+    large = _large(members, weight, limit)
     counts = (members.join(large, "block", "left_semi").groupBy("block", "level")
-              .agg(F.ceil(F.sum("n") / chunk).alias("chunks")))
+              .agg(F.ceil(F.sum(weight) / (limit // 2)).alias("chunks")))
     by_level = F.map_from_entries(F.collect_list(F.struct("level", "chunks"))).alias("chunks")
     per_block = counts.groupBy("block").agg(by_level)  # a few dozen levels
     joined = members.join(per_block, "block", "left")
@@ -303,7 +325,65 @@ def _tiles(members: DataFrame) -> DataFrame:
                   F.pmod(F.xxhash64("node"), F.col("chunks")[F.col("level")]))
     return (joined.withColumn("mine", mine)
             .withColumn("tiles", F.when(F.col("chunks").isNull(), one).otherwise(many))
-            .select("node", "f1", "tiles"))
+            .select("node", "f1", "tiles", *payload))
+
+
+def _near_sketches(percent: int):
+    """Links of tile rows whose sketches allow the similarity; rows sorted by tile."""
+    def links(nodes, rows, sizes, sides):
+        order = np.argsort(sizes, kind="stable")
+        sketch = np.frombuffer(b"".join(rows), np.uint8).reshape(-1, 128)[order].astype(np.int16)
+        size, side, label = np.array(sizes)[order], np.array(sides)[order], np.arange(len(order))
+        for i in range(len(order)):
+            to = np.searchsorted(size, size[i] * 100 // percent, side="right")
+            open_ = label[i + 1:to] != label[i]
+            if side[i]:
+                open_ &= side[i + 1:to] != side[i]
+            at = np.flatnonzero(open_) + i + 1
+            if not len(at):
+                continue
+            apart = np.abs(sketch[at] - sketch[i]).sum(1, dtype=np.int64)
+            for j in at[apart * (100 + percent) <= (size[at] + size[i]) * (100 - percent)]:
+                if label[j] != label[i]:
+                    yield nodes[order[i]], nodes[order[j]]
+                    label[label == label[j]] = label[i]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held = None, ([], [], [], [])
+        out: list[tuple[int, int]] = []
+        for batch in batches:
+            for tile, *row in zip(*(batch.column(c).to_pylist() for c in
+                                    ("tile", "node", "sketch", "n", "side"))):
+                if tile != current:
+                    out.extend(links(*held))
+                    current, held = tile, ([], [], [], [])
+                for column, value in zip(held, row):
+                    column.append(value)
+        out.extend(links(*held) if held[0] else ())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+    return run
+
+
+def _refine(members: DataFrame, percent: int) -> DataFrame:
+    """``members`` with the large blocks split by what sketches allow.
+
+    Passages that many documents share can tie unlike documents into one block.
+    Sketches are small, so a large block's tiles can hold them; rows whose sketches
+    are too far apart are not similar, and components of the rest are the blocks.
+    """
+    large = _large(members, F.col("n"), TILE)
+    own = stage(members.join(large, "block", "left_semi"), "large")
+    tiles = _tiles(own, F.lit(1), SKETCH_ROWS, "n", "sketch")
+    links = (tiles.select("node", "n", "sketch", F.explode("tiles").alias("t"))
+             .select("t.tile", "t.side", "node", "n", "sketch")
+             .repartition("tile").sortWithinPartitions("tile", "node")
+             .mapInArrow(_near_sketches(percent), "a long, b long"))
+    roots = connected_components(stage(links, "sketch-links"))
+    label = roots.select("node", "root").union(roots.select("root", "root").distinct())
+    split = (own.drop("block").join(label.withColumnRenamed("root", "block"), "node"))
+    return (members.join(large, "block", "left_anti")
+            .unionByName(split.select(*members.columns)))
 
 
 def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id",
@@ -318,14 +398,21 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, key: s
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     described = stage(rows.mapInArrow(
         _describe(size, percent, "text"),
-        "key long, n long, f1 long, f2 long, segments array<long>"), "described")
-    classes = (described.where("n > 0").groupBy("f1", "f2")
-               .agg(F.min("key").alias("node"), F.first("n").alias("n")))
+        "key long, n long, f1 long, f2 long, sketch binary, segments array<long>"), "described")
+    blocks = _blocks(described)
+    slim = stage(described.drop("segments"), "sets")
+    unstage(described)
+    classes = (slim.where("n > 0").groupBy("f1", "f2")
+               .agg(F.min("key").alias("node"), F.first("n").alias("n"),
+                    F.first("sketch").alias("sketch")))
     classes = stage(classes, "classes")
     level = F.floor(F.log(F.col("n").cast("double")) / math.log(RATIO)).cast("long")
-    members = (classes.where(F.col("node").isNotNull()).join(_blocks(described), "f1")
+    members = (classes.where(F.col("node").isNotNull()).join(blocks, "f1")
                .withColumn("level", level))
-    tiles = stage(_tiles(stage(members, "members")), "tiles")
+    members = stage(members, "members")
+    refined = stage(_refine(members, percent).drop("sketch"), "refined")
+    tiles = stage(_tiles(refined, F.col("n"), TILE), "tiles")
+    unstage(members, refined, blocks)
     # The tiles grow with the data: never broadcast, the same plan at every size.
     sets = (rows.join(tiles.hint("merge"), rows["key"] == tiles["node"])
             .select("node", "f1", "tiles", "text")
@@ -335,10 +422,12 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, key: s
              .select("t.tile", "t.side", "node", "grams")
              .repartition("tile").sortWithinPartitions("tile", "node")
              .mapInArrow(_multiply(percent), "a long, b long"))
-    roots = connected_components(stage(links, "links"))
+    links = stage(links, "links")
+    roots = connected_components(links)
+    unstage(links, tiles)
     final = (classes.join(roots, "node", "left")
              .select("f1", "f2", F.coalesce("root", "node").alias("component_id")))
-    return (described.select("key", "n", "f1", "f2").join(final, ["f1", "f2"], "left")
+    return (slim.select("key", "n", "f1", "f2").join(final, ["f1", "f2"], "left")
             .select(F.col("key").alias(key), F.col("n").alias("n_shingles"),
                     F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("key"))
                     .alias("component_id")))

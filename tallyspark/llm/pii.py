@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .staging import stage
+from .staging import stage, unstage
 
 KINDS = ["email", "ip", "card", "phone", "term"]
 _LOCAL = "[A-Za-z0-9._%+-]"
@@ -175,6 +175,7 @@ def pii_spans(docs: DataFrame, text: str = "text", min_texts: int = MIN_TEXTS,
             .groupBy("_digest").agg(F.map_from_entries(F.collect_list(F.struct("term", "share")))
                                     .alias("_told")))
     told = stage(told, "told")
+    unstage(held, terms)
     joined = based.withColumn("_digest", digest).join(told, "_digest", "left")
     pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(F.map_keys("_told"), "|"),
                        F.lit(r")(?!\p{L})"))

@@ -54,7 +54,15 @@ def stage(df: DataFrame, name: str, **options) -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark, name)
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    staged = spark.read.schema(df.schema).parquet(path)
+    staged.staged_at = path
+    return staged
+
+
+def unstage(*frames: DataFrame) -> None:
+    """Remove staged tables that no later step reads: what came of them is staged itself."""
+    for df in frames:
+        remove(df.sparkSession, df.staged_at)
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -95,6 +95,7 @@ def test_line_dedup_many_lines(spark):
 def test_ngram_join(spark, docs, monkeypatch, size, percent, tile):
     if tile:
         monkeypatch.setattr(ngram_join, "TILE", tile)
+        monkeypatch.setattr(ngram_join, "SKETCH_ROWS", 6)
     rows = [(k, t) for k, t in corpus() if k is not None]
     got = ngram_join.jaccard_components(docs, size, percent).collect()
     assert len(got) == len(corpus())
