@@ -4,13 +4,19 @@ Base kinds (email, ip, card, phone) are found by patterns over whole texts; each
 pattern is written so that it takes time linear in the text and finds what the
 plain pattern, leftmost and without overlaps, finds.
 
-Terms next to a protected entity may reveal it by themselves.  Over the corpus,
-with equal texts counted once, the pointwise mutual information of term t and
-entity e is log2(N n(t,e) / (n(t) n(e))), where n(t,e) counts texts that have t
-near e.  Its share of the information of e, log2(N / n(e)), is 1 if t names e and
-0 if t says nothing.  In the texts that hold e, terms whose share passes
-``generalise_at`` are replaced by a class tag, beyond ``remove_at`` they go.  Below
-``min_texts`` joint texts there is no evidence, and nothing is done.
+Terms in the text of a protected entity may reveal it by themselves.  Over the
+corpus, with equal texts counted once and words counted over whole texts, the
+pointwise mutual information of term t and unit x is log2(N n(t,x) / (n(t) n(x))),
+where n(t,x) counts texts that have both.  Its share of the information of x,
+log2(N / n(x)), is 1 if t names x and 0 if t says nothing.  An entity that few texts
+hold backs off to units that repeat: a text stands for the units ``_units`` lists,
+the entity, its domain or prefixes, and its kind; units that only one text holds are
+one unit.  Below ``min_texts`` joint texts n(t) counts ``SMOOTH`` texts more, in which
+t would stand without x.  In the texts that hold x, terms whose share passes
+``generalise_at`` are replaced by a class tag, beyond ``remove_at`` they go.
+
+Terms are words of any length; in scripts without blanks, pairs of neighbouring
+characters.  Words inside an email address belong to it and are no terms of the text.
 
 Everything is DataFrame functions.
 
@@ -22,7 +28,7 @@ reported, and hidden together.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .staging import stage, unstage
@@ -39,9 +45,18 @@ PATTERNS = {
     "card": (r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){15,18}(?![\x20-]?[0-9])", ""),
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "+"),
 }
-#: Characters on either side of an entity that count as near it.
-NEAR = 80
 MIN_TEXTS, GENERALISE_AT, REMOVE_AT = 3, 0.8, 0.95
+#: Texts that a term counts more where its joint texts are few.
+SMOOTH = 1
+_BLANKLESS = "".join(rf"\p{{Is{s}}}" for s in (
+    "Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar", "Tibetan")) + "\u30fc"
+#: What a text with any such character contains, and with none does not.
+_HIGH = r"[\u0E00-\x{10FFFF}]"
+#: Bits that mark digests of several rows.
+_BITS = 1 << 22
+#: Addresses (taken whole, then left out), runs without blanks, words.
+_WORD = (rf"(?<!{_LOCAL}){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
+         rf"|[{_BLANKLESS}&&[\p{{L}}\p{{M}}]]++|[\p{{L}}\p{{M}}&&[^{_BLANKLESS}]]++")
 _SPAN = "array<struct<start:int,end:int,value:string>>"
 
 
@@ -102,90 +117,144 @@ def with_base_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     return rows.drop("_digit")
 
 
-def _entities() -> Column:
-    """All base spans of a row, each with a normal form that names the entity."""
+def _units() -> Column:
+    """Names of what the base spans of a row stand for: entities, what groups them, kinds."""
     def named(kind: str) -> Column:
-        normal = {"email": F.lower, "ip": lambda v: v}.get(kind, _digits)
-        return F.transform(f"_{kind}", lambda s: F.struct(
-            s["start"].alias("start"), s["end"].alias("end"),
-            F.concat(F.lit(kind + ":"), normal(s["value"])).alias("entity")))
-    return F.concat(*[named(k) for k in PATTERNS])
-
-
-def _near_terms(text: Column, span: Column) -> Column:
-    """Words of letters near a span, in lower case, without cut-off ones."""
-    before = F.substr(text, F.greatest(span["start"] + 1 - NEAR, F.lit(1)),
-                      F.least(span["start"], F.lit(NEAR)))
-    after = F.substr(text, span["end"] + 1, F.lit(NEAR))
-    whole_before = F.when(span["start"] > NEAR, F.regexp_replace(before, r"^\S+", "")) \
-        .otherwise(before)
-    whole_after = F.when(F.length(after) == NEAR, F.regexp_replace(after, r"\S+$", "")) \
-        .otherwise(after)
-    plain = F.regexp_replace(F.concat_ws(" | ", whole_before, whole_after), r"\S*[@0-9]\S*", " ")
-    return F.array_distinct(F.regexp_extract_all(F.lower(plain), F.lit(r"\p{L}{3,}"), F.lit(0)))
-
-
-def entity_contexts(based: DataFrame) -> DataFrame:
-    """(digest, entity, terms) of every base span; equal texts have equal digests."""
-    return (based.select(F.xxhash64("_whole").alias("digest"), "_whole",
-                         _entities().alias("entities"))
-            .where(F.size("entities") > 0)
-            .select("digest", "_whole", F.explode("entities").alias("e"))
-            .select("digest", F.col("e.entity").alias("entity"),
-                    _near_terms(F.col("_whole"), F.col("e")).alias("terms")))
-
-
-def disclosing_terms(docs: DataFrame, held: DataFrame, text: str = "text",
+        def units(s: Column) -> Column:
+            value = s["value"]
+            names = {
+                "email": lambda: [F.lower(value), F.substring_index(F.lower(value), "@", -1)],
+                "ip": lambda: [value, F.substring_index(value, ".", 3),
+                               F.substring_index(value, ".", 2)],
+                "card": lambda: [_digits(value), F.substr(_digits(value), F.lit(1), F.lit(6))],
+                "phone": lambda: [_digits(value), F.regexp_replace(_digits(value), ".{4}$", "")],
+            }[kind]()
+            return F.array(*[F.concat(F.lit(f"{kind}{i}:"), n) for i, n in enumerate(names)],
+                           F.lit(f"{kind}:"))
+        return F.flatten(F.transform(f"_{kind}", units))
+    return F.array_distinct(F.concat(*[named(k) for k in PATTERNS]))
+
+
+def _pieces(word: Column) -> Column:
+    """The terms of a match of _WORD, in order; none of an address."""
+    low = F.lower(word)
+    return (F.when(word.contains("@"), F.array().cast("array<string>"))
+            .when(word.rlike(f"^[{_BLANKLESS}]{{2,}}"),
+                  F.regexp_extract_all(low, F.lit("(?s)(?=(..))"), F.lit(1)))
+            .otherwise(F.array(low)))
+
+
+def _holds() -> Column:
+    return sum((F.size(f"_{k}") for k in PATTERNS), F.lit(0)) > 0
+
+
+def _occurrences(held: DataFrame) -> DataFrame:
+    """(digest, start, end, term) of every term in the texts of ``held``."""
+    words = F.regexp_extract_all("_whole", F.lit(_WORD), F.lit(0))
+    parts = F.arrays_zip(F.split("_whole", _WORD, -1).alias("gap"), words.alias("word"))
+    upto = Window.partitionBy("digest").orderBy("pos").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    size = F.length("gap") + F.coalesce(F.length("word"), F.lit(0))
+    return (held.select("digest", F.posexplode(parts).alias("pos", "part"))
+            .select("digest", "pos", "part.gap", "part.word")
+            .withColumn("start", (F.sum(size).over(upto) - F.length("word")).cast("int"))
+            .where(F.col("word").isNotNull())
+            .select("digest", "start", F.posexplode(_pieces(F.col("word"))).alias("at", "term"))
+            .select("digest", (F.col("start") + F.col("at")).alias("start"),
+                    (F.col("start") + F.col("at") + F.length("term")).alias("end"), "term"))
+
+
+def _terms(text: Column) -> Column:
+    """The distinct terms of a text.  Only some texts need the slow pattern."""
+    lower = lambda words: F.transform(words, F.lower)
+    return F.array_distinct(
+        F.when(text.contains("@") | text.rlike(_HIGH), F.flatten(F.transform(
+            F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)), _pieces)))
+        .otherwise(lower(F.regexp_extract_all(text, F.lit(r"[\p{L}\p{M}]++"), F.lit(0)))))
+
+
+def _once(rows: DataFrame) -> tuple[DataFrame, int]:
+    """``rows`` (digest, _whole) with equal texts once, and their number.
+
+    Only texts that may have equals are sent anywhere: digests of several rows set bits
+    of a mask of fixed size, and a text whose bit is not set has none.
+    """
+    per = stage(rows.groupBy("digest").agg(F.count("*").alias("n")), "digests")
+    bit = F.pmod(F.col("digest"), F.lit(_BITS))
+    word, flag = F.expr(f"pmod(digest, {_BITS}) div 64"), (bit % 64).cast("int")
+    masks = stage(per.where("n > 1").select(word.alias("word"), F.call_function(
+        "shiftleft", F.lit(1).cast("long"), flag).alias("mask"))
+        .groupBy("word").agg(F.bit_or("mask").alias("mask")), "masks")
+    total = per.count()
+    unstage(per)
+    marked = (rows.withColumn("word", word)
+              .join(F.broadcast(masks), "word", "left")  # _BITS / 64 rows at most
+              .withColumn("maybe", F.coalesce(F.call_function(
+                  "shiftrightunsigned", F.col("mask"), flag).bitwiseAND(F.lit(1)), F.lit(0)) == 1))
+    alone = marked.where(~F.col("maybe")).select("digest", "_whole")
+    again = marked.where("maybe").groupBy("digest").agg(F.first("_whole").alias("_whole"))
+    return alone.unionByName(again), total
+
+
+def disclosing_terms(docs: DataFrame, words: DataFrame, holders: DataFrame, text: str = "text",
                      min_texts: int = MIN_TEXTS,
                      generalise_at: float = GENERALISE_AT) -> DataFrame:
-    """(entity, term, share): terms that reveal an entity to ``generalise_at`` or more.
+    """(digest, term, share): terms that reveal what a text holds to ``generalise_at`` or more.
 
-    ``held``: the entity contexts of ``docs``.
+    ``words``: (digest, term), ``holders``: (digest, unit), of the distinct texts of
+    ``docs`` that hold entities.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.xxhash64(whole).alias("digest"), whole.alias("_whole"))
-    texts = held.groupBy("entity").agg(F.count_distinct("digest").alias("n_e"))
-    joint = (held.select("entity", "digest", F.explode("terms").alias("term"))
-             .groupBy("entity", "term").agg(F.count_distinct("digest").alias("n_te"))
-             .where(F.col("n_te") >= min_texts))
-    joint = stage(joint.join(texts, "entity"), "joint")
-    wanted = stage(joint.select("term").distinct(), "wanted")
-    spoken = (rows.select("digest", F.explode(F.split(F.lower("_whole"), r"[^\p{L}]+"))
-                          .alias("term"))
-              .where(F.length("term") >= 3).join(wanted, "term", "left_semi"))
-    counts = spoken.groupBy("term").agg(F.count_distinct("digest").alias("n_t"))
-    total = rows.agg(F.count_distinct("digest")).first()[0] or 1
-    information = F.log2(F.lit(float(total)) / F.col("n_e"))
-    shared = F.log2(F.lit(float(total)) * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
+    rows, total = _once(docs.select(F.xxhash64(whole).alias("digest"), whole.alias("_whole")))
+    counts = (rows.select(F.explode(_terms(F.col("_whole"))).alias("term"))
+              .groupBy("term").agg(F.count("*").alias("n_t")))
+    every = F.log2(F.lit(float(total or 1)))
+    sizes = holders.groupBy("unit").agg(F.count("*").alias("n_x"))
+    # Units of one text are told by the same terms: one of them stands for all.
+    units = (holders.join(sizes, "unit")
+             .select("digest", "n_x", F.when(F.col("n_x") > 1, F.col("unit"))
+                     .otherwise(F.concat(F.lit("="), "digest")).alias("unit")).distinct())
+    # A term in more texts than this passes for no number of joint texts up to n_x.
+    within = (F.log2("n_t") <= generalise_at * F.log2("n_x")
+              + (1 - generalise_at) * every + 1e-9)
+    pairs = stage(words.join(counts, "term").join(units, "digest").where(within), "pairs")
+    joint = pairs.groupBy("unit", "term").agg(
+        F.count("*").alias("n_tx"), F.first("n_x").alias("n_x"), F.first("n_t").alias("n_t"))
+    n_t = F.col("n_t") + F.when(F.col("n_tx") < min_texts, F.lit(SMOOTH)).otherwise(F.lit(0))
+    information = every - F.log2("n_x")
+    shared = information + F.log2(F.col("n_tx") / n_t)
     share = F.when(information > 0, shared / information).otherwise(F.lit(0.0))
-    return (joint.join(counts, "term").withColumn("share", share)
-            .where(F.col("share") >= generalise_at).select("entity", "term", "share"))
+    telling = (joint.withColumn("share", share).where(F.col("share") >= generalise_at)
+               .select("unit", "term", "share"))
+    return (pairs.join(telling, ["unit", "term"]).groupBy("digest", "term")
+            .agg(F.max("share").alias("share")))
 
 
 def pii_spans(docs: DataFrame, text: str = "text", min_texts: int = MIN_TEXTS,
               generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT) -> DataFrame:
     """``docs`` with _whole, base spans per kind, and _term spans (value: tag or '')."""
     based = with_base_spans(docs, text)
-    held = stage(entity_contexts(with_base_spans(docs.select(text), text)), "entities")
-    terms = stage(disclosing_terms(docs, held, text, min_texts, generalise_at), "terms")
-    digest = F.xxhash64("_whole")
-    holders = held.select(F.col("digest").alias("_digest"), "entity").distinct()
-    told = (holders.join(terms, "entity").groupBy("_digest", "term")
-            .agg(F.max("share").alias("share"))
-            .groupBy("_digest").agg(F.map_from_entries(F.collect_list(F.struct("term", "share")))
-                                    .alias("_told")))
+    held = stage(with_base_spans(docs.select(text), text).where(_holds())
+                 .select(F.xxhash64("_whole").alias("digest"), "_whole", _units().alias("units"))
+                 .dropDuplicates(["digest"]), "entities")
+    spoken = stage(_occurrences(held), "occurrences")
+    holders = held.select("digest", F.explode("units").alias("unit"))
+    terms = stage(disclosing_terms(docs, spoken.select("digest", "term").distinct(), holders,
+                                   text, min_texts, generalise_at), "terms")
+    told = (spoken.join(terms, ["digest", "term"])
+            .groupBy(F.col("digest").alias("_digest"))
+            .agg(F.array_sort(F.collect_list(F.struct(
+                "start", "end", F.when(F.col("share") >= remove_at, F.lit(""))
+                .otherwise(F.lit("[TERM]")).alias("value")))).alias("_term")))
     told = stage(told, "told")
-    unstage(held, terms)
-    joined = based.withColumn("_digest", digest).join(told, "_digest", "left")
-    pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(F.map_keys("_told"), "|"),
-                       F.lit(r")(?!\p{L})"))
-    found = find_spans(F.col("_whole"), F.coalesce(pattern, F.lit("a^")),
-                       F.col("_told").isNotNull())
-    tagged = F.transform(found, lambda s: F.struct(
-        s["start"].alias("start"), s["end"].alias("end"),
-        F.when(F.col("_told")[F.lower(s["value"])] >= remove_at, F.lit(""))
-        .otherwise(F.lit("[TERM]")).alias("value")))
-    return joined.withColumn("_term", tagged).drop("_digest", "_told")
+    unstage(held, spoken, terms)
+    none = F.array().cast(_SPAN)
+    # Rows that hold nothing are not sent to the join.
+    plain = based.where(~_holds()).withColumns({f"_{k}": none for k in KINDS})
+    found = (based.where(_holds()).withColumn("_digest", F.xxhash64("_whole"))
+             .join(told, "_digest", "left").drop("_digest")
+             .withColumn("_term", F.coalesce("_term", none)))
+    return found.unionByName(plain)
 
 
 def span_list(kind: str) -> Column:

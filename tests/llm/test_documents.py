@@ -173,6 +173,26 @@ def test_pii_terms_that_disclose(spark):
     assert clean[100] == dict(rows)[100]
 
 
+def test_pii_terms_of_rare_entities(spark):
+    """Entities of one text each: far and short words, a domain that repeats, no blanks."""
+    filler = H.prose(1, 60, vocabulary=20)
+    rows = [(i, f"{H.prose(i, 200, vocabulary=40)} them") for i in range(100, 400)]
+    rows += [(0, f"Ng {filler} only at solo@one.example {filler} Quux")]
+    rows += [(1 + i, f"Zaphodia {filler} p{i}@corp.example") for i in range(4)]
+    rows += [(10, f"\u738b\u5c0f\u660e {filler} +1 (386) 555-3733"), (11, f"Ng\u00e9 {filler}")]
+    frame = H.docs_frame(spark, rows)
+    found = {r.doc_id: {r._whole[s.start:s.end] for s in r._term}
+             for r in pii.pii_spans(frame).collect()}
+    assert {"Ng", "Quux"} <= found[0] and all("Zaphodia" in found[1 + i] for i in range(4))
+    assert {"\u738b\u5c0f", "\u5c0f\u660e"} <= found[10]
+    common = set(filler.split())
+    assert not any(common & t for t in found.values())
+    assert not any(found[i] for i in [11, *range(100, 400)])
+    clean = {r.doc_id: r.text for r in pii.sanitise(frame).collect()}
+    assert "Ng" not in clean[0] and "Quux" not in clean[0] and "\u5c0f" not in clean[10]
+    assert clean[11] == dict(rows)[11] and len(clean) == len(rows)
+
+
 def test_marginals_equal_enumeration():
     random = np.random.default_rng(0)
     for n in (1, 2, 9):
