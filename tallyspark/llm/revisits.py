@@ -34,15 +34,20 @@ SLICE = 86_400
 
 def canonical_url(url: Column) -> Column:
     """Host in lower case without www. and default ports, path, sorted query; no
-    scheme, fragment, tracking parameters or closing slash."""
+    scheme, fragment, tracking parameters or closing slash.  Blanks and angle brackets
+    around a URL go; one without scheme://host is its own name, without fragment."""
+    url = F.regexp_replace(F.trim(url), "^<(.*)>$", "$1")
     host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
+    opaque = F.regexp_replace(url, "(?s)(?<=.)#.*$", "")
+    named = host != ""
     host = F.regexp_replace(F.regexp_replace(host, r"^www\.", ""), ":(80|443)$", "")
     path = F.regexp_replace(
         F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1), "/+$", "")
     query = F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
     kept = F.array_join(F.sort_array(F.filter(
         F.split(query, "&"), lambda p: (p != "") & ~p.rlike(TRACKING))), "&")
-    return F.concat(host, path, F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(""))
+    return F.when(named, F.concat(
+        host, path, F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(""))).otherwise(opaque)
 
 
 def _weak(tag: Column) -> Column:

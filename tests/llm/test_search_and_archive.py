@@ -99,3 +99,18 @@ def test_revisits(spark):
     headers = {r.record_id: r.headers for r in result}
     assert headers[2] == {"Content-Type": "t", "date": "new"} and headers[5] == {}
     assert revisits.resolve_revisits(frame.where("ts < 0")).count() == 0
+
+
+def test_revisits_of_urls_without_host(spark):
+    rows = [(1, "dns:a.org", 1, "response", '"1"'), (2, "dns:b.org", 2, "response", '"2"'),
+            (3, "dns:a.org", 3, "revisit", '"1"'), (4, "<http://c.org/x>", 1, "response", '"3"'),
+            (5, "http://c.org/x#y", 5, "revisit", '"3"'), (6, " d.org/x ", 1, "response", '"4"'),
+            (7, "d.org/x#again", 6, "revisit", '"4"'), (8, "e.org/x?q=1", 7, "revisit", '"4"')]
+    frame = spark.createDataFrame(
+        [(*r, None, None, None) for r in rows],
+        "record_id long, url string, ts long, kind string, etag string, last_modified string, "
+        "digest string, headers map<string,string>")
+    got = {r.record_id: (r.outcome, r.refers_to) for r in
+           revisits.resolve_revisits(frame).collect() if r.outcome != "response"}
+    assert got == {3: ("resolved", 1), 5: ("resolved", 4), 7: ("resolved", 6),
+                   8: ("no_earlier_response", None)}
