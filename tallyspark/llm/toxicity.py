@@ -10,7 +10,9 @@ come from the forward-backward recursion.  The probability that some token of a
 document is toxic, 1 - prod(1 - marginal), is calibrated on the document labels.
 
 Fitting takes a bounded sample of labelled rows (``SAMPLE_DOCS``, ``SAMPLE_CHARS``,
-whole texts in hash order) in one task; scoring takes all rows in parallel.
+whole texts in hash order, each that still fits, very long ones last) in one task;
+where toxic rows are so rare that it would hold none, they come first.  Scoring takes
+all rows in parallel.
 
 Contract: a null or empty text has no tokens and gets the score of no evidence;
 rows that repeat a key are scored each; unlabelled rows and null labels do not
@@ -24,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .staging import stage
@@ -258,22 +260,62 @@ def held_out(key: Column) -> Column:
     return F.crc32(key.cast("string")) % 3 == 1
 
 
+def fitting(sizes: list[int], toxic: list[bool], limit: int) -> list[int]:
+    """Places of the texts that the sample takes: in the order given, each that still fits.
+
+    Texts of more than a sixteenth of ``limit`` come after the others, so that they do not
+    take their room.  Where that leaves no toxic text, toxic ones come first, and get half
+    the room; if none fits at all, there is nothing to learn from and this is an error.
+    """
+    def greedy(order: list[int], room: int) -> list[int]:
+        taken = []
+        for i in order:
+            if sizes[i] <= room:
+                room -= sizes[i]
+                taken.append(i)
+        return taken
+
+    order = sorted(range(len(sizes)), key=lambda i: 16 * sizes[i] > limit)
+    taken = greedy(order, limit)
+    if any(toxic) and not any(toxic[i] for i in taken):
+        bad = sorted((i for i in order if toxic[i]), key=lambda i: sizes[i])
+        first = greedy(bad, limit // 2) or greedy(bad[:1], limit)
+        if not first:
+            raise ValueError("every toxic text of the sample is longer than sample_chars")
+        left = limit - sum(sizes[i] for i in first)
+        taken = first + greedy([i for i in order if not toxic[i]], left)
+    return sorted(taken)
+
+
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text",
           label: str = "toxic", sample_docs: int = SAMPLE_DOCS,
           sample_chars: int = SAMPLE_CHARS) -> Chain:
     """Fit on a bounded sample of the labelled rows that are not held out."""
-    taught = (labels.where(F.col(key).isNotNull() & ~held_out(F.col(key))
-                           & F.col(label).isNotNull())
-              .groupBy(F.col(key).alias("_key")).agg(F.max(label).alias("_label"))
-              .orderBy(F.xxhash64("_key"), "_key").limit(sample_docs))
-    sample = (docs.where(F.col(text).isNotNull())
-              .join(F.broadcast(taught), F.col(key) == F.col("_key"))  # sample_docs rows at most
-              .groupBy("_key", "_label").agg(F.first(text).alias("_text")))
-    sample = stage(sample, "labelled")
-    order = Window.orderBy(F.xxhash64("_key"), "_key")  # sample_docs rows at most
-    fits = (sample.select("_key", F.length("_text").alias("_size"))
-            .select("_key", F.sum("_size").over(order).alias("_sum"))
-            .where(F.col("_sum") <= sample_chars).select("_key"))
+    pool = (labels.where(F.col(key).isNotNull() & ~held_out(F.col(key))
+                         & F.col(label).isNotNull())
+            .groupBy(F.col(key).alias("_key")).agg(F.max(label).alias("_label")))
+    hashed = [F.xxhash64("_key"), F.col("_key")]
+
+    def texts_of(taught: DataFrame) -> DataFrame:
+        found = (docs.where(F.col(text).isNotNull())
+                 .join(F.broadcast(taught), F.col(key) == F.col("_key"))  # sample_docs at most
+                 .groupBy("_key", "_label").agg(F.first(text).alias("_text")))
+        return stage(found, "labelled")
+
+    def rows_of(sample: DataFrame) -> list:  # sample_docs rows at most
+        return sample.select("_key", "_label", F.length("_text").alias("_size")) \
+            .orderBy(*hashed).collect()
+
+    sample = texts_of(pool.orderBy(*hashed).limit(sample_docs))
+    listed = rows_of(sample)
+    if not any(r._label > 0 for r in listed):  # toxic rows are rarer than one in the sample
+        bad, good = (pool.where(c).orderBy(*hashed) for c in ("_label > 0", "_label <= 0"))
+        half = max(sample_docs // 2, 1)
+        sample = texts_of(bad.limit(half).unionByName(good.limit(sample_docs - half)))
+        listed = rows_of(sample)
+    taken = fitting([r._size for r in listed], [r._label > 0 for r in listed], sample_chars)
+    fits = docs.sparkSession.createDataFrame([(listed[i]._key,) for i in taken],
+                                             sample.select("_key").schema)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("_key", kind="stable")

@@ -213,6 +213,28 @@ def test_marginals_equal_enumeration():
     assert np.allclose(long, 1 / (1 + np.e))
 
 
+def test_toxicity_sample_goes_past_long_texts():
+    sizes, toxic = [500, 5, 90, 4, 3, 20], [False, False, True, True, False, False]
+    assert toxicity.fitting(sizes, toxic, 100) == [1, 3, 4, 5]
+    assert toxicity.fitting(sizes, toxic, 1000) == [0, 1, 2, 3, 4, 5]
+    assert toxicity.fitting([60, 60, 30], [True, False, False], 100) == [0, 2]
+    assert toxicity.fitting([9, 9], [False, False], 10) == [0] and not toxicity.fitting([], [], 9)
+    assert 0 in toxicity.fitting([90, 2, 3, 6], [True, False, False, False], 100)
+    with pytest.raises(ValueError):
+        toxicity.fitting([900, 2], [True, False], 100)
+
+
+def test_toxicity_long_labelled_text_is_left_out(spark):
+    rows = [(i, f"{H.prose(i, 20)} {'vileword' if i % 3 == 0 else 'quiet'}") for i in range(300)]
+    labels = [(i, int(i % 3 == 0)) for i in range(300)]
+    keys = [(k, 0) for k in range(300, 340)]
+    texts = rows + [(k, "mild " * 30_000) for k, _ in keys]
+    chain = toxicity.learn(H.docs_frame(spark, texts), spark.createDataFrame(
+        labels + keys, "doc_id long, toxic int"), sample_chars=100_000)
+    found = {r.doc_id: r.score for r in toxicity.score(H.docs_frame(spark, rows), chain).collect()}
+    assert found[0] >= toxicity.THRESHOLD > found[1]
+
+
 def test_toxicity_held_out(spark):
     bad = ["vileword", "nastyone", "foulterm", "grimname"]
     rows, labels = [], []
