@@ -18,7 +18,9 @@
    a row, rows out of the size bounds and rows already linked are discarded.  A
    block of more than ``TILE`` elements is cut into tiles by size level and hash,
    and pairs of tiles are multiplied.
-4. Links that reach the threshold give the components.
+4. Links that reach the threshold give the components.  Nothing else is delivered:
+   pairs that earlier links already join are skipped, so neither the links nor their
+   number comes out.
 
 Contract: words are runs outside [\\x20\\x09-\\x0D], A-Z in lower case; a text with
 fewer words than n has its whole sequence as its one n-gram; a null or empty
