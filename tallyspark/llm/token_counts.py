@@ -3,7 +3,9 @@
 The cache is a Parquet table (content digest, tokenizer version, n_tokens) that
 outlives a run.  A call joins the digests of its texts to it, encodes one text
 of each digest that is missing, appends those counts and reads every count from
-the cache.
+the cache.  The digest is taken of the text as it is: normalisation is the identity,
+since byte_bpe_50k.json has no normalizer and any change of a text could change its
+count; texts that differ only in form share no row.
 
 Contract: a null text counts as empty (0 tokens, 0 bytes); repeated rows and
 copies share one cache row and each get a result row; null keys are kept; other
