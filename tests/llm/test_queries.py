@@ -1,16 +1,20 @@
 """The registered queries on the smallest tables, and the pipeline."""
 
+import hashlib
 import os
 import zlib
 
 import duckdb
 import helpers as H
 import numpy as np
+import public_tokenizers
 import pytest
+import tiktoken
+from tokenizers import Tokenizer
 
 import __spark_entry__ as E
 import corpus_pipeline
-from tallyspark.llm import quality
+from tallyspark.llm import byte_bpe, quality
 from tallyspark.llm.queries import QUERIES
 from tallyspark.llm.staging import new_folder
 from tools.oracle_check import TABLES, digest
@@ -57,6 +61,25 @@ def test_quality_query(spark, con):
         assert not (r.kept and r.base_failed)
 
 
+def test_quality_fences_by_exact_quantiles(spark, con):
+    """The table is smaller than a group needs, so the corpus' fences hold for all."""
+    rates, failed = {}, {}
+    for key, text in documents(con):
+        n, chars, symbols, lines, again = H.quality(text)
+        spoken = sum(bool(H.WORD.search(x)) for x in (text or "").split("\n"))
+        failed[key] = n < quality.MIN_WORDS or 2 * again > n
+        rates[key] = [a / b if b else 0.0 for a, b in
+                      ((symbols, chars), (lines, spoken), (again, n), (chars, n))]
+    good = np.sort([r for k, r in rates.items() if not failed[k]], axis=0)
+    assert 0 < len(good) < quality.GROUP_ROWS
+    low, high = (good[int(np.ceil(q * len(good))) - 1] for q in (0.25, 0.75))
+    fence = high + np.maximum(quality.SPREAD * (high - low), list(quality.RATES.values()))
+    got = {r.doc_id: (r.base_failed, r.kept)
+           for r in QUERIES["op2_quality_rules"][0](spark, SF).collect()}
+    assert got == {k: (failed[k], not failed[k] and bool((np.array(rates[k]) <= fence).all()))
+                   for k in rates}
+
+
 def test_ngram_query(spark, con):
     got = {r.doc_id: (r.n_shingles, r.component_id)
            for r in QUERIES["op6_ngram_join"][0](spark, SF).collect()}
@@ -87,6 +110,65 @@ def test_runs_whole(spark, con, name):
         assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in rows)
 
 
+def test_nearest_values(spark, con):
+    """Scores and ranks of every row against the dense distance table."""
+    table = con.sql("SELECT vec_id, embedding FROM embeddings ORDER BY vec_id").fetchall()
+    ids = [k for k, _ in table]
+    vectors = np.array([v for _, v in table], float)
+    got = {}
+    for r in QUERIES["op1_hnsw"][0](spark, SF).collect():
+        got.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
+    found = 0
+    for query, ranked in got.items():
+        far = np.sqrt(((vectors - vectors[ids.index(query)]) ** 2).sum(axis=1))
+        assert sorted(ranked) == list(range(1, 11))
+        listed = [ranked[i] for i in range(1, 11)]
+        assert np.allclose([s for _, s in listed], [far[ids.index(k)] for k, _ in listed])
+        assert listed == sorted(listed, key=lambda x: (x[1], x[0]))
+        others = np.array([f for k, f in zip(ids, far) if k != query])
+        found += sum(s <= np.sort(others)[9] + 1e-9 for _, s in listed)
+    assert set(got) == {k for k in ids if k % 100 == 0} and found >= 9.5 * len(got)
+
+
+def test_token_count_values(spark, con):
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = []
+    for key, text in documents(con):
+        n = len(tokenizer.encode(text or "", add_special_tokens=False))
+        want.append((key, len((text or "").encode()), n, n > 512))
+    assert sorted(map(tuple, QUERIES["op4_token_counts"][0](spark, SF).collect())) == sorted(want)
+
+
+def test_byte_bpe_values(spark, con):
+    own = tiktoken.Encoding(
+        "own", pat_str=public_tokenizers.PATTERN, special_tokens={},
+        mergeable_ranks=byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")))
+    want = []
+    for key, text in documents(con):
+        ids = own.encode_ordinary(text or "")
+        want.append((key, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(),
+                     hashlib.sha256((text or "").encode()).hexdigest()))
+    assert sorted(map(tuple, QUERIES["op5_byte_bpe"][0](spark, SF).collect())) == sorted(want)
+
+
+def test_packing_values(spark, con):
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    ids = {k: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2]
+           for k, t in documents(con)}
+    rows = QUERIES["op10_packing"][0](spark, SF).collect()
+    spans = {}
+    for r in rows:
+        piece = np.array(ids[r.doc_id][r.start:r.start + r.length], "<u4")
+        assert r.doc_tokens == len(ids[r.doc_id])
+        assert len(piece) == r.length and r.ids_crc32 == zlib.crc32(piece.tobytes())
+        assert 0 <= r.offset and r.offset + r.length <= 4096
+        spans.setdefault(r.doc_id, []).append((r.start, r.length))
+    for key, pieces in spans.items():
+        ends = np.cumsum([n for _, n in sorted(pieces)])
+        assert [a for a, _ in sorted(pieces)] == [0, *ends[:-1]] and ends[-1] == len(ids[key])
+    assert set(spans) == set(ids)
+
+
 def test_pipeline_against_brute_force(spark, con):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     source = {r.doc_id: r for r in docs.collect()}
