@@ -1,7 +1,7 @@
 """Mixture-controlled packing of token streams into fixed windows.
 
-Every source is a queue of packets (pieces of at most ``packet`` tokens of its
-documents, in table order).  In each round a source gains a quantum of
+Every source is a queue of packets (pieces of its documents, in table order, of at
+most its quantum of tokens, but no less than ``LEAST`` and no more than ``packet``).  In each round a source gains a quantum of
 ``window * share`` tokens, and a packet leaves once the source's deficit covers
 it.  Deficits carry from round to round, so the round in which a packet leaves
 has a closed form: the queue's tokens up to and with the packet, divided by the
@@ -38,6 +38,8 @@ from .tokens import WordChunks, edges, grouped
 
 #: Tokens of a packet, the unit in which queues take turns.
 PACKET = 1024
+#: Tokens of a packet at least, however small the share of its source.
+LEAST = 32
 #: Rounds that one task orders, and groups of rounds under one carried offset.
 ROUNDS, GROUPS = 64, 4096
 
@@ -137,8 +139,10 @@ def schedule(sizes: DataFrame, window: int, packet: int = PACKET,
     quantum = share.select("queue", (F.col("weight") / whole * window).alias("quantum"))
     phase = (F.pmod(F.xxhash64("queue"), F.lit(1 << 20)) + 1) / (1 << 20)
     packets = (sizes.join(carried, ["queue", "part"]).join(quantum, "queue")
-               .withColumn("start", F.explode(F.expr(f"sequence(0L, n - 1, {packet}L)")))
-               .withColumn("length", F.least(F.lit(packet), F.col("n") - F.col("start")))
+               .withColumn("most", F.least(F.lit(packet), F.greatest(
+                   F.lit(LEAST), F.ceil("quantum"))).cast("long"))
+               .withColumn("start", F.explode(F.expr("sequence(0L, n - 1, most)")))
+               .withColumn("length", F.least(F.col("most"), F.col("n") - F.col("start")))
                .withColumn("at", F.col("carried") + F.col("before") + F.col("start"))
                .withColumn("round", F.ceil((F.col("at") + phase * F.col("length"))
                                            / F.col("quantum")))

@@ -140,3 +140,14 @@ def test_packing_mixture_and_shares(spark):
 def test_packing_nothing(spark):
     empty = docs_frame(spark, [(1, "x")]).where("doc_id > 1")
     assert packing.pack(empty, WORDS, 2).count() == 0
+
+
+def test_every_window_holds_small_shares(spark):
+    """20 equal sources of 800-token documents: a window of 4096 has room for all."""
+    rows = [(q * 100 + i, f"s{q}", 800, 800 * i, 0) for q in range(20) for i in range(40)]
+    sizes = spark.createDataFrame(rows, "row long, queue string, n long, before long, part long")
+    held = {}
+    for r in packing.schedule(sizes, 4096).collect():
+        held.setdefault(r.sequence_id, set()).add(r.row // 100)
+    fewest = min(len(held[w]) for w in range(2, max(held) - 2))
+    assert fewest >= 15
