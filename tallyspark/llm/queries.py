@@ -11,8 +11,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (byte_bpe, hnsw, line_dedup, ngram_join, packing, pii, quality, revisits,
-               token_counts, toxicity)
+from . import (byte_bpe, hnsw, lexical, line_dedup, ngram_join, packing, pii, quality, revisits,
+               substrings, token_counts, toxicity, variants)
 from .staging import importable, new_folder, stage
 
 
@@ -219,6 +219,56 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "doc_tokens", "sequence_id", "offset")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 best documents of every benchmark item."""
+    return lexical.rank_documents(_table(spark, sf_dir, "documents"),
+                                  _table(spark, sf_dir, "benchmark"), k=10)
+
+
+OP11_SQL = r"""
+WITH tokens AS (
+  SELECT doc_id, unnest(regexp_extract_all(
+           translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+tfs AS (SELECT doc_id, term, count(*) AS tf FROM tokens GROUP BY ALL),
+sizes AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM tfs GROUP BY ALL),
+totals AS (SELECT count(*) AS docs, sum(n)::BIGINT AS l FROM sizes),
+weights AS (
+  SELECT term, floor(1000 * ln((2.0::DOUBLE * docs + 2) / (2 * count(*) + 1)))::BIGINT AS w
+  FROM tfs, totals GROUP BY term, docs),
+asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(
+           translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+scored AS (
+  SELECT item_id, doc_id,
+         sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // l))))::BIGINT AS score
+  FROM asked JOIN weights USING (term) JOIN tfs USING (term) JOIN sizes USING (doc_id), totals
+  GROUP BY ALL),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank
+  FROM scored WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with their near words' most frequent one."""
+    words = variants.count_words(_table(spark, sf_dir, "documents"), rate=97)
+    return variants.spelling_variants(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op13_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without bytes of 100-byte strings that start earlier too."""
+    texts, rows = substrings.repeated_substrings(_table(spark, sf_dir, "documents"), 100)
+    removed = F.aggregate(F.zip_with("starts", "ends", lambda a, b: b - a),
+                          F.lit(0).cast("long"), lambda s, x: s + x)
+    digests = stage(texts.select("digest", "n_bytes", removed.alias("n_removed"),
+                                 F.size("starts").cast("long").alias("n_spans"),
+                                 F.sha2("kept", 256).alias("kept_sha256")), "kept")
+    return substrings.attach(digests, rows, 100)
+
+
 QUERIES = {
     "op1_hnsw": (op1_hnsw, None),
     "op2_quality_rules": (op2_quality_rules, None),
@@ -230,4 +280,7 @@ QUERIES = {
     "op8_revisits": (op8_revisits, OP8_SQL),
     "op9_line_dedup": (op9_line_dedup, OP9_SQL),
     "op10_packing": (op10_packing, None),
+    "op11_lexical_search": (op11_lexical_search, OP11_SQL),
+    "op12_spelling_variants": (op12_spelling_variants, None),
+    "op13_substrings": (op13_substrings, None),
 }

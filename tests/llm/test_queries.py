@@ -37,7 +37,7 @@ def documents(con):
 
 def test_all_are_registered():
     assert set(QUERIES) | {"pipeline"} <= set(E.queries())
-    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 14))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "ngram_join",
                                                       "pii", "packing"]
 
