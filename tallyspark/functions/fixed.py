@@ -132,6 +132,8 @@ SAFE_NAME_KEEP = r"A-Za-z0-9_.-"                    # runs of anything else beco
 SAFE_NAME_DEFAULT = "unknown"
 UNIT_CODE_WIDTH = 4                                 # zero-filled, first 2 digits = area
 UNIT_CODE_HEAD = 2
+# Names of the rounds in file names.
+ROUND_LABELS = {"t1": "1ertour", "t2": "2emetour"}
 ELECTION_ID_SEPARATOR = "_"                         # year _ kind _ tN
 LONG_FAMILY_PREFIX = "elections-municipales-"
 

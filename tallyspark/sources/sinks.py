@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,3 +63,26 @@ def export_by_key(df: DataFrame, key: str, path: str, fmt: str = "csv",
     else:
         writer.parquet(path)
     return path
+
+
+def write_named_files(df: DataFrame, name: str, order: Sequence[str], root: str) -> list[str]:
+    """One Parquet file per value of the text column ``name``, called by that value, its
+    rows in the given order.  One job writes all of them (a file is one task's work);
+    the files then get their names by renames, which move no data."""
+    spark = df.sparkSession
+    staged = f"{root.rstrip('/')}/_named_{uuid.uuid4().hex}"
+    (df.withColumn("__file", F.col(name)).drop(name)
+     .repartition("__file").sortWithinPartitions("__file", *order)
+     .write.partitionBy("__file").parquet(staged))
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(staged)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = []
+    for status in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{staged}/__file=*/part-*")):
+        folder = status.getPath().getParent().getName()
+        target = f"{root.rstrip('/')}/{unquote(folder.split('=', 1)[1])}"
+        if not fs.rename(status.getPath(), jvm.org.apache.hadoop.fs.Path(target)):
+            raise OSError(f"cannot name {target}")
+        out.append(target)
+    fs.delete(at, True)
+    return sorted(out)
