@@ -26,10 +26,13 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from .staging import stage, unstage
 
@@ -99,30 +102,44 @@ def count_words(documents: DataFrame, rate: int = 0, min_chars: int = 5,
             .groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count))
 
 
-def signatures(word: Column) -> Column:
-    """Array of signatures; near words share one at least."""
-    size = F.char_length(word)
-    letters = F.array_sort(F.transform(F.sequence(F.lit(1), size), lambda i: F.substring(word, i, 1)))
-    marked = F.transform(letters, lambda c, i: F.concat(
-        c, (i - F.array_position(letters, c)).cast("string")))
+def signatures(word: str) -> list[int]:
+    """Signatures of a word; near words share one at least."""
+    parts = [""] * PARTS
+    seen: Counter = Counter()
+    for letter in sorted(word):
+        seen[letter] += 1
+        element = f"{letter}{seen[letter]}"
+        parts[_part(element)] += element
+    size, out = len(word), []
+    for short in (size, size - 1):
+        for q in range(SPANS):
+            low, high = q * short // SPANS, (q + 1) * short // SPANS
+            untouched = f"{short}|{q}|{word[:low]}|{word[size - short + high:]}|"
+            out += [xxh64_intdigest(f"{untouched}{number}|{part}") - (1 << 63)
+                    for number, part in enumerate(parts)]
+    return out
+
+
+@lru_cache(maxsize=1 << 16)
+def _part(element: str) -> int:
+    return zlib.crc32(element.encode()) % PARTS
 
-    def part(number: int) -> Column:
-        held = F.filter(marked, lambda e: F.pmod(F.xxhash64(e), F.lit(PARTS)) == number)
-        return F.concat(F.lit(f"{number}:"), F.array_join(held, ""))
 
-    kept = F.array(*[part(number) for number in range(PARTS)])
-    places = F.flatten(F.array(*[F.array(*[
-        F.concat_ws("|", short.cast("string"), F.lit(str(q)),
-                    F.substring(word, F.lit(1), F.floor(short * q / SPANS).cast("int")),
-                    F.right(word, (short - F.floor(short * (q + 1) / SPANS)).cast("int")))
-        for q in range(SPANS)]) for short in (size, size - 1)]))
-    return F.flatten(F.transform(places, lambda at: F.transform(
-        kept, lambda part: F.xxhash64(at, part))))
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    each = 2 * SPANS * PARTS
+    for batch in batches:
+        for start in range(0, batch.num_rows, 10_000):
+            rows = batch.slice(start, 10_000)
+            found = [x for w in rows.column(0).to_pylist() for x in signatures(w)]
+            at = pa.array(np.repeat(np.arange(rows.num_rows), each))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(found, pa.int64()), rows.column(0).take(at), rows.column(1).take(at)],
+                ["signature", "word", "n"])
 
 
 def near_pairs(words: DataFrame) -> DataFrame:
     """(a, a_n, b, b_n): words one edit apart, a before b in code-point order."""
-    signed = words.select("word", "n", F.explode(signatures(F.col("word"))).alias("signature"))
+    signed = words.select("word", "n").mapInArrow(_signed, "signature long, word string, n long")
     a = signed.select("signature", F.col("word").alias("a"), F.col("n").alias("a_n"))
     b = signed.select("signature", F.col("word").alias("b"), F.col("n").alias("b_n"))
     met = a.join(b, (a.signature == b.signature) & (F.col("a") < F.col("b"))
