@@ -265,7 +265,7 @@ def op13_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
                           F.lit(0).cast("long"), lambda s, x: s + x)
     digests = stage(texts.select("digest", "n_bytes", removed.alias("n_removed"),
                                  F.size("starts").cast("long").alias("n_spans"),
-                                 F.sha2("kept", 256).alias("kept_sha256")), "kept")
+                                 F.sha2("kept", 256).alias("kept_sha256")).distinct(), "kept")
     return substrings.attach(digests, rows, 100)
 
 

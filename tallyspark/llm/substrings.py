@@ -6,8 +6,8 @@ such a string stand together; all but the earliest start a repeat.  The array is
 held: only suffixes that can repeat are sorted, one bucket at a time.
 
 * Equal texts are one text: later copies of at least ``min_length`` bytes go whole.
-* Texts form blocks in id order, compressed and staged, bucketed by block, so that later
-  steps meet them without a shuffle of text.
+* Texts form blocks, in id order inside, compressed and staged as a table bucketed by
+  block: no text is ever shuffled, the later steps' small answers come to the blocks.
 * Cover sample: offsets of a text that lie in a difference cover modulo v.  For any two
   positions some d < v takes both to sampled ones, so two equal strings share a sampled
   string of min_length - v + 1 bytes at the same distance.  The sample suffixes are
@@ -62,8 +62,7 @@ MAX_FILES = 100_000
 _ODD = 0x9E3779B97F4A7C15
 _BYTE = np.random.default_rng(20250611).integers(1, 1 << 63, 256, dtype=np.uint64)
 _LAST = (1 << 63) - 1
-_BLOCKS = "block long, orders array<long>, ties array<long>, digests array<binary>, " \
-          "bounds array<long>, packed binary"
+_BLOCKS = "block long, orders array<long>, digests array<binary>, bounds array<long>, packed binary"
 _SENT = "block long, bucket long, names binary, orders binary, ties binary"
 _TOLD = "block long, bucket long, bits binary"
 
@@ -132,12 +131,25 @@ class _Block:
         self.data = np.frombuffer(zstandard.decompress(row["packed"]), np.uint8) \
             if row["packed"] else np.zeros(0, np.uint8)
         self.number, self.bounds = row["block"], np.array(row["bounds"], np.int64)
-        self.orders = np.array(row["orders"], np.int64)
-        self.ties = np.array(row["ties"], np.int64)
+        self.orders, self.digests = np.array(row["orders"], np.int64), row["digests"]
+        self.ties = np.zeros(len(self.orders), np.int64)
+        copies = np.zeros(len(self.orders), bool)
+        for note in row["notes"] or []:
+            copies[note["place"]] = note["is_copy"]
+            self.ties[note["place"]] = int.from_bytes(self.digests[note["place"]][:7], "big")
+        if copies.any():
+            self._leave_out(copies)
         self.width = min_length
         self.period, self.flags = cover(min_length)
         self.sizes = np.diff(self.bounds)
 
+    def _leave_out(self, copies: np.ndarray) -> None:
+        sizes = np.diff(self.bounds)
+        self.data = self.data[np.repeat(~copies, sizes)]
+        self.bounds = np.concatenate([[0], np.cumsum(sizes[~copies])])
+        self.orders, self.ties = self.orders[~copies], self.ties[~copies]
+        self.digests = [d for d, copy in zip(self.digests, copies) if not copy]
+
     def text_of(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.bounds, at, side="right") - 1
 
@@ -213,17 +225,20 @@ def _by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(bucket[order[a]]), order[a:b]
 
 
-def _builder(min_length: int):
+def _builder():
+    """Blocks of texts in id order; of equal texts the one of the smallest id."""
     def block(number: int, rows: list) -> pa.RecordBatch:
-        rows = sorted({r[2]: r for r in rows}.values(), key=lambda r: r[:3])
-        raw = [r[3].encode() for r in rows]
+        texts: dict = {}
+        for row in sorted(rows, key=lambda r: r[:2]):
+            texts.setdefault(row[1], row)
+        rows = list(texts.values())
+        raw = [r[2].encode() for r in rows]
         bounds = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
-        packed = zstandard.compress(b"".join(raw), 3)
         return pa.RecordBatch.from_pylist([{
-            "block": number, "orders": [r[0] for r in rows], "ties": [r[1] for r in rows],
-            "digests": [r[2] for r in rows], "bounds": bounds.tolist(), "packed": packed}],
+            "block": number, "orders": [r[0] for r in rows], "digests": [r[1] for r in rows],
+            "bounds": bounds.tolist(), "packed": zstandard.compress(b"".join(raw), 3)}],
             schema=pa.schema([("block", pa.int64()), ("orders", pa.list_(pa.int64())),
-                              ("ties", pa.list_(pa.int64())), ("digests", pa.list_(pa.binary())),
+                              ("digests", pa.list_(pa.binary())),
                               ("bounds", pa.list_(pa.int64())), ("packed", pa.binary())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,7 +246,7 @@ def _builder(min_length: int):
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 rows.append(row)
-                size += len(row[3])
+                size += len(row[2])
                 if size >= BLOCK_BYTES:
                     yield block(number, rows)
                     number, rows, size = number + 1, [], 0
@@ -322,12 +337,13 @@ def _finisher(min_length: int, sample_buckets: int, buckets: int):
                 edge[at[repeat]] += 1
                 edge[at[repeat] + min_length] -= 1
                 gone = np.cumsum(edge[:-1]) > 0
-                yield _results(block, gone, row["digests"])
+                yield _results(block, gone)
     return run
 
 
-def _results(block: _Block, gone: np.ndarray, digests: list[bytes]) -> pa.RecordBatch:
-    """(digest, first, n_bytes, starts, ends, kept) of a block's texts."""
+def _results(block: _Block, gone: np.ndarray) -> pa.RecordBatch:
+    """(digest, n_bytes, starts, ends, kept) of a block's texts."""
+    digests = block.digests
     step = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
     starts, ends = step[::2], step[1::2]
     # a run that crosses into the next text is cut there
@@ -362,30 +378,31 @@ def repeated_substrings(documents: DataFrame, min_length: int = 100) -> tuple[Da
     """(texts, rows) of ``documents`` (doc_id, text).
 
     ``texts``: (digest, n_bytes, starts, ends, kept) of each distinct text as its earliest
-    row has it: the removed runs in bytes and the bytes that stay.  ``rows``: (doc_id,
-    digest, is_copy) of each row; a copy of min_length bytes or more goes whole.
+    row has it: the removed runs in bytes and the bytes that stay (a text whose row is
+    repeated may come again, equal).  ``rows``: (doc_id, digest, is_copy) of each row; a
+    copy of min_length bytes or more goes whole.
     """
     spark = documents.sparkSession
-    rows = stage(_digested(documents).select(
-        "doc_id", "order", "digest", F.octet_length("text").alias("size")), "digests")
-    firsts = rows.groupBy("digest").agg(F.min("order").alias("first"))
-    marked = rows.join(firsts, "digest").withColumn("is_copy", F.col("order") > F.col("first"))
-    marked = stage(marked, "copies")
-    copies = stage(marked.where("is_copy").select("order", "digest").distinct(), "later")
-    shared = stage(firsts.groupBy(F.col("first").alias("order")).agg(F.count(F.lit(1)).alias("n"))
-                   .where("n > 1").select("order", F.lit(True).alias("shared")), "shared-ids")
-    unstage(rows)
-    total = marked.where(~F.col("is_copy")).agg(F.sum("size")).first()[0] or 0
-
-    single = (_digested(documents).join(copies, ["order", "digest"], "left_anti")
-              .join(shared, "order", "left"))
-    tie = F.when(F.col("shared"), F.conv(F.hex(F.substring("digest", 1, 7)), 16, 10).cast("long"))
-    made = single.select("order", F.coalesce(tie, F.lit(0)).cast("long").alias("tie"), "digest", "text") \
-        .mapInArrow(_builder(min_length), _BLOCKS)
+    found = _digested(documents)
     path, table = new_folder(spark, "blocks"), f"llm_blocks_{uuid.uuid4().hex}"
+    rows = stage(found.select("doc_id", "order", "digest", F.octet_length("text").alias("size")),
+                 "digests")
+    total = rows.agg(F.sum("size")).first()[0] or 0
     files = int(min(max(1, -(-total // FILE_BYTES)), MAX_FILES))
-    made.write.bucketBy(files, "block").option("path", path).saveAsTable(table)
-    blocks = spark.table(table)
+    (found.select("order", "digest", "text").mapInArrow(_builder(), _BLOCKS)
+     .write.bucketBy(files, "block").option("path", path).saveAsTable(table))
+
+    firsts = stage(rows.groupBy("digest").agg(F.min("order").alias("first")), "firsts")
+    shared = (firsts.groupBy(F.col("first").alias("order")).agg(F.count(F.lit(1)).alias("n"))
+              .where("n > 1").select("order", F.lit(True).alias("shared")))
+    held = spark.table(table).select("block", F.posexplode(
+        F.arrays_zip("orders", "digests")).alias("place", "text")).select(
+        "block", "place", F.col("text.orders").alias("order"), F.col("text.digests").alias("digest"))
+    copy = F.col("order") > F.col("first")
+    notes = stage(held.join(firsts, "digest").join(shared, "order", "left")
+                  .where(copy | F.col("shared")).groupBy("block")
+                  .agg(F.collect_list(F.struct("place", copy.alias("is_copy"))).alias("notes")), "notes")
+    blocks = spark.table(table).join(notes.hint("shuffle_hash"), "block", "left")
 
     period, flags = cover(min_length)
     sample_buckets = max(1, int(total * flags.sum() / period / BUCKET_SAMPLES))
@@ -393,20 +410,19 @@ def repeated_substrings(documents: DataFrame, min_length: int = 100) -> tuple[Da
     ranked = stage(blocks.mapInArrow(_sample_sender(min_length, sample_buckets), _SENT)
                    .groupBy("bucket").applyInArrow(_rank_samples, _TOLD), "ranks")
     known = blocks.join(_answered(ranked, "samples").hint("shuffle_hash"), "block", "left")
-    sorted_ = stage(known.mapInArrow(_suffix_sender(min_length, sample_buckets, buckets), _SENT)
-                    .groupBy("bucket").applyInArrow(_sort_suffixes, _TOLD), "suffixes")
-    told = known.join(_answered(sorted_, "suffixes").hint("shuffle_hash"), "block", "left")
+    later = stage(known.mapInArrow(_suffix_sender(min_length, sample_buckets, buckets), _SENT)
+                  .groupBy("bucket").applyInArrow(_sort_suffixes, _TOLD), "suffixes")
+    told = known.join(_answered(later, "suffixes").hint("shuffle_hash"), "block", "left")
     texts = told.mapInArrow(_finisher(min_length, sample_buckets, buckets),
                             "digest binary, n_bytes long, starts array<long>, ends array<long>, "
-                            "kept binary").dropDuplicates(["digest"])
-    return texts, marked.select("doc_id", "digest", "is_copy")
+                            "kept binary")
+    return texts, rows.join(firsts, "digest").select("doc_id", "digest", copy.alias("is_copy"))
 
 
 def attach(texts: DataFrame, rows: DataFrame, min_length: int = 100) -> DataFrame:
     """Columns of ``texts`` (digest, n_bytes, n_removed, n_spans, kept_sha256) for each row."""
     whole = F.col("is_copy") & (F.col("n_bytes") >= min_length)
     return rows.join(texts, "digest").select(
-        "doc_id", "n_bytes",
-        F.when(whole, F.col("n_bytes")).otherwise(F.col("n_removed")).alias("n_removed"),
+        "doc_id", "n_bytes", F.when(whole, F.col("n_bytes")).otherwise(F.col("n_removed")).alias("n_removed"),
         F.when(whole, F.lit(1)).otherwise(F.col("n_spans")).cast("long").alias("n_spans"),
         F.when(whole, F.sha2(F.lit(""), 256)).otherwise(F.col("kept_sha256")).alias("kept_sha256"))
