@@ -5,5 +5,5 @@ from .registry import REGISTRY, Query, present  # noqa: F401
 
 def load_all() -> dict:
     """Import every query module so the registry is complete."""
-    from . import checks, folders, scalars, shares, statistics  # noqa: F401
+    from . import checks, folders, large, scalars, shares, statistics  # noqa: F401
     return REGISTRY
