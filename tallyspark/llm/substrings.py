@@ -38,13 +38,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .staging import new_folder, remove, stage, unstage
+from .staging import new_folder, stage
 
 #: Difference covers by period (perfect difference sets; fixed values).
 COVERS = {7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18),
@@ -371,7 +370,9 @@ def _digested(documents: DataFrame) -> DataFrame:
 
 
 def _answered(told: DataFrame, name: str) -> DataFrame:
-    return told.groupBy("block").agg(F.collect_list(F.struct("bucket", "bits")).alias(name))
+    """Answers by block; staged, so that in the join with the blocks only they move."""
+    return stage(told.groupBy("block").agg(F.collect_list(F.struct("bucket", "bits")).alias(name)),
+                 name)
 
 
 def repeated_substrings(documents: DataFrame, min_length: int = 100) -> tuple[DataFrame, DataFrame]:
