@@ -40,6 +40,8 @@ from .tokens import WordChunks, edges, grouped
 PACKET = 1024
 #: Tokens of a packet at least, however small the share of its source.
 LEAST = 32
+#: Words in a generation of the tokenizing memo.
+MEMO = 500_000
 #: Rounds that one task orders, and groups of rounds under one carried offset.
 ROUNDS, GROUPS = 64, 4096
 
@@ -64,7 +66,7 @@ def _encoder(path: str) -> tuple[WordChunks, np.dtype]:
         data, cuts = ids.astype(kind).tobytes(), (ends * kind.itemsize).tolist()
         return [data[a:b] for a, b in zip([0, *cuts], cuts)]
 
-    return WordChunks(encode, encode_words), kind
+    return WordChunks(encode, encode_words, MEMO), kind
 
 
 def _tokenize(path: str, end_id: int):
@@ -90,16 +92,16 @@ def _tokenize(path: str, end_id: int):
     return run
 
 
-def _widen(path: str):
+def _widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Ids of pieces as 32-bit integers, whatever width they were stored in."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = _encoder(path)[1]
-        for batch in batches:
-            wide = [np.frombuffer(x.as_py(), kind).astype("<u4").tobytes()
-                    for x in batch.column("ids")]
-            at = batch.schema.get_field_index("ids")
-            yield batch.set_column(at, "ids", pa.array(wide, pa.binary()))
-    return run
+    _encoder.cache_clear()  # the worker may go on with other work: texts are tokenized
+    for batch in batches:
+        wide = []
+        for ids, length in zip(batch.column("ids").to_pylist(), batch.column("length").to_pylist()):
+            kind = f"<u{len(ids) // length}" if length else "<u4"
+            wide.append(np.frombuffer(ids, kind).astype("<u4").tobytes())
+        at = batch.schema.get_field_index("ids")
+        yield batch.set_column(at, "ids", pa.array(wide, pa.binary()))
 
 
 def _prefix(rows: DataFrame, group: str, amount: Column) -> DataFrame:
@@ -184,4 +186,4 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = 4096,
              .select(F.col("key").alias(key), "start", "length", "doc_tokens", "sequence_id",
                      "offset", F.expr(f"substring(ids, int(start * {width} + 1), "
                                       f"int(length * {width}))").alias("ids")))
-    return named.mapInArrow(_widen(tokenizer), named.schema)
+    return named.mapInArrow(_widen, named.schema)
