@@ -14,8 +14,8 @@ functions.
 Contract: a null or empty text is one empty line; a document whose key is null
 neither counts nor loses lines; rows that repeat a key are one document, and each
 of them is treated alike; lines shorter than ``min_chars`` stay; other columns
-of the input are kept as they are by ``apply_keep`` and ignored otherwise; an
-empty table gives empty results.
+of the input are kept as they are by ``apply_keep``, whatever their names but those
+of its two counts, and ignored otherwise; an empty table gives empty results.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .staging import stage, unstage
+from .staging import free_names, stage, unstage
 
 #: Characters stripped from both ends of a line.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -41,7 +41,7 @@ def line_key(line: Column) -> Column:
 
 
 def _whole(text: str) -> Column:
-    return F.coalesce(F.col(text), F.lit(""))
+    return F.coalesce(F.col(f"`{text}`"), F.lit(""))
 
 
 def _lines(docs: DataFrame, key: str, text: str, min_chars: int) -> DataFrame:
@@ -90,21 +90,21 @@ def keep_bitmaps(docs: DataFrame, key: str = "doc_id", text: str = "text", min_c
 
 def apply_keep(docs: DataFrame, bitmaps: DataFrame, key: str = "doc_id",
                text: str = "text") -> DataFrame:
-    """``docs`` with the lines that stay, and (_n_lines, _n_dropped)."""
-    lines = F.split(F.col("_whole"), "\n", -1)
-    kept = F.expr(r"""array_join(filter(split(_whole, '\n', -1), (line, i) ->
-        (shiftright(coalesce(_words[int(i div 64)], -1L), int(i % 64)) & 1L) = 1L), '\n')""")
-    found = bitmaps.select("_doc", "_text", F.col("n_dropped").alias("_dropped"),
-                           F.map_from_entries("keep").alias("_words"))
-    joined = (docs.withColumn("_whole", _whole(text))
-              .withColumn("_hash", F.xxhash64("_whole"))
-              .join(found, (F.col(key) == F.col("_doc")) & (F.col("_hash") == F.col("_text")),
-                    "left"))
-    new_text = F.when(F.col("_words").isNull(), F.col(text)).otherwise(kept)
+    """``docs`` with the lines that stay, and (_n_lines, _n_dropped), which replace columns
+    of these names."""
+    doc, same, words, dropped, whole = free_names(docs, "doc", "same", "words", "dropped", "whole")
+    kept = F.expr(rf"""array_join(filter(split(`{whole}`, '\n', -1), (line, i) ->
+        (shiftright(coalesce(`{words}`[int(i div 64)], -1L), int(i % 64)) & 1L) = 1L), '\n')""")
+    found = bitmaps.select(F.col("_doc").alias(doc), F.col("_text").alias(same),
+                           F.col("n_dropped").alias(dropped),
+                           F.map_from_entries("keep").alias(words))
+    joined = docs.withColumn(whole, _whole(text)).join(
+        found, (F.col(f"`{key}`") == F.col(doc)) & (F.xxhash64(whole) == F.col(same)), "left")
+    new_text = F.when(F.col(words).isNull(), F.col(f"`{text}`")).otherwise(kept)
     return joined.select(*[new_text.alias(c) if c == text else F.col(f"`{c}`")
-                           for c in docs.columns],
-                         F.size(lines).cast("long").alias("_n_lines"),
-                         F.coalesce("_dropped", F.lit(0)).cast("long").alias("_n_dropped"))
+                           for c in docs.columns if c.lower() not in ("_n_lines", "_n_dropped")],
+                         F.size(F.split(whole, "\n", -1)).cast("long").alias("_n_lines"),
+                         F.coalesce(dropped, F.lit(0)).cast("long").alias("_n_dropped"))
 
 
 def drop_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text",

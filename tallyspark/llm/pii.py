@@ -5,15 +5,18 @@ pattern is written so that it takes time linear in the text and finds what the
 plain pattern, leftmost and without overlaps, finds.
 
 Terms in the text of a protected entity may reveal it by themselves.  Over the
-corpus, with equal texts counted once and words counted over whole texts, the
-pointwise mutual information of term t and unit x is log2(N n(t,x) / (n(t) n(x))),
-where n(t,x) counts texts that have both.  Its share of the information of x,
-log2(N / n(x)), is 1 if t names x and 0 if t says nothing.  An entity that few texts
-hold backs off to units that repeat: a text stands for the units ``_units`` lists,
-the entity, its domain or prefixes, and its kind; units that only one text holds are
-one unit.  Below ``min_texts`` joint texts n(t) counts ``SMOOTH`` texts more, in which
-t would stand without x.  In the texts that hold x, terms whose share passes
-``generalise_at`` are replaced by a class tag, beyond ``remove_at`` they go.
+corpus, with equal texts counted once and words counted over whole texts, a unit x
+that n(x) of N texts hold has the information log2(N / n(x)), of which a term t gives
+away log2(N n(t,x) / (n(t) n(x))), where n(t,x) counts texts that have both.  What t
+leaves open is their difference, log2(n(t) / n(t,x)) bits, whatever N is.  The share
+n(t,x) / n(t) is known from n(t) texts only, so its lower confidence bound (Wilson's,
+one-sided) stands for it: one or two joint texts prove nothing.  In the texts that
+hold x, terms that leave at most ``generalise_at`` bits open are replaced by a class
+tag, with at most ``remove_at`` bits they go; a term must also tell ``min_gain`` bits of
+x, so that a unit most texts hold is not told by everything.
+
+An entity that few texts hold backs off to units that repeat: a text stands for the
+units ``_units`` lists, the entity, its domain or prefixes, and its kind.
 
 Terms are words of any length; in scripts without blanks, pairs of neighbouring
 characters.  Words inside an email address belong to it and are no terms of the text.
@@ -22,7 +25,8 @@ Everything is DataFrame functions.
 
 Contract: a null text is empty; rows that repeat a key are judged by their own
 text; texts without entities are left alone; other columns of the input are kept
-by ``sanitise``; empty tables give empty results.  Overlapping spans are all
+by ``sanitise``, whatever their names, while ``pii_spans`` replaces columns named as
+its own (``RESERVED``); empty tables give empty results.  Overlapping spans are all
 reported, and hidden together.
 """
 
@@ -45,9 +49,12 @@ PATTERNS = {
     "card": (r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){15,18}(?![\x20-]?[0-9])", ""),
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "+"),
 }
-MIN_TEXTS, GENERALISE_AT, REMOVE_AT = 3, 0.8, 0.95
-#: Texts that a term counts more where its joint texts are few.
-SMOOTH = 1
+#: Bits of a unit that a term may leave open to be replaced, and to be removed.
+GENERALISE_AT, REMOVE_AT = 1.0, 1 / 3
+#: Bits of a unit that a term must tell.
+MIN_GAIN = 1.0
+#: Normal quantile of the confidence bound (one-sided 95 %).
+CONFIDENCE = 1.645
 _BLANKLESS = "".join(rf"\p{{Is{s}}}" for s in (
     "Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar", "Tibetan")) + "\u30fc"
 #: What a text with any such character contains, and with none does not.
@@ -57,6 +64,8 @@ _BITS = 1 << 22
 #: Addresses (taken whole, then left out), runs without blanks, words.
 _WORD = (rf"(?<!{_LOCAL}){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
          rf"|[{_BLANKLESS}&&[\p{{L}}\p{{M}}]]++|[\p{{L}}\p{{M}}&&[^{_BLANKLESS}]]++")
+#: Columns that ``pii_spans`` adds.
+RESERVED = ["_whole", "_digest", "_digit", *(f"_{k}" for k in KINDS)]
 _SPAN = "array<struct<start:int,end:int,value:string>>"
 
 
@@ -196,10 +205,18 @@ def _once(rows: DataFrame) -> tuple[DataFrame, int]:
     return alone.unionByName(again), total
 
 
+def share_bound(joint: Column, texts: Column, z: float = CONFIDENCE) -> Column:
+    """Wilson's lower bound of the share of a term's texts that hold the unit."""
+    share = joint / texts
+    spread = z * F.sqrt(share * (1 - share) / texts + z * z / (4 * texts * texts))
+    return (share + z * z / (2 * texts) - spread) / (1 + z * z / texts)
+
+
 def disclosing_terms(docs: DataFrame, words: DataFrame, holders: DataFrame, text: str = "text",
-                     min_texts: int = MIN_TEXTS,
-                     generalise_at: float = GENERALISE_AT) -> DataFrame:
-    """(digest, term, share): terms that reveal what a text holds to ``generalise_at`` or more.
+                     generalise_at: float = GENERALISE_AT, min_gain: float = MIN_GAIN
+                     ) -> DataFrame:
+    """(digest, term, open): terms that leave at most ``generalise_at`` bits of a unit of the
+    text open, with the fewest bits over its units.
 
     ``words``: (digest, term), ``holders``: (digest, unit), of the distinct texts of
     ``docs`` that hold entities.
@@ -208,31 +225,30 @@ def disclosing_terms(docs: DataFrame, words: DataFrame, holders: DataFrame, text
     rows, total = _once(docs.select(F.xxhash64(whole).alias("digest"), whole.alias("_whole")))
     counts = (rows.select(F.explode(_terms(F.col("_whole"))).alias("term"))
               .groupBy("term").agg(F.count("*").alias("n_t")))
-    every = F.log2(F.lit(float(total or 1)))
-    sizes = holders.groupBy("unit").agg(F.count("*").alias("n_x"))
-    # Units of one text are told by the same terms: one of them stands for all.
-    units = (holders.join(sizes, "unit")
-             .select("digest", "n_x", F.when(F.col("n_x") > 1, F.col("unit"))
-                     .otherwise(F.concat(F.lit("="), "digest")).alias("unit")).distinct())
-    # A term in more texts than this passes for no number of joint texts up to n_x.
-    within = (F.log2("n_t") <= generalise_at * F.log2("n_x")
-              + (1 - generalise_at) * every + 1e-9)
+    # No term of fewer texts reaches the bound, even if all of them hold the unit.
+    least = 2.0 ** -generalise_at
+    fewest = CONFIDENCE ** 2 * least / (1 - least) if least < 1 else float("inf")
+    sizes = (holders.groupBy("unit").agg(F.count("*").alias("n_x"))
+             .where(F.col("n_x") >= fewest - 1e-9))
+    units = holders.join(sizes, "unit")
+    # n(t,x) is n(x) at most.
+    within = (F.col("n_t") >= fewest - 1e-9) & (F.col("n_t") * least <= F.col("n_x") + 1e-9)
     pairs = stage(words.join(counts, "term").join(units, "digest").where(within), "pairs")
     joint = pairs.groupBy("unit", "term").agg(
         F.count("*").alias("n_tx"), F.first("n_x").alias("n_x"), F.first("n_t").alias("n_t"))
-    n_t = F.col("n_t") + F.when(F.col("n_tx") < min_texts, F.lit(SMOOTH)).otherwise(F.lit(0))
-    information = every - F.log2("n_x")
-    shared = information + F.log2(F.col("n_tx") / n_t)
-    share = F.when(information > 0, shared / information).otherwise(F.lit(0.0))
-    telling = (joint.withColumn("share", share).where(F.col("share") >= generalise_at)
-               .select("unit", "term", "share"))
+    bound = share_bound(F.col("n_tx"), F.col("n_t"))
+    gain = F.log2(bound * float(total or 1) / F.col("n_x"))
+    telling = (joint.withColumn("open", -F.log2(bound))
+               .where((F.col("open") <= generalise_at) & (gain >= min_gain))
+               .select("unit", "term", "open"))
     return (pairs.join(telling, ["unit", "term"]).groupBy("digest", "term")
-            .agg(F.max("share").alias("share")))
+            .agg(F.min("open").alias("open")))
 
 
-def pii_spans(docs: DataFrame, text: str = "text", min_texts: int = MIN_TEXTS,
-              generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT) -> DataFrame:
+def pii_spans(docs: DataFrame, text: str = "text", generalise_at: float = GENERALISE_AT,
+              remove_at: float = REMOVE_AT, min_gain: float = MIN_GAIN) -> DataFrame:
     """``docs`` with _whole, base spans per kind, and _term spans (value: tag or '')."""
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in RESERVED and c != text])
     based = with_base_spans(docs, text)
     held = stage(with_base_spans(docs.select(text), text).where(_holds())
                  .select(F.xxhash64("_whole").alias("digest"), "_whole", _units().alias("units"))
@@ -240,11 +256,11 @@ def pii_spans(docs: DataFrame, text: str = "text", min_texts: int = MIN_TEXTS,
     spoken = stage(_occurrences(held), "occurrences")
     holders = held.select("digest", F.explode("units").alias("unit"))
     terms = stage(disclosing_terms(docs, spoken.select("digest", "term").distinct(), holders,
-                                   text, min_texts, generalise_at), "terms")
+                                   text, generalise_at, min_gain), "terms")
     told = (spoken.join(terms, ["digest", "term"])
             .groupBy(F.col("digest").alias("_digest"))
             .agg(F.array_sort(F.collect_list(F.struct(
-                "start", "end", F.when(F.col("share") >= remove_at, F.lit(""))
+                "start", "end", F.when(F.col("open") <= remove_at, F.lit(""))
                 .otherwise(F.lit("[TERM]")).alias("value")))).alias("_term")))
     told = stage(told, "told")
     unstage(held, spoken, terms)
@@ -264,7 +280,9 @@ def span_list(kind: str) -> Column:
 
 def sanitise(docs: DataFrame, text: str = "text", **limits) -> DataFrame:
     """``docs`` with every span hidden: base kinds by a tag, terms by theirs or nothing."""
-    found = pii_spans(docs, text, **limits)
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    found = pii_spans(docs.toDF(*names.values()), names[text], **limits)
+
     def tagged(kind: str) -> Column:
         return F.transform(f"_{kind}", lambda s: F.struct(
             s["start"].alias("start"), s["end"].alias("end"),
@@ -280,6 +298,6 @@ def sanitise(docs: DataFrame, text: str = "text", **limits) -> DataFrame:
                      s["value"]).alias("out")))
         .otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))))
     hidden = F.concat(walked["out"], F.substr(whole, walked["at"] + 1, F.length(whole)))
-    new_text = F.when(F.size(spans) > 0, hidden).otherwise(F.col(text))
-    return found.select(*[new_text.alias(c) if c == text else F.col(f"`{c}`")
-                          for c in docs.columns])
+    new_text = F.when(F.size(spans) > 0, hidden).otherwise(F.col(names[text]))
+    return found.select(*[(new_text if c == text else F.col(own)).alias(c)
+                          for c, own in names.items()])

@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import regex
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -111,6 +112,47 @@ def _valid(kind, found):
     return kind == "email" or 8 <= len(digits) <= 15
 
 
+_LETTERS = regex.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+|[\p{L}\p{M}]+")
+
+
+def pii_units(text):
+    """What the base spans of a text stand for."""
+    out = set()
+    for span in pii(text):
+        kind, start, end = span.split(":")
+        value = text[int(start):int(end)]
+        digits = re.sub("[^0-9]", "", value)
+        parts = value.split(".")
+        out |= {(kind, n) for n in {
+            "email": (value.lower(), value.lower().rsplit("@", 1)[-1], ""),
+            "ip": (value, ".".join(parts[:3]) + ".", ".".join(parts[:2]) + "..", ""),
+            "card": (digits, digits[:6], ""), "phone": (digits, digits[:-4] + "-", "")}[kind]}
+    return out
+
+
+def pii_terms(texts):
+    """text -> [(start, end, bits left open)] of its disclosing terms (scripts with blanks)."""
+    words = {t: [(m.start(), m.end(), m.group().lower()) for m in _LETTERS.finditer(t)
+                 if "@" not in m.group()] for t in {t or "" for t in texts}}
+    units = {t: pii_units(t) for t in words}
+    n_t = Counter(w for t in words for w in {w for *_, w in words[t]})
+    n_x = Counter(x for t in words for x in units[t])
+    n_tx = Counter((w, x) for t in words for w in {w for *_, w in words[t]} for x in units[t])
+    left = {}
+    for (w, x), n in n_tx.items():
+        size, z = n_t[w], 1.645
+        middle, half = n + z * z / 2, z * (n * (size - n) / size + z * z / 4) ** 0.5
+        bound = (middle - half) / (size + z * z)
+        if -np.log2(bound) <= 1 and np.log2(bound * len(words) / n_x[x]) >= 1:
+            left[w, x] = -np.log2(bound)
+    out = {}
+    for t in words:
+        told = [(a, b, min((left[w, x] for x in units[t] if (w, x) in left), default=None))
+                for a, b, w in words[t]]
+        out[t] = [s for s in told if s[2] is not None]
+    return out
+
+
 def pii(text):
     return [f"{kind}:{m.start()}:{m.end()}" for kind, pattern in PII.items()
             for m in re.finditer(pattern, text or "") if _valid(kind, m.group())]

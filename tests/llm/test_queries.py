@@ -61,23 +61,52 @@ def test_quality_query(spark, con):
         assert not (r.kept and r.base_failed)
 
 
+def exact_fences(scales, groups):
+    """group -> (low, high) per measure: exact quartiles, blended by numbers of rows."""
+    def quartiles(keys):
+        at = np.sort([scales[k] for k in keys], axis=0)
+        return np.array([at[int(np.ceil(q * len(at))) - 1] for q in (0.25, 0.75)])
+
+    def blend(keys, above):
+        n, prior = len(keys), quality.PRIOR_ROWS
+        return (n * quartiles(keys) + prior * above) / (n + prior)
+    langs = {}
+    for (lang, _), keys in groups.items():
+        langs.setdefault(lang, []).extend(keys)
+    whole = quartiles(list(scales))
+    reach = np.array([3.0, 4.0, 5.0, 4.0])
+    out = {}
+    for group, keys in groups.items():
+        low, high = blend(keys, blend(langs[group[0]], whole))
+        spread = reach * np.maximum(high - low, [0.5, 0.5, 0.5, 0.05])
+        out[group] = np.array([-np.inf] * 3 + [low[3] - spread[3]]), high + spread
+    return out
+
+
 def test_quality_fences_by_exact_quantiles(spark, con):
-    """The table is smaller than a group needs, so the corpus' fences hold for all."""
-    rates, failed = {}, {}
-    for key, text in documents(con):
+    """A sketch of so few rows is exact."""
+    odds = lambda k, n: np.log((k + 0.5) / (n - k + 0.5))
+    scales, groups, of, rows = {}, {}, {}, con.sql(
+        "SELECT doc_id, text, lang, source FROM documents").fetchall()
+    for key, text, lang, source in rows:
         n, chars, symbols, lines, again = H.quality(text)
         spoken = sum(bool(H.WORD.search(x)) for x in (text or "").split("\n"))
-        failed[key] = n < quality.MIN_WORDS or 2 * again > n
-        rates[key] = [a / b if b else 0.0 for a, b in
-                      ((symbols, chars), (lines, spoken), (again, n), (chars, n))]
-    good = np.sort([r for k, r in rates.items() if not failed[k]], axis=0)
-    assert 0 < len(good) < quality.GROUP_ROWS
-    low, high = (good[int(np.ceil(q * len(good))) - 1] for q in (0.25, 0.75))
-    fence = high + np.maximum(quality.SPREAD * (high - low), list(quality.RATES.values()))
-    got = {r.doc_id: (r.base_failed, r.kept)
-           for r in QUERIES["op2_quality_rules"][0](spark, SF).collect()}
-    assert got == {k: (failed[k], not failed[k] and bool((np.array(rates[k]) <= fence).all()))
-                   for k in rates}
+        if n >= quality.MIN_WORDS and 2 * again <= n:
+            scales[key] = [odds(symbols, chars), odds(lines, spoken), odds(again, n),
+                           np.log(chars / n)]
+            groups.setdefault((lang, source), []).append(key)
+            of[key] = lang, source
+    fences = exact_fences(scales, groups)
+    assert len({tuple(np.round(high, 6)) for _, high in fences.values()}) > len(fences) / 2 > 1
+    want = {key: key in scales and bool(((np.array(scales[key]) <= fences[of[key]][1])
+                                         & (np.array(scales[key]) >= fences[of[key]][0])).all())
+            for key, *_ in rows}
+    frame = spark.read.parquet(f"{SF}/documents.parquet")
+    got = quality.quality_verdicts(frame, ["doc_id"]).collect()
+    assert {r.doc_id: r.kept for r in got} == want
+    assert all(r.kept == (not r.base_failed and not r.beyond) for r in got)
+    query = QUERIES["op2_quality_rules"][0](spark, SF).collect()
+    assert {r.doc_id: r.kept for r in query} == want
 
 
 def test_ngram_query(spark, con):
@@ -87,10 +116,13 @@ def test_ngram_query(spark, con):
 
 
 def test_pii_query(spark, con):
+    """All spans of the table, base kinds and terms."""
+    rows = documents(con)
     got = {r.doc_id: r.spans for r in QUERIES["op7_pii"][0](spark, SF).collect()}
-    for key, text in documents(con):
-        base = ",".join(H.pii(text))
-        assert got[key] == base or got[key].startswith(base)
+    told = H.pii_terms([t for _, t in rows])
+    for key, text in rows:
+        want = H.pii(text) + [f"term:{a}:{b}" for a, b, _ in told[text or ""]]
+        assert got[key] == ",".join(want)
 
 
 @pytest.mark.parametrize("name", ["op1_hnsw", "op3_toxicity", "op4_token_counts", "op5_byte_bpe",
