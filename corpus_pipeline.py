@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.llm import line_dedup, ngram_join, packing, pii, quality
-from tallyspark.llm.staging import importable, new_folder
+from tallyspark.llm.staging import free_names, importable, new_folder
 
 #: The stages rest on sketches, set joins and a tokenizer: SQL cannot express them.
 ORACLE_SQL = None
@@ -33,13 +33,16 @@ def _n_chars(docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A verdict is that of an id and a text: equal texts of a group have equal ones."""
     importable(spark)
-    rows = docs.withColumn("_digest", F.xxhash64(F.coalesce("text", F.lit(""))))
-    passed = (quality.quality_verdicts(rows, ["doc_id", "_digest"]).where("kept")
-              .select(F.col("doc_id").alias("_id"), F.col("_digest").alias("_same")).distinct())
-    return (rows.join(passed, F.col("doc_id").eqNullSafe(F.col("_id"))
-                      & (F.col("_digest") == F.col("_same")), "left_semi")
-            .select(*docs.columns))
+    digest = F.xxhash64(F.coalesce("text", F.lit("")))
+    doc, same = free_names(docs, "id", "same")
+    # Columns that the operator reads, by names that no other column of docs can take.
+    rows = docs.select("doc_id", digest.alias("same"), "text", "lang", "source")
+    passed = (quality.quality_verdicts(rows, ["doc_id", "same"]).where("kept")
+              .select(F.col("doc_id").alias(doc), F.col("same").alias(same)).distinct())
+    return docs.join(passed, F.col("doc_id").eqNullSafe(F.col(doc)) & (digest == F.col(same)),
+                     "left_semi")
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
