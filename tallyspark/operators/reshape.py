@@ -22,33 +22,40 @@ def is_numeric_type(dt: T.DataType) -> bool:
     return isinstance(dt, _NUMERIC)
 
 
-def unpivot_values(df: DataFrame, id_columns: Sequence[str], value_columns: Sequence[str],
-                   name_column: str = "candidate_source_column",
-                   value_column: str = "votes", as_text: bool | None = None) -> DataFrame:
-    """Wide -> long: one row per input row and value column.
-
-    Mixed value types cannot be unpivoted together, so unless every value
-    column is numeric they are unpivoted as text (doubles print losslessly) and
-    parsed back by the caller.  ``as_text`` forces either path.
+def unpivot_numbers(df: DataFrame, id_columns: Sequence[str], value_columns: Sequence[str],
+                    name_column: str = "candidate_source_column",
+                    value_column: str = "votes") -> DataFrame:
+    """Wide -> long: one row per input row and value column, values as numbers or null.
+
+    Numbers and texts travel in lanes of their own, as an unpivot wants one type: numeric
+    columns are widened to double and never printed, texts are parsed after the unpivot,
+    by one expression however many columns there are.
     """
     value_columns = list(value_columns)
-    if as_text is None:
-        as_text = not all(is_numeric_type(df.schema[c].dataType) for c in value_columns)
-    cast = "string" if as_text else "double"
-    values = [F.col(f"`{c}`").cast(cast).alias(c) for c in value_columns]
-    wide = df.select(*[F.col(f"`{c}`") for c in id_columns], *values)
-    return wide.unpivot([F.col(f"`{c}`") for c in id_columns], value_columns,
-                        name_column, value_column)
+    typed = {c: is_numeric_type(df.schema[c].dataType) for c in value_columns}
+    ids = [F.col(f"`{c}`") for c in id_columns]
+    if all(typed.values()):
+        values = [F.col(f"`{c}`").cast("double").alias(c) for c in value_columns]
+        long = df.select(*ids, *values).unpivot(ids, [F.col(f"`{c}`") for c in value_columns],
+                                                name_column, value_column)
+        return long.withColumn(value_column, X.to_number(f"`{value_column}`", True))
+    none = F.lit(None)
+    lanes = [F.struct(
+        (F.col(f"`{c}`") if numeric else none).cast("double").alias("number"),
+        (none if numeric else F.col(f"`{c}`")).cast("string").alias("text")).alias(c)
+        for c, numeric in typed.items()]
+    long = df.select(*ids, *lanes).unpivot(ids, [F.col(f"`{c}`") for c in value_columns],
+                                           name_column, value_column)
+    return long.withColumn(value_column, F.coalesce(
+        X.to_number(f"`{value_column}`.number", True), X.to_number(f"`{value_column}`.text")))
 
 
 def unpivot_votes(df: DataFrame, id_columns: Sequence[str], value_columns: Sequence[str],
                   name_column: str = "candidate_source_column",
                   value_column: str = "votes") -> DataFrame:
     """Unpivot and coerce the values to numbers; a missing or bad value -> 0."""
-    long = unpivot_values(df, id_columns, value_columns, name_column, value_column)
-    numeric = is_numeric_type(long.schema[value_column].dataType)
-    return long.withColumn(value_column,
-                           F.coalesce(X.to_number(value_column, numeric), F.lit(0.0)))
+    long = unpivot_numbers(df, id_columns, value_columns, name_column, value_column)
+    return long.withColumn(value_column, F.coalesce(F.col(f"`{value_column}`"), F.lit(0.0)))
 
 
 def candidate_value_columns(df: DataFrame, metadata_columns: Sequence[str],
@@ -73,9 +80,9 @@ def detect_value_columns(df: DataFrame, group_columns: Sequence[str],
     """Per group (e.g. source file) and column: the share of rows holding a
     number, and whether it reaches ``min_ratio``.
 
-    Unpivot first, decide after: one grouped aggregation decides the rule for
-    every file and column in a single job (partial aggregation on the map
-    side, so a large file is not a large task).
+    One pass and one row per group: every column's numbers are counted as they are read
+    (partial sums on the map side, so a large file is not a large task), and only the
+    ratios are turned into rows.
     """
     cols = candidate_value_columns(df, list(group_columns) + list(metadata_columns), excluded)
     if not cols:
@@ -83,10 +90,15 @@ def detect_value_columns(df: DataFrame, group_columns: Sequence[str],
                            + [f"{name_column} string", "numeric_ratio double",
                               "is_value_column boolean"])
         return df.sparkSession.createDataFrame([], schema)
-    long = unpivot_values(df, group_columns, cols, name_column, "__v", as_text=True)
-    ratio = (long.groupBy(*group_columns, name_column)
-             .agg(F.avg(X.is_number("__v").cast("double")).alias("numeric_ratio")))
-    return ratio.withColumn("is_value_column", F.col("numeric_ratio") >= F.lit(min_ratio))
+    ratio = [F.avg(X.is_number(f"`{c}`", is_numeric_type(df.schema[c].dataType)).cast("double"))
+             for c in cols]
+    counted = df.groupBy(*group_columns).agg(F.array(*[
+        F.struct(F.lit(c).alias("name"), r.alias("ratio")) for c, r in zip(cols, ratio)])
+        .alias("__columns"))
+    found = counted.select(*group_columns, F.explode("__columns").alias("__c")).select(
+        *group_columns, F.col("__c.name").alias(name_column),
+        F.col("__c.ratio").alias("numeric_ratio")).where(F.col("numeric_ratio").isNotNull())
+    return found.withColumn("is_value_column", F.col("numeric_ratio") >= F.lit(min_ratio))
 
 
 def unpivot_detected(df: DataFrame, group_columns: Sequence[str],
@@ -108,9 +120,8 @@ def unpivot_detected(df: DataFrame, group_columns: Sequence[str],
                                          excluded, name_column)
                     .where("is_value_column").select(*group_columns, name_column))
     cols = candidate_value_columns(df, id_cols, excluded)
-    long = unpivot_values(df, id_cols, cols, name_column, value_column, as_text=True)
-    long = join_on_keys(long, detected, list(group_columns) + [name_column], how="left_semi")
-    return long.withColumn(value_column, F.coalesce(X.to_number(value_column), F.lit(0.0)))
+    long = unpivot_votes(df, id_cols, cols, name_column, value_column)
+    return join_on_keys(long, detected, list(group_columns) + [name_column], how="left_semi")
 
 
 def distinct_values(df: DataFrame, column: str, limit: int | None = None) -> list:

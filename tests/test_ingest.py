@@ -188,6 +188,36 @@ def test_unpivot_mixed_types(spark):
                    ("b", "p", 0.0), ("b", "q", 0.0), ("b", "r", 1.0)]
 
 
+def test_unpivot_lanes(spark):
+    """Numbers are widened, not printed; bad cells are 0; names with dots."""
+    df = spark.createDataFrame(
+        [("a", 0.1, "1e3", float("nan"), 7), ("b", 16777216.0, " 2 ", float("inf"), None)],
+        "id string, `f.32` float, t string, d double, n int")
+    long = R.unpivot_votes(df, ["id"], ["f.32", "t", "d", "n"])
+    got = {(r.id, r.candidate_source_column): r.votes for r in long.collect()}
+    single = 0.10000000149011612  # the nearest 32-bit number to 0.1
+    assert got == {("a", "f.32"): single, ("a", "t"): 1000.0, ("a", "d"): 0.0, ("a", "n"): 7.0,
+                   ("b", "f.32"): 16777216.0, ("b", "t"): 2.0, ("b", "d"): float("inf"),
+                   ("b", "n"): 0.0}
+    numbers = {(r.id, r.candidate_source_column): r.votes for r in
+               R.unpivot_numbers(df, ["id"], ["f.32", "d"]).collect()}
+    assert numbers[("a", "d")] is None and numbers[("a", "f.32")] == single
+    plan = long._jdf.queryExecution().optimizedPlan().toString()
+    assert "cast(f.32" in plan and "as string" not in plan.split("Expand")[-1]
+
+
+def test_detect_in_one_pass(spark):
+    """No unpivot of the cells: one aggregate, whatever the number of columns."""
+    df = spark.createDataFrame([("f", 1, "x", 0.5), ("g", None, "3", float("nan")),
+                                ("g", 4, "5", 1.0)], "g string, p int, q string, r double")
+    found = R.detect_value_columns(df, ["g"], [])
+    got = {(r.g, r.column): (r.numeric_ratio, r.is_value_column) for r in found.collect()}
+    assert got == {("f", "p"): (1.0, True), ("f", "q"): (0.0, False), ("f", "r"): (1.0, True),
+                   ("g", "p"): (0.5, False), ("g", "q"): (1.0, True), ("g", "r"): (0.5, False)}
+    assert "Expand" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert R.detect_value_columns(df.where("p > 9"), ["g"], []).count() == 0
+
+
 def test_detect_80_percent_rule(spark):
     rows = [("f", str(i) if i < 4 else "x", str(i) if i < 3 else "y") for i in range(5)]
     df = spark.createDataFrame(rows, "g string, four string, three string")
