@@ -16,7 +16,7 @@
 3. Product.  In each block the class by n-gram incidence matrix is multiplied by
    its transpose row by row: overlap counts are accumulated over the columns of
    a row, rows out of the size bounds and rows already linked are discarded.  A
-   block of more than ``TILE`` elements is cut into tiles by size level and hash,
+   block of more than ``TILE`` elements is cut into tiles by size band and hash,
    and pairs of tiles are multiplied.
 4. Links that reach the threshold give the components.  Nothing else is delivered:
    pairs that earlier links already join are skipped, so neither the links nor their
@@ -300,8 +300,8 @@ def _tiles(members: DataFrame, weight: Column, limit: int, *payload: str) -> Dat
     """``members`` with the (tile, side) pairs each class takes part in.
 
     A block of at most ``limit`` weight is one tile.  A larger one is cut by size
-    level and hash into chunks of about half a tile; chunks of the same and of
-    neighbouring levels are paired, which is where partners can be.
+    band (``level``) and hash into chunks of about half a tile; chunks of the same and of
+    neighbouring bands are paired, which is where partners can be.
     """
     large = _large(members, weight, limit)
     counts = (members.join(large, "block", "left_semi").groupBy("block", "level")
@@ -408,7 +408,10 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, key: s
                .agg(F.min("key").alias("node"), F.first("n").alias("n"),
                     F.first("sketch").alias("sketch")))
     classes = stage(classes, "classes")
-    level = F.floor(F.log(F.col("n").cast("double")) / math.log(RATIO)).cast("long")
+    # Bands as wide as the size bound (and a little more, for rounding): partners lie at most
+    # one band apart, and no tile holds sizes that cannot meet.
+    band = math.log(100 / percent * 1.01)
+    level = F.floor(F.log(F.col("n").cast("double")) / band).cast("long")
     members = (classes.where(F.col("node").isNotNull()).join(blocks, "f1")
                .withColumn("level", level))
     members = stage(members, "members")
