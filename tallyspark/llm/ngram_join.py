@@ -50,7 +50,9 @@ from .words import mix, slices
 RATIO = 1.5
 #: Elements (shingles) of a tile: some 150 MB in its task.
 TILE = 3 << 20
-#: Sketches of a tile, when large blocks are split.
+#: Parts of the hash space that a sketch counts at least, and elements a part at most.
+PARTS, PER_PART = 128, 8
+#: Least sketches of a tile, when large blocks are split; wider ones weigh more.
 SKETCH_ROWS = 4096
 
 
@@ -110,15 +112,21 @@ def _signatures(hashes: np.ndarray, level: int, percent: int) -> np.ndarray:
     return keys if segments - full.sum() > segments - 1 - most else keys[full]
 
 
-def _sketches(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Per text how many of its elements fall into each of 128 parts of the hash space.
+def _sketches(hashes: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """Per text how many of its elements fall into each part of the hash space.
 
-    Two sets differ in no fewer elements than their counts do.
+    Two sets differ in no fewer elements than their counts do.  The number of parts, a
+    power of two, grows with the set: counts of unlike sets differ by chance in about the
+    root of a part's elements, which must not get lost in what the threshold allows.  Parts
+    are nested: neighbours of a finer sketch add up to a coarser one's part.
     """
-    text = np.repeat(np.arange(len(sizes)), sizes)
-    part = (mix(hashes + np.uint64(29)) >> np.uint64(57)).astype(np.int64)
-    counts = np.bincount(text * 128 + part, minlength=128 * len(sizes))
-    return np.minimum(counts, 255).astype(np.uint8).reshape(-1, 128)
+    parts = PARTS << np.ceil(np.log2(np.maximum(sizes / (PARTS * PER_PART), 1))).astype(np.int64)
+    starts = np.concatenate([[0], np.cumsum(parts)])
+    shift = np.uint64(64) - np.log2(parts).astype(np.uint64)
+    part = (mix(hashes + np.uint64(29)) >> np.repeat(shift, sizes)).astype(np.int64)
+    counts = np.bincount(np.repeat(starts[:-1], sizes) + part, minlength=starts[-1])
+    data = np.minimum(counts, 255).astype(np.uint8).tobytes()
+    return [data[a:b] for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())]
 
 
 def _describe(size: int, percent: int, text: str):
@@ -149,10 +157,10 @@ def _describe(size: int, percent: int, text: str):
                 offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
                 keys = pa.ListArray.from_arrays(
                     offsets, pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int64)))
-                sketches = [x.tobytes() for x in _sketches(hashes, sizes)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("key").slice(row, texts.count), pa.array(sizes.astype(np.int64)),
-                     pa.array(one), pa.array(two), pa.array(sketches, pa.binary()), keys],
+                     pa.array(one), pa.array(two),
+                     pa.array(_sketches(hashes, sizes), pa.binary()), keys],
                     ["key", "n", "f1", "f2", "sketch", "segments"])
     return run
 
@@ -330,25 +338,42 @@ def _tiles(members: DataFrame, weight: Column, limit: int, *payload: str) -> Dat
             .select("node", "f1", "tiles", *payload))
 
 
+def _by_width(rows: list[bytes]) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, sketches, the same at half their width) of rows that widen in order."""
+    width = np.array([len(r) for r in rows])
+    starts = np.flatnonzero(np.diff(width, prepend=0))
+    groups = []
+    for a, b in zip(starts, [*starts[1:], len(rows)]):
+        own = np.frombuffer(b"".join(rows[a:b]), np.uint8).reshape(b - a, -1).astype(np.int16)
+        groups.append((int(a), own, own[:, ::2] + own[:, 1::2]))
+    return groups
+
+
 def _near_sketches(percent: int):
     """Links of tile rows whose sketches allow the similarity; rows sorted by tile."""
     def links(nodes, rows, sizes, sides):
         order = np.argsort(sizes, kind="stable")
-        sketch = np.frombuffer(b"".join(rows), np.uint8).reshape(-1, 128)[order].astype(np.int16)
         size, side, label = np.array(sizes)[order], np.array(sides)[order], np.arange(len(order))
-        for i in range(len(order)):
-            to = np.searchsorted(size, size[i] * 100 // percent, side="right")
-            open_ = label[i + 1:to] != label[i]
-            if side[i]:
-                open_ &= side[i + 1:to] != side[i]
-            at = np.flatnonzero(open_) + i + 1
-            if not len(at):
-                continue
-            apart = np.abs(sketch[at] - sketch[i]).sum(1, dtype=np.int64)
-            for j in at[apart * (100 + percent) <= (size[at] + size[i]) * (100 - percent)]:
-                if label[j] != label[i]:
-                    yield nodes[order[i]], nodes[order[j]]
-                    label[label == label[j]] = label[i]
+        groups = _by_width([rows[i] for i in order])
+        for (first, own, _), later in zip(groups, [*groups[1:], None]):
+            past = first + len(own)
+            for i in range(first, past):
+                to = np.searchsorted(size, size[i] * 100 // percent, side="right")
+                open_ = label[i + 1:to] != label[i]
+                if side[i]:
+                    open_ &= side[i + 1:to] != side[i]
+                at = np.flatnonzero(open_) + i + 1
+                if not len(at):
+                    continue
+                mine, wider = own[i - first], at[at >= past]
+                apart = np.abs(own[at[at < past] - first] - mine).sum(1, dtype=np.int64)
+                if len(wider):  # less than twice the size, so twice the width
+                    more = np.abs(later[2][wider - past] - mine).sum(1, dtype=np.int64)
+                    apart = np.concatenate([apart, more])
+                for j in at[apart * (100 + percent) <= (size[at] + size[i]) * (100 - percent)]:
+                    if label[j] != label[i]:
+                        yield nodes[order[i]], nodes[order[j]]
+                        label[label == label[j]] = label[i]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, held = None, ([], [], [], [])
@@ -376,7 +401,8 @@ def _refine(members: DataFrame, percent: int) -> DataFrame:
     """
     large = _large(members, F.col("n"), TILE)
     own = stage(members.join(large, "block", "left_semi"), "large")
-    tiles = _tiles(own, F.lit(1), SKETCH_ROWS, "n", "sketch")
+    weight = F.expr(f"length(sketch) div {PARTS}")
+    tiles = _tiles(own, weight, SKETCH_ROWS, "n", "sketch")
     links = (tiles.select("node", "n", "sketch", F.explode("tiles").alias("t"))
              .select("t.tile", "t.side", "node", "n", "sketch")
              .repartition("tile").sortWithinPartitions("tile", "node")

@@ -5,6 +5,7 @@ import itertools
 
 import helpers as H
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -169,6 +170,45 @@ def test_ngram_join_random_edits(spark):
             == H.components(rows, size, percent)
 
 
+def test_sketches_widen_with_the_set():
+    random = np.random.default_rng(5)
+    draw = lambda n: np.unique(random.integers(0, 1 << 62, n)).astype(np.uint64)
+    # Both sides of the sizes at which a sketch doubles; each with a near copy, larger or smaller.
+    bases = [draw(n) for n in (0, 5, 900, 1020, 1030, 2040, 2060, 4090, 9000, 15000)]
+    sets = list(bases)
+    for base in bases[2:]:
+        sets.append(np.unique(np.concatenate([base, draw(len(base) // 9)])))
+        sets.append(base[:len(base) * 9 // 10])
+    sizes = np.array([len(x) for x in sets])
+    rows = ngram_join._sketches(np.concatenate(sets), sizes)
+    assert [len(r) for r in rows[:10]] == [128, 128, 128, 128, 256, 256, 512, 512, 2048, 2048]
+    found = list(ngram_join._near_sketches(80)(iter([pa.RecordBatch.from_pydict(
+        {"tile": ["t"] * len(rows), "node": list(range(len(rows))), "sketch": rows,
+         "n": sizes.tolist(), "side": [0] * len(rows)})])))
+    label = list(range(len(rows)))
+    for batch in found:
+        for a, b in zip(*(batch.column(c).to_pylist() for c in ("a", "b"))):
+            low, high = sorted((label[a], label[b]))
+            label = [low if x == high else x for x in label]
+    families = [[2 + i, 10 + 2 * i, 11 + 2 * i] for i in range(8)]
+    for family in families:
+        assert len({label[i] for i in family}) == 1
+    # Sets without a common element are told apart, however large.
+    assert len({label[f[0]] for f in families}) == len(families)
+
+
+def test_ngram_join_of_large_sets(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "TILE", 4000)
+    shared = H.prose(99, 60)
+    rows = []
+    for i in range(6):
+        words = [f"w{i}x{j}" for j in range(1000 + 60 * i)]
+        rows.append((2 * i, " ".join([shared, *words])))
+        rows.append((2 * i + 1, " ".join([shared, *words[20 * (i % 3):], "end"])))
+    got = ngram_join.jaccard_components(H.docs_frame(spark, rows)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == H.components(rows, 5, 80)
+
+
 def test_ngram_join_edge(spark):
     assert ngram_join.jaccard_components(nothing(spark)).count() == 0
     with pytest.raises(ValueError):
