@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from ..functions import fixed
 from ..operators import stats as ST
 from ..operators.reshape import active_features
 from ..session import ensure_checkpoint_dir
@@ -335,6 +336,30 @@ def q_cca_correlations(spark, d):
     return ST.cca_correlations(spark, fits)
 
 
+@register("cca_single", GRID_SQL + """
+, sides AS (
+  SELECT dataset_id, id_bvote, x FROM grid
+  WHERE (dataset_id, candidate) IN (SELECT (dataset_id, min(candidate)) FROM grid
+                                    GROUP BY dataset_id))
+SELECT 'F' AS left_election, 'O' AS right_election, count(*) AS common_polling_stations,
+       'CC1' AS component, abs(corr(a.x, b.x)) AS canonical_correlation,
+       var_samp(a.x) = 0 OR var_samp(b.x) = 0 AS is_degenerate
+FROM (SELECT * FROM sides WHERE dataset_id = 'F') a
+JOIN (SELECT * FROM sides WHERE dataset_id = 'O') b ON a.id_bvote = b.id_bvote
+""", ("canonical_correlation",))
+def q_cca_single(spark, d):
+    """M7 with one feature a side (the first by name), where the canonical correlation is
+    the size of the plain one."""
+    feats = ballot_features(spark, d)
+    names = ST._collect_features(feats)
+    left, right = CCA_PAIRS[0]
+    one = feats.vectors.withColumn("x", F.slice("x", 1, 1))
+    sums = ST.cca_sums(one.where(F.col("dataset_id") == left),
+                       one.where(F.col("dataset_id") == right), "id_bvote")
+    fit = ST.solve_cca(sums, names[left][:1], names[right][:1], 1, fixed.CCA_RIDGE, left, right)
+    return ST.cca_correlations(spark, {(left, right): fit})
+
+
 @register("cca_weights")
 def q_cca_weights(spark, d):
     """M8: canonical weights of both sides, named by candidate."""
