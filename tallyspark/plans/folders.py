@@ -63,7 +63,7 @@ def _tampered(clean: DataFrame) -> DataFrame:
 def _folder_audit(spark: SparkSession, d: str) -> AU.FolderAudit:
     ensure_checkpoint_dir(spark)
     root = raw_folder(spark, d)
-    clean, _ = I.clean_folder(spark, root)
+    clean, _ = I.clean_folder(spark, root, materialize=True)  # read twice
     return AU.audit_folder(spark, root, _tampered(clean))
 
 
@@ -223,5 +223,6 @@ def extract_wide(spark, d):
     root = K.scratch_path(spark, "extract-wide")
     done = EX.extract_elections(national(spark, d), root, REGION, ELECTIONS, "Municipales",
                                 CANDIDATES)
-    back = spark.read.parquet(*done.files)
-    return back.select(F.col("_metadata.file_name").alias("source_file"), *back.columns)
+    back = I.read_with_provenance(spark, done.files)
+    rest = [f"`{c}`" for c in back.columns if c not in I.PROVENANCE]
+    return back.select("source_file", *rest)

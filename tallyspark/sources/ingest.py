@@ -20,25 +20,29 @@ from ..functions import expr as X
 from ..functions import fixed
 from ..operators import reshape as R
 from ..operators import totals as TT
+from . import sinks as K
 
 
 # ------------------------------------------------------------ discovery
 def list_sources(spark: SparkSession, root: str, pattern: str = "*.parquet",
                  recursive: bool = True) -> list[str]:
     """Source files under ``root`` (sorted), through the Hadoop file system so
-    the same code lists local, HDFS or object-store folders."""
+    the same code lists local, HDFS or object-store folders.  A folder below ``root`` whose
+    own name fits the pattern is one source, whatever the number of its part files."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     path = jvm.org.apache.hadoop.fs.Path(root)
     fs = path.getFileSystem(conf)
-    out = []
+    out = set()
+    top = fs.makeQualified(path).toString()
     it = fs.listFiles(path, recursive)
     glob = jvm.org.apache.hadoop.fs.GlobPattern(pattern)
     while it.hasNext():
-        st = it.next()
-        p = st.getPath()
+        p = it.next().getPath()
         if glob.matches(p.getName()):
-            out.append(p.toString())
+            folder = p.getParent()
+            parted = folder.toString() != top and glob.matches(folder.getName())
+            out.add((folder if parted else p).toString())
     return sorted(out)
 
 
@@ -85,9 +89,14 @@ def read_with_provenance(spark: SparkSession, path: str | Sequence[str],
     Parquet row index: stable across retries).  ``path`` may list several
     files of one schema; they are read with one scan.  ``path_column`` adds
     the whole path, which tells files of the same name apart.  Columns of the
-    file that have one of these names give way."""
+    file that have one of these names give way.
+
+    A folder called like a Parquet file is one source: its rows are numbered through its
+    part files, taken by name."""
     paths = [path] if isinstance(path, str) else list(path)
     df = spark.read.parquet(*paths)
+    if folders := _part_folders(spark, paths):
+        return _read_parted(spark, df, folders, path_column)
     taken = {*PROVENANCE, path_column}
     own = [F.col(f"`{c}`") for c in df.columns if normalize_name(c) not in taken]
     whole = [F.col("_metadata.file_path").alias(path_column)] if path_column else []
@@ -98,6 +107,48 @@ def read_with_provenance(spark: SparkSession, path: str | Sequence[str],
         F.col("_metadata.row_index").alias("raw_row_id"))
 
 
+def _part_folders(spark: SparkSession, paths: Sequence[str]) -> set[str]:
+    """Those of ``paths`` that are folders of part files, qualified."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    out = set()
+    for p in paths:
+        if not p.rstrip("/").endswith(".parquet"):
+            continue
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+        fs = path.getFileSystem(conf)
+        if fs.exists(path) and fs.getFileStatus(path).isDirectory():
+            out.add(fs.makeQualified(path).toString())
+    return out
+
+
+def _read_parted(spark: SparkSession, df: DataFrame, folders: set[str],
+                 path_column: str | None) -> DataFrame:
+    """``read_with_provenance`` where some sources are folders: every part file's rows are
+    numbered from the row count of the parts before it (read from the footers)."""
+    jvm = spark.sparkContext._jvm
+    part = F.col("_metadata.file_path")
+    sizes = df.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()
+    rows, done = [], {}
+    for r in sorted(sizes):
+        at = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(r["part"]))
+        inside = at.getParent().toString() in folders
+        source = r["part"].rsplit("/", 1)[0] if inside else r["part"]
+        rows.append((r["part"], source, (at.getParent() if inside else at).getName(),
+                     done.get(source, 0)))
+        done[source] = done.get(source, 0) + r["n"]
+    # One row per part file, known here, so it is broadcast.
+    parts = F.broadcast(spark.createDataFrame(
+        rows, "__part string, __source string, __name string, __before long"))
+    taken = {*PROVENANCE, path_column}
+    own = [f"`{c}`" for c in df.columns if normalize_name(c) not in taken]
+    whole = [F.col("__source").alias(path_column)] if path_column else []
+    return (df.select(*own, part.alias("__at"), F.col("_metadata.row_index").alias("__row"))
+            .join(parts, F.col("__at") == F.col("__part"))
+            .select(*own, *whole, F.col("__name").alias("source_file"),
+                    F.regexp_replace("__name", r"\.[^.]*$", "").alias("dataset_id"),
+                    (F.col("__before") + F.col("__row")).alias("raw_row_id")))
+
+
 # ------------------------------------------------------------ names
 def normalize_name(name: str) -> str:
     """Trimmed, lower-case column name."""
@@ -197,6 +248,13 @@ def drop_invalid_rows(df: DataFrame, predicate, group: Sequence[str]) -> tuple[D
     return df.where(predicate), counts
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Rows that several jobs read, written once as Parquet to the shared folder: each
+    reader takes the columns it needs."""
+    path = K.write_parquet(df, K.scratch_path(df.sparkSession, name))
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 # ------------------------------------------------------------ wide cleaner
 def prepare_wide(df: DataFrame, aliases=fixed.COLUMN_ALIASES,
                  corrections=fixed.CATEGORY_CORRECTIONS) -> DataFrame:
@@ -221,7 +279,7 @@ def clean_wide(df: DataFrame, group: Sequence[str] = ("dataset_id", "source_file
 
     Returns (long or None, report).  ``df`` holds the rows of one schema (one
     or several files with the same columns) with the ``group`` columns set.
-    ``materialize`` checkpoints the long rows (to ``spark.checkpoint.dir``)
+    ``materialize`` writes the long rows (below ``spark.checkpoint.dir``)
     before they are counted for the report, so they are computed once.
     """
     group = list(group)
@@ -259,7 +317,7 @@ def clean_wide(df: DataFrame, group: Sequence[str] = ("dataset_id", "source_file
     long = TT.vote_shares(long, "votes", total, registered)
     long = R.union_sources([long_types(long.where(F.col("candidate").isNotNull()))])
     if materialize:
-        long = long.checkpoint()
+        long = staged(long, "clean-wide")
     long_counts = long.groupBy(*group).agg(F.count(F.lit(1)).alias("rows_clean_long"))
     has = F.coalesce("candidate_columns", F.lit(0)) > 0
     report = (base.join(counts.drop("rows_raw"), group, "left")
@@ -281,13 +339,14 @@ def clean_long(df: DataFrame, group: Sequence[str] = ("dataset_id", "source_file
     """Already-long rows -> long table: station key parsed, invalid rows
     dropped, expressed total rebuilt as the station's vote sum, registered
     total as the rounded median of votes / registered share, shares with the
-    source value kept when finite.  ``materialize`` as in ``clean_wide``."""
+    source value kept when finite.  ``materialize`` as in ``clean_wide``; the parsed and
+    checked rows, which the counts and the totals' medians read again, are written too."""
     group = list(group)
     df = normalize_columns(df)
-    base = df.groupBy(*group).agg(F.count(F.lit(1)).alias("rows_raw"))
     cols_raw = len([c for c in df.columns if c not in group and c != "raw_row_id"])
     missing = missing_columns(df, required)
     if missing:
+        base = df.groupBy(*group).agg(F.count(F.lit(1)).alias("rows_raw"))
         return None, (base.withColumn("columns_raw", F.lit(cols_raw))
                       .withColumn("status", F.lit("skipped"))
                       .withColumn("reason",
@@ -296,7 +355,11 @@ def clean_long(df: DataFrame, group: Sequence[str] = ("dataset_id", "source_file
     df = df.withColumns({"source_bv_id": key["key"], "id_bvote": key["key"],
                          "num_arrond": key["area"], "num_bureau": key["unit"],
                          "candidate_source_column": F.col("candidate")})
-    kept, counts = drop_invalid_rows(df, valid_long_rows(df), group)
+    df = df.withColumn("__valid", valid_long_rows(df))
+    if materialize:
+        df = staged(df, "checked-long")
+    kept, counts = drop_invalid_rows(df, F.col("__valid"), group)
+    kept = kept.drop("__valid")
     numeric = {c: R.is_numeric_type(df.schema[c].dataType) for c in
                ("votes", "vote_share_exprimes", "vote_share_registered") if c in df.columns}
     kept = kept.withColumns({c: X.to_number(c, n) for c, n in numeric.items()})
@@ -315,11 +378,10 @@ def clean_long(df: DataFrame, group: Sequence[str] = ("dataset_id", "source_file
                         if share in out.columns else computed)
     out = R.union_sources([long_types(out.withColumns(added))])
     if materialize:
-        out = out.checkpoint()
+        out = staged(out, "clean-long")
     long_counts = out.groupBy(*group).agg(F.count(F.lit(1)).alias("rows_clean_long"))
     has = F.coalesce("rows_clean_long", F.lit(0)) > 0
-    report = (base.join(counts.drop("rows_raw"), group, "left")
-              .join(long_counts, group, "left")
+    report = (counts.join(long_counts, group, "left")
               .withColumns({
                   "columns_raw": F.lit(cols_raw),
                   "rows_clean_long": F.coalesce("rows_clean_long", F.lit(0)),

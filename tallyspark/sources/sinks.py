@@ -66,20 +66,22 @@ def export_by_key(df: DataFrame, key: str, path: str, fmt: str = "csv",
 
 
 def write_named_files(df: DataFrame, name: str, order: Sequence[str], root: str) -> list[str]:
-    """One Parquet file per value of the text column ``name``, called by that value, its
-    rows in the given order.  One job writes all of them (a file is one task's work);
-    the files then get their names by renames, which move no data."""
+    """One Parquet source per value of the text column ``name``, called by that value: a
+    folder of part files that hold its rows in the given order, part after part by name.
+    One job writes all of them; rows are dealt out by ranges of (name, order), so a part
+    is one task's work and a large source is many tasks'.  The folders then get their names
+    by renames, which move no data.  Rows without a name are left out."""
     spark = df.sparkSession
     staged = f"{root.rstrip('/')}/_named_{uuid.uuid4().hex}"
-    (df.withColumn("__file", F.col(name)).drop(name)
-     .repartition("__file").sortWithinPartitions("__file", *order)
+    (df.withColumn("__file", F.col(name)).drop(name).where(F.col("__file").isNotNull())
+     .repartitionByRange("__file", *order).sortWithinPartitions("__file", *order)
      .write.partitionBy("__file").parquet(staged))
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(staged)
     fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     out = []
-    for status in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{staged}/__file=*/part-*")):
-        folder = status.getPath().getParent().getName()
+    for status in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{staged}/__file=*")):
+        folder = status.getPath().getName()
         target = f"{root.rstrip('/')}/{unquote(folder.split('=', 1)[1])}"
         if not fs.rename(status.getPath(), jvm.org.apache.hadoop.fs.Path(target)):
             raise OSError(f"cannot name {target}")

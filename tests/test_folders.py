@@ -169,3 +169,22 @@ def test_named_files(spark, tmp_path):
     files = K.write_named_files(df.withColumn("__x", F.lit(1)), "file", ["i"], str(tmp_path))
     assert [f.rsplit("/", 1)[-1] for f in files] == [f"f {k}=%.parquet" for k in range(3)]
     assert [r.i for r in spark.read.parquet(files[1]).collect()] == list(range(1, 31, 3))
+
+
+def test_named_sources_in_parts(spark, tmp_path):
+    """A large source is many tasks' work; its rows are numbered through its parts."""
+    rows = [(f"{k}.parquet", i, None if i % 7 else f"{i}") for i in range(400) for k in "ab"] + [(None, 1, "x")]
+    df = spark.createDataFrame(rows[::-1], "file string, i long, v string").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        files = K.write_named_files(df, "file", ["i"], str(tmp_path / "out"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list((tmp_path / "out" / "a.parquet").glob("part-*"))) > 1
+    assert I.list_sources(spark, str(tmp_path / "out")) == [f"file:{f}" for f in files]
+    spark.createDataFrame([(9, "y")], "i long, v string").toPandas().to_parquet(tmp_path / "out" / "c.parquet")
+    got = I.read_with_provenance(spark, I.list_sources(spark, str(tmp_path / "out")), "source_path").collect()
+    assert sorted((r.dataset_id, r.raw_row_id, r.i) for r in got) == [
+        *(("a", i, i) for i in range(400)), *(("b", i, i) for i in range(400)), ("c", 0, 9)]
+    assert {(r.source_file, r.source_path.rsplit("/", 1)[-1]) for r in got} == {
+        (f"{k}.parquet", f"{k}.parquet") for k in "abc"}

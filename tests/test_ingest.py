@@ -268,3 +268,22 @@ def test_export_tables_skips_absent(spark):
     assert set(done) == {"long"}
     back = spark.read.option("header", True).csv(done["long"])
     assert [tuple(r) for r in back.collect()] == [("1", "x")]
+
+
+def test_materialized_long_rows_are_parsed_once(spark, monkeypatch):
+    """The counts and the medians of the totals read the parsed rows, not the source."""
+    seen = []
+    whole = I.TT.rebuild_station_totals
+    monkeypatch.setattr(I.TT, "rebuild_station_totals",
+                        lambda df, keys: seen.append(df) or whole(df, keys))
+    rows = [("d", "d.parquet", i, "s", "2001", "1", f"75056_000{i % 3}" if i % 4 else " nan ", "A", str(i), 0.5)
+            for i in range(12)]
+    df = spark.createDataFrame(rows, "dataset_id string, source_file string, raw_row_id long, scrutin string, annee string, "
+                                     "tour string, source_bv_id string, candidate string, votes string, vote_share_registered double")
+    got = [I.clean_long(df, materialize=m) for m in (False, True)]
+    (a, ra), (b, rb) = got
+    assert a.columns == b.columns and sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    assert list(map(str, ra.select(*rb.columns).collect())) == list(map(str, rb.collect()))
+    assert ra.first().rows_raw == 12 and ra.first().rows_dropped_missing_keys == 3
+    plans = [d._jdf.queryExecution().optimizedPlan().toString() for d in seen]
+    assert "regexp_extract" in plans[0] and "regexp_extract" not in plans[1]
