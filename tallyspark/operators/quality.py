@@ -276,8 +276,9 @@ def row_count_check(report: DataFrame, long: DataFrame, strict: bool = False,
     """
     counts_exact = (long.groupBy(F.col(source_col).cast("string").alias("__f"))
                     .agg(F.count(F.lit(1)).alias("__exact")))
-    counts_base = (long.groupBy(X.file_key(source_col).alias("__b"))
-                   .agg(F.count(F.lit(1)).alias("__base")))
+    # Base names are taken once per source text, not once per row.
+    counts_base = (counts_exact.groupBy(X.file_key("__f").alias("__b"))
+                   .agg(F.sum("__exact").alias("__base")))
     ok = report.where(F.col("status") == "ok")
     present = [c for c in class_columns if c in ok.columns]
     ok = (ok
