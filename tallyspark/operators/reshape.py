@@ -145,14 +145,13 @@ def pivot_sum(df: DataFrame, index: Sequence[str], pivot_column: str, value_colu
     """Group by the index (null keys form their own group), sum per pivot
     value, one column per value; absent combinations -> ``fill``.
 
-    Pre-aggregating to (index, pivot value) first means the pivot itself
-    works on at most one row per cell, whatever the skew of the input.
+    The pivot sums to (index, pivot value) first, with a map-side combine, so its
+    second step works on at most one row per cell, whatever the skew of the input.
     """
     if values is None:
         values = distinct_values(df, pivot_column)
-    cells = (df.groupBy(*index, pivot_column)
-             .agg(F.coalesce(F.sum(F.col(value_column)), F.lit(0.0)).alias("__v")))
-    wide = cells.groupBy(*index).pivot(pivot_column, list(values)).agg(F.first("__v"))
+    wide = (df.groupBy(*index).pivot(pivot_column, list(values))
+            .agg(F.coalesce(F.sum(F.col(value_column)), F.lit(0.0))))
     if fill is None:
         return wide
     # Fill by position: names from data may differ only by case ("Dupont",

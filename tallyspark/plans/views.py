@@ -82,18 +82,20 @@ def ballots_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -------------------------------------------------------------- purchases
 def purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = (table(spark, sf_dir, "lineitem")
-             .groupBy(F.year("l_shipdate").alias("y"), "l_suppkey", "l_partkey")
-             .agg(F.sum("l_quantity").alias("q")))
+    # Summed once, at the view's own grain: almost every line item has a (year, supplier,
+    # part) of its own, so sums at that grain would hold all rows and combine few.
+    lines = table(spark, sf_dir, "lineitem").select(
+        F.year("l_shipdate").alias("y"), "l_suppkey", "l_partkey", "l_quantity")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
     supp = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     joined = (lines.join(part, lines.l_partkey == part.p_partkey)
               .join(supp, lines.l_suppkey == supp.s_suppkey))
-    return (joined.groupBy(F.col("y").cast("string").alias("dataset_id"),
-                           F.col("l_suppkey").cast("string").alias("id_bvote"),
-                           F.col("s_nationkey").cast("string").alias("num_arrond"),
-                           F.col("p_brand").alias("candidate"))
-            .agg(F.sum("q").alias("votes")))
+    sums = joined.groupBy("y", "l_suppkey", "s_nationkey", "p_brand").agg(
+        F.sum("l_quantity").alias("votes"))
+    return sums.select(F.col("y").cast("string").alias("dataset_id"),
+                       F.col("l_suppkey").cast("string").alias("id_bvote"),
+                       F.col("s_nationkey").cast("string").alias("num_arrond"),
+                       F.col("p_brand").alias("candidate"), "votes")
 
 
 def purchases_long(spark: SparkSession, sf_dir: str) -> DataFrame:
