@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -21,15 +23,18 @@ CCA_PAIRS = (("F", "O"), ("O", "P"))
 def ballot_features(spark, d, materialize: bool = True) -> ST.Features:
     """Station × candidate share vectors of the ballots view.
 
-    The vectors feed several jobs (sums, then scores); they are checkpointed
-    to the session's shared checkpoint folder so each later job starts from
-    them instead of re-running the scan, joins and pivots.
+    The long rows and the vectors feed several jobs (means, sums, then scores);
+    they are checkpointed to the session's shared checkpoint folder so each
+    later job starts from them instead of re-running the scan, joins and pivots.
     """
     long = V.ballots_long(spark, d).select("dataset_id", *STATIONS, "candidate", VALUE)
     if materialize:
         ensure_checkpoint_dir(spark)
         long = long.checkpoint()
-    return ST.feature_vectors(long, "dataset_id", STATIONS, "candidate", VALUE)
+    feats = ST.feature_vectors(long, "dataset_id", STATIONS, "candidate", VALUE)
+    if materialize:
+        feats = replace(feats, vectors=feats.vectors.checkpoint())
+    return feats
 
 
 def vector_features(spark, d) -> ST.Features:

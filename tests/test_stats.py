@@ -178,3 +178,19 @@ def test_pca_single_slice_and_unknown(spark):
     assert set(ST.fit_pca(feats, 2, datasets=["B"])) == {"B"}
     with pytest.raises(ValueError, match="Unknown dataset_id"):
         ST.fit_pca(feats, 2, datasets=["Z"])
+
+
+def test_ballot_vectors_are_built_once(spark):
+    """The jobs of a fit start from the vectors, not from the joins that make them."""
+    from tallyspark.plans import statistics as P
+    vectors = P.ballot_features(spark, "/root/testdata/sf0.001").vectors
+    plan = vectors._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+
+
+def test_cca_over_repeated_and_absent_keys(spark):
+    from tallyspark.operators import stats as ST
+    left = spark.createDataFrame([("1", [1.0, 2.0]), ("1", [2.0, 5.0]), ("2", [0.0, 1.0]), (None, [9.0, 9.0])],
+                                 "k string, x array<double>")
+    right = spark.createDataFrame([("1", [3.0]), ("2", [1.0]), ("2", [4.0]), ("3", [7.0])], "k string, x array<double>")
+    assert ST.cca_sums(left, right, "k")["n"] == 4
