@@ -203,13 +203,11 @@ def contains_any(c: ColumnLike, markers: Sequence[str] = fixed.LONG_FAMILY_MARKE
 
 def class_flag(columns: Sequence[ColumnLike],
                markers: Sequence[str] = fixed.LONG_FAMILY_MARKERS) -> Column:
-    """True when any of the given text columns contains one of the markers.
-
-    The texts are lower-cased and searched as one, with line feeds between (no marker has
-    one); nulls are left out."""
-    if not columns:
-        return F.lit(False)
-    return contains_any(F.concat_ws("\n", *[strip_text(c) for c in columns]), markers)
+    """True when any of the given text columns contains one of the markers."""
+    out = F.lit(False)
+    for c in columns:
+        out = out | contains_any(c, markers)
+    return out
 
 
 def suspicious_name(c: ColumnLike,
