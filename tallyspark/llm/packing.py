@@ -24,11 +24,14 @@ table gives no pieces; other columns are ignored.  Every id lies in one piece.
 from __future__ import annotations
 
 import os
+import string
+import unicodedata
 from collections.abc import Iterator, Mapping
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,10 +45,20 @@ PACKET = 1024
 LEAST = 32
 #: Words in a generation of the tokenizing memo.
 MEMO = 500_000
+#: Words that the library encodes in one call.
+TOGETHER = 10_000
+#: Bytes of texts or ids that a task works on at once, if they are several rows'.
+SLICE = 1 << 23
 #: Rounds that one task orders, and groups of rounds under one carried offset.
 ROUNDS, GROUPS = 64, 4096
 
 
+@lru_cache(maxsize=10_000)
+def _stays_letter(letter: str) -> bool:
+    """Whether no combining mark, which would join the marks that follow, comes of it."""
+    return unicodedata.normalize("NFC", letter.lower())[-1].isalpha()
+
+
 @lru_cache(maxsize=2)
 def _encoder(path: str) -> tuple[WordChunks, np.dtype]:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -58,26 +71,56 @@ def _encoder(path: str) -> tuple[WordChunks, np.dtype]:
         return [np.array(e.ids, kind).tobytes()
                 for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode_words(words: list[str]) -> list[bytes]:
-        found = grouped(tokenizer, " ".join(words), ending, len(words), False)
-        if found is None:
-            return encode(words)
-        ids, ends = found
-        data, cuts = ids.astype(kind).tobytes(), (ends * kind.itemsize).tolist()
-        return [data[a:b] for a, b in zip([0, *cuts], cuts)]
-
-    return WordChunks(encode, encode_words, MEMO), kind
+    def encode_letters(words: list[str]) -> list[bytes]:
+        values = []
+        for at in range(0, len(words), TOGETHER):
+            some = words[at:at + TOGETHER]
+            found = grouped(tokenizer, " ".join(some), ending, len(some), False)
+            if found is None:
+                values += encode(some)
+                continue
+            ids, ends = found
+            data, cuts = ids.astype(kind).tobytes(), (ends * kind.itemsize).tolist()
+            values += [data[a:b] for a, b in zip([0, *cuts], cuts)]
+        return values
+
+    def encode_chunks(chunks: list[str]) -> list[bytes]:
+        """Letters and the marks that close them are matched apart: each part is encoded once."""
+        stems = [c.rstrip(string.punctuation) for c in chunks]
+        parts = [(s, c[len(s):]) if s.isalpha() and (s == c or _stays_letter(s[-1])) else ("", c)
+                 for c, s in zip(chunks, stems)]
+        letters = list({s: None for s, _ in parts if s})
+        others = list({t: None for _, t in parts if t})
+        known = {"": b""}
+        known.update(zip(letters, encode_letters(letters)))
+        known.update(zip(others, encode(others)))
+        return [known[s] + known[t] for s, t in parts]
+
+    return WordChunks(encode_chunks, MEMO), kind
+
+
+def _slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows with at most ``SLICE`` bytes in the column, or of one row."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0)
+    ends = np.cumsum(sizes.to_numpy(), dtype=np.int64)
+    at = 0
+    while at < len(ends):
+        limit = SLICE + (ends[at - 1] if at else 0)
+        to = max(at + 1, int(np.searchsorted(ends, limit, "right")))
+        yield batch.slice(at, to - at)
+        at = to
 
 
 def _tokenize(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks, kind = _encoder(path)
-        end = np.array([end_id], kind).tobytes()
+        end = pa.scalar(np.array([end_id], kind).tobytes(), pa.binary())
+        nothing = pa.scalar(b"", pa.binary())
         row = TaskContext.get().partitionId() << 33
         queued: dict[str, int] = {}
-        for batch in batches:
-            ids = [b"".join([*chunks.pieces(t.as_py() or ""), end]) for t in batch.column("text")]
-            sizes = [len(x) // kind.itemsize for x in ids]
+        for batch in (part for whole in batches for part in _slices(whole, "text")):
+            ids = pc.binary_join_element_wise(chunks.values(batch.column("text")), end, nothing)
+            sizes = (pc.binary_length(ids).to_numpy() // kind.itemsize).tolist()
             before = []
             for queue, n in zip(batch.column("queue").to_pylist(), sizes):
                 before.append(queued.get(queue, 0))
@@ -86,22 +129,23 @@ def _tokenize(path: str, end_id: int):
             row += len(ids)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(rows, pa.int64()), batch.column("key"), batch.column("queue"),
-                 pa.array(sizes, pa.int64()), pa.array(before, pa.int64()),
-                 pa.array(ids, pa.binary())],
+                 pa.array(sizes, pa.int64()), pa.array(before, pa.int64()), ids],
                 ["row", "key", "queue", "n", "before", "ids"])
     return run
 
 
-def _widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Ids of pieces as 32-bit integers, whatever width they were stored in."""
-    _encoder.cache_clear()  # the worker may go on with other work: texts are tokenized
-    for batch in batches:
-        wide = []
-        for ids, length in zip(batch.column("ids").to_pylist(), batch.column("length").to_pylist()):
-            kind = f"<u{len(ids) // length}" if length else "<u4"
-            wide.append(np.frombuffer(ids, kind).astype("<u4").tobytes())
-        at = batch.schema.get_field_index("ids")
-        yield batch.set_column(at, "ids", pa.array(wide, pa.binary()))
+def _widen(width: int):
+    """Ids of pieces, stored in ``width`` bytes each, as 32-bit integers."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _encoder.cache_clear()  # the worker may go on with other work: texts are tokenized
+        for batch in (part for whole in batches for part in _slices(whole, "ids")):
+            at = batch.schema.get_field_index("ids")
+            ids = batch.column(at).cast(pa.binary())
+            ends = np.cumsum(pc.binary_length(ids).to_numpy(), dtype=np.int64) * (4 // width)
+            wide = np.frombuffer(b"".join(ids.to_pylist()), f"<u{width}").astype("<u4")
+            yield batch.set_column(at, "ids", pa.Array.from_buffers(pa.binary(), len(ids), [
+                None, pa.py_buffer(np.append(0, ends).astype(np.int32)), pa.py_buffer(wide)]))
+    return run
 
 
 def _prefix(rows: DataFrame, group: str, amount: Column) -> DataFrame:
@@ -186,4 +230,4 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = 4096,
              .select(F.col("key").alias(key), "start", "length", "doc_tokens", "sequence_id",
                      "offset", F.expr(f"substring(ids, int(start * {width} + 1), "
                                       f"int(length * {width}))").alias("ids")))
-    return named.mapInArrow(_widen, named.schema)
+    return named.mapInArrow(_widen(width), named.schema)

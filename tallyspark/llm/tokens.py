@@ -21,15 +21,15 @@ import re
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _RUNS = re.compile(r"\s\s|\A\s|\s\Z|[^\S \n]")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _MARKS = frozenset(".,;:!?")
-#: Characters that str.split takes as white space but the patterns do not.
-_SEPARATORS = re.compile("[\x1c-\x1f]")
-_ASCII_SPACE = re.compile("[\x20\x09-\x0d]+")
-#: Beyond these letters, lower case may depend on context or change length.
-_NOT_SIMPLE = re.compile("[^\x00-įĲ-ſ]|<\\|")
+#: Before a combining mark, a capital composes to other letters than a small one; a special
+#: token in capitals is none.
+_CASE_COUNTS = "<\\||[\\x{300}-\\x{36f}]"
 
 #: Chunks in a generation of the memo, of which a Python worker keeps two.
 MEMO_LIMIT = 250_000
@@ -107,20 +107,42 @@ class SpaceChunks:
 
 
 class WordChunks:
-    """Values of whole texts under a pattern that drops white space and case."""
+    """Values (byte strings) of whole texts, a column at a time, under a pattern that drops
+    white space and case: Arrow cuts the texts, and each different chunk is looked up once."""
 
-    def __init__(self, encode: Encode, encode_words: Encode | None = None,
-                 limit: int = MEMO_LIMIT):
-        self.memo = ChunkMemo(encode, lambda c: c, encode_words, limit)
+    def __init__(self, encode: Encode, limit: int = MEMO_LIMIT):
+        self.encode, self.limit = encode, limit
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-    def pieces(self, text: str) -> list:
-        if _NOT_SIMPLE.search(text) is None:
-            text = text.lower()
-        if _SEPARATORS.search(text) is None:
-            words = text.split()
-        else:
-            words = [w for w in _ASCII_SPACE.split(text) if w]
-        return self.memo.values(words)
+    def look_up(self, chunks: list[str]) -> list[bytes]:
+        """The value of each of different chunks, encoding unknown ones together."""
+        if len(self.known) > self.limit:  # chunks still in use come back from the older half
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
+        found = list(map(known.get, chunks))
+        new = []
+        for i in [i for i, value in enumerate(found) if value is None]:
+            if (value := older.get(chunks[i])) is None:
+                new.append(i)
+            else:
+                found[i] = known[chunks[i]] = value
+        for i, value in zip(new, self.encode([chunks[i] for i in new]) if new else []):
+            found[i] = known[chunks[i]] = value
+        return found
+
+    def values(self, texts: pa.Array) -> pa.Array:
+        """The joined values of each text's chunks; a null text is empty."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        kept = pc.match_substring_regex(texts, _CASE_COUNTS)
+        chunks = pc.ascii_split_whitespace(pc.if_else(kept, texts, pc.ascii_lower(texts)))
+        ends = np.cumsum(pc.list_value_length(chunks).to_numpy())
+        found = chunks.flatten().dictionary_encode()
+        known = self.look_up(found.dictionary.to_numpy(zero_copy_only=False).tolist())
+        out = pa.array(known, pa.binary()).take(found.indices)
+        _, offsets, data = out.buffers()
+        bounds = np.frombuffer(offsets, np.int32)[np.append(0, ends)]
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(bounds), data])
 
 
 def grouped(tokenizer, text: str, edge: np.ndarray, groups: int,

@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
@@ -12,6 +13,7 @@ from helpers import docs_frame, prose
 from tokenizers import Tokenizer
 
 from tallyspark.llm import byte_bpe, packing, staging, token_counts
+from tallyspark.llm.tokens import WordChunks
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 COUNTS = public_tokenizers.path("byte_bpe_50k.json")
@@ -151,3 +153,46 @@ def test_every_window_holds_small_shares(spark):
         held.setdefault(r.sequence_id, set()).add(r.row // 100)
     fewest = min(len(held[w]) for w in range(2, max(held) - 2))
     assert fewest >= 15
+
+
+def test_different_chunks_are_looked_up_once():
+    asked = []
+
+    def encode(chunks):
+        asked.extend(chunks)
+        return [c and c.encode() + b"|" or b"" for c in chunks]
+
+    words = WordChunks(encode, limit=2)
+    column = pa.array(["skipped", "b a  a", None, "", " a b\tC ", "a\x1cb"]).slice(1)
+    assert words.values(column).to_pylist() == [b"b|a|a|", b"", b"", b"a|b|c|", b"a\x1cb|"]
+    assert len(asked) == len(set(asked))
+    seen = len(asked)
+    assert words.values(pa.array(["d c", "a d"])).to_pylist() == [b"d|c|", b"a|d|"]
+    assert asked[seen:] == ["d"]  # the others came back from the older half
+    assert words.values(pa.array([], pa.string())).to_pylist() == []
+
+
+def test_packed_ids_are_the_librarys():
+    """Letters that leave a combining mark when lowered or composed; closing marks in a row."""
+    tokenizer = Tokenizer.from_file(WORDS)
+    chunks, kind = packing._encoder(WORDS)
+    odd = ["\u0130, \u0130.", "\ufb2a, a", "\u0958! b", "H\u0331 T\u0308 Y\u030a J\u030c", "\u01c5.",
+           "<|ENDOFTEXT|>", "word!!) word!!) WORD'. don't'", "\u00e9t\u00e9?! \u00c9T\u00c9", "x<|endoftext|>."]
+    random.seed(7)
+    drawn = ["".join(random.choices("aHT\u0130\u00e9\u0331\u0308\ufb2a.,!' \n<|", k=12)) for _ in range(2000)]
+    rows = [*texts(), *odd, *drawn, None]
+    got = chunks.values(pa.array(rows, pa.string())).to_pylist()
+    for text, ids in zip(rows, got):
+        want = tokenizer.encode(text or "", add_special_tokens=False).ids
+        assert np.frombuffer(ids, kind).tolist() == want, text
+
+
+def test_slices_hold_all_rows_within_their_bytes(monkeypatch):
+    monkeypatch.setattr(packing, "SLICE", 10)
+    rows = ["x" * 25, None, "", "abcd", "efgh", "ijkl", "m" * 10, "n"]
+    batch = pa.RecordBatch.from_pydict({"text": rows})
+    parts = [p.column("text").to_pylist() for p in packing._slices(batch, "text")]
+    assert [x for p in parts for x in p] == rows
+    assert all(len(p) == 1 or sum(len(x or "") for x in p) <= 10 for p in parts)
+    assert len(parts) == 5
+    assert not list(packing._slices(batch.slice(0, 0), "text"))
