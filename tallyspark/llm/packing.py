@@ -71,6 +71,11 @@ def _encoder(path: str) -> tuple[WordChunks, np.dtype]:
         return [np.array(e.ids, kind).tobytes()
                 for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    ids_of = [np.array([i], kind).tobytes() for i in range(tokenizer.get_vocab_size())]
+    model = tokenizer.model
+    # An added token of letters would be found inside words, which the model does not do.
+    whole = not any(t.content.isalpha() for t in tokenizer.get_added_tokens_decoder().values())
+
     def encode_letters(words: list[str]) -> list[bytes]:
         values = []
         for at in range(0, len(words), TOGETHER):
@@ -85,13 +90,17 @@ def _encoder(path: str) -> tuple[WordChunks, np.dtype]:
         return values
 
     def encode_chunks(chunks: list[str]) -> list[bytes]:
-        """Letters and the marks that close them are matched apart: each part is encoded once."""
+        """Letters and the marks that close them are matched apart: each part is encoded once.
+        Small ASCII letters are one match as they stand, which the library's model takes at once."""
         stems = [c.rstrip(string.punctuation) for c in chunks]
         parts = [(s, c[len(s):]) if s.isalpha() and (s == c or _stays_letter(s[-1])) else ("", c)
                  for c, s in zip(chunks, stems)]
-        letters = list({s: None for s, _ in parts if s})
+        stems = {s: None for s, _ in parts if s}
+        letters = [s for s in stems if not (whole and s.isascii() and s.islower())]
         others = list({t: None for _, t in parts if t})
-        known = {"": b""}
+        known = {"": b""} | dict.fromkeys(letters)
+        known.update((s, b"".join([ids_of[t.id] for t in model.tokenize(s)]))
+                     for s in stems if s not in known)
         known.update(zip(letters, encode_letters(letters)))
         known.update(zip(others, encode(others)))
         return [known[s] + known[t] for s, t in parts]
