@@ -35,6 +35,8 @@ from .staging import stage
 from .words import mix, slices
 
 MIN_WORDS = 50
+#: Bytes of text measured at once, if they are several texts'; the arrays take some 60 times that.
+SLICE = 1 << 18
 #: Rows of its own that weigh as much as the level above.
 PRIOR_ROWS = 50
 #: KLL size: rank error about 0.7 %.
@@ -70,7 +72,7 @@ def _seen_before(text: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.n
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counts = np.zeros((len(_COUNTS), len(batch)), np.int64)
-        for row, texts in slices(batch.column("text")):
+        for row, texts in slices(batch.column("text"), size=SLICE):
             part = counts[:, row:row + texts.count]
             part[0] = np.bincount(texts.word_text, minlength=texts.count)
             part[1] = texts.per_text(texts.is_word & ((texts.data & 0xC0) != 0x80))

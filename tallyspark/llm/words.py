@@ -124,11 +124,11 @@ class Texts:
         return hashes, text[where], where
 
 
-def slices(column: pa.Array, fold: bool = False,
-           gaps: np.ndarray = _SPACE) -> Iterator[tuple[int, Texts]]:
+def slices(column: pa.Array, fold: bool = False, gaps: np.ndarray = _SPACE,
+           size: int = SLICE_BYTES) -> Iterator[tuple[int, Texts]]:
     """(first row, Texts) over a string column; null is empty.
 
-    ``gaps`` flags the bytes between words.
+    ``gaps`` flags the bytes between words; ``size`` is the bytes of a slice.
     """
     column = pc.fill_null(column, "").cast(pa.large_string())
     offsets = np.frombuffer(column.buffers()[1], np.int64)[
@@ -139,7 +139,7 @@ def slices(column: pa.Array, fold: bool = False,
             else np.zeros(0, np.uint8))
     row = 0
     while row < len(column):
-        last = int(np.searchsorted(offsets, offsets[row] + SLICE_BYTES, side="right")) - 1
+        last = int(np.searchsorted(offsets, offsets[row] + size, side="right")) - 1
         last = min(max(last, row + 1), len(column))
         yield row, Texts(data[offsets[row]:offsets[last]], offsets[row:last + 1] - offsets[row],
                          fold, gaps)

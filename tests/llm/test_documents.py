@@ -51,6 +51,26 @@ def test_quality_counts(spark, docs):
     assert got == sorted(want)
 
 
+def test_quality_memory_of_a_batch():
+    """The arrays of a large batch stay small, and its counts are those of each text alone."""
+    import tracemalloc
+
+    import pyarrow as pa
+    texts = [H.prose(i, 400 + 9000 * (i % 50 == 0)) for i in range(1500)]
+    texts += ["", None, "a b c\n" * 60000, "# x\n# x"]
+    batch = pa.record_batch({"doc_id": list(range(len(texts))), "text": texts})
+    assert batch.nbytes > 4 << 20
+    words._powers.cache_clear()
+    tracemalloc.start()
+    got, = quality._measure(iter([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 96 << 20
+    for i in (0, 1, 49, 50, 777, 1499, *range(1500, 1504)):
+        alone, = quality._measure(iter([batch.slice(i, 1)]))
+        assert got.slice(i, 1).to_pylist() == alone.to_pylist()
+
+
 def test_quality_verdicts_follow_the_group(spark):
     rows = [(i, H.prose(i, 120), "en", "clean") for i in range(300)]
     rows += [(1000 + i, " ".join(w + "###" for w in H.prose(i, 80).split()), "en", "clean")
