@@ -13,6 +13,8 @@ their edit distance; no pair of near words can be missed.
 Counting reads the corpus once and sends one row per distinct word of a task's part;
 all later steps work on the distinct words.  A text is cut between runs, so long
 texts need no more memory than short ones (a single run is held whole).
+Tables of words, signatures and forms grow with the corpus, but their staged files are
+small and Spark sizes them by those: joins say "merge", so none is broadcast.
 
 Null or empty texts hold no words.  Without an id no run changes (the check value
 needs the id).  Rows that repeat an id count again.  A tie between equally frequent
@@ -142,7 +144,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
     signed = words.select("word", "n").mapInArrow(_signed, "signature long, word string, n long")
     a = signed.select("signature", F.col("word").alias("a"), F.col("n").alias("a_n"))
     b = signed.select("signature", F.col("word").alias("b"), F.col("n").alias("b_n"))
-    met = a.join(b, (a.signature == b.signature) & (F.col("a") < F.col("b"))
+    met = a.join(b.hint("merge"), (a.signature == b.signature) & (F.col("a") < F.col("b"))
                  & (F.levenshtein(F.col("a"), F.col("b"), 1) == 1))
     return met.select("a", "a_n", "b", "b_n").distinct()
 
@@ -153,7 +155,7 @@ def _roots(forms: DataFrame) -> DataFrame:
     current = stage(forms.select("word", F.col("form").alias("root")), "roots")
     while True:
         nexts = current.select(F.col("word").alias("root"), F.col("root").alias("further"))
-        moved = stage(current.join(nexts, "root", "left").select(
+        moved = stage(current.join(nexts.hint("merge"), "root", "left").select(
             "word", F.coalesce("further", "root").alias("root"),
             F.col("further").isNotNull().alias("moved")), "roots")
         unstage(current)
@@ -176,12 +178,12 @@ def spelling_variants(words: DataFrame, ratio: int = 2) -> DataFrame:
         F.count(F.lit(1)).alias("n_near"),
         F.min(F.struct((-F.col("near_n")).alias("less"), F.col("near"))).alias("best"))
     wide = -F.col("best.less") >= ratio * F.col("n")
-    formed = stage(words.join(best, "word", "left").select(
+    formed = stage(words.join(best.hint("merge"), "word", "left").select(
         "word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
         F.when(wide, F.col("best.near")).alias("form"),
         F.when(wide, -F.col("best.less")).alias("form_n")), "forms")
     roots = _roots(formed.where(F.col("form").isNotNull()))
-    out = stage(formed.join(roots.select("word", "root"), "word", "left")
+    out = stage(formed.join(roots.select("word", "root").hint("merge"), "word", "left")
                 .withColumn("root", F.coalesce("root", "word")), "variants")
     unstage(words, pairs, formed, roots)
     return out

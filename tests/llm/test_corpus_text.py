@@ -187,6 +187,21 @@ def test_variants_of_words(spark):
     assert got["chain"][:2] == ("chains", "chainsab")
 
 
+def test_variants_broadcast_no_table(spark, monkeypatch):
+    """The staged files are small, but what is joined grows with the corpus."""
+    plans, put = [], variants.stage
+
+    def seen(df, name, **options):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return put(df, name, **options)
+
+    monkeypatch.setattr(variants, "stage", seen)
+    words = spark.createDataFrame([("chain", 1), ("chains", 2), ("chainsa", 4)], "word string, n long")
+    assert as_rows(variants.spelling_variants(words))["chain"][1] == "chainsa"
+    assert sum("SortMergeJoin" in p for p in plans) >= 4  # pairs, forms, roots, result
+    assert not any("Broadcast" in p for p in plans)
+
+
 def test_counting_words(spark):
     docs = [(1, None), (2, ""), (3, "Ab ab-ABÉé xĀy ×÷ 中"), (3, "ab"),
             (None, "ab " * 7), (4, "long " * 400_000), (5, "z" * 3_000_000)]
