@@ -8,9 +8,10 @@ Cases are compared by checksum first.  Both sides are summed up per (file, bucke
 the case key): rows, sum of one hash and exclusive-or of another of (key, value), so
 the order of rows does not matter, the sums combine on the map side and no case is
 shuffled.  Only the cases of buckets that differ are joined, null-safely on the four
-keys.  A raw file numbers its rows, so its keys are unique; buckets with equal sums
-hold no repeated key unless two raw files share their name, and the buckets of such
-names are always joined.
+keys; where many rows are at fault that is nearly all of them, so they are shuffled once
+and only problem rows are written.  A raw file numbers its rows, so its keys are unique;
+buckets with equal sums hold no repeated key unless two raw files share their name, and
+the buckets of such names are always joined.
 """
 
 from __future__ import annotations
@@ -32,12 +33,14 @@ from .reconcile import CASE_KEYS, reconcile_outer
 #: Buckets of case keys in each file.
 BUCKETS = 1 << 12
 BUCKET_KEYS = ("dataset_id", "source_file", "__bucket")
+#: Most buckets that are broadcast, as one number each: some 10 MB.
+BROADCAST_BUCKETS = 1 << 18
 
 
 @dataclass(frozen=True)
 class FolderAudit:
-    """``cases``: joined keys of the buckets that differ; ``problems``: rows tagged
-    with their class; ``summary``: the nine checks; ``files``: rows per raw file."""
+    """``cases``: joined keys of the buckets that differ (joined when read); ``problems``:
+    rows tagged with their class; ``summary``: the nine checks; ``files``: rows per raw file."""
 
     cases: DataFrame
     problems: DataFrame
@@ -123,10 +126,16 @@ def checksums(cases: DataFrame, value: str, group: Sequence[str],
               keys: Sequence[str] = CASE_KEYS) -> DataFrame:
     """(group, rows, sum, parity) of the cases, whatever their order."""
     parts = [*keys, F.coalesce(F.col(value), F.lit(0.0)) + F.lit(0.0)]
-    return cases.groupBy(*group).agg(
+    # A 64-bit sum would overflow, a decimal one is slow: the halves are summed apart.
+    mixed, half = F.xxhash64(*parts), 1 << 32
+    sums = cases.groupBy(*group).agg(
         F.count(F.lit(1)).alias("rows"),
-        F.sum(F.xxhash64(*parts).cast("decimal(20,0)")).alias("sum"),
+        F.sum(F.shiftright(mixed, 32)).alias("high"),
+        F.sum(mixed.bitwiseAND(F.lit(half - 1))).alias("low"),
         F.bit_xor(F.xxhash64(F.lit("parity"), *parts)).alias("parity"))
+    whole = (F.col("high").cast("decimal(20,0)") * F.lit(half).cast("decimal(10,0)")
+             + F.col("low").cast("decimal(20,0)"))
+    return sums.select(*group, "rows", whole.cast("decimal(30,0)").alias("sum"), "parity")
 
 
 def _differing(expected: DataFrame, clean: DataFrame, shared_names: DataFrame) -> DataFrame:
@@ -144,6 +153,14 @@ def _differing(expected: DataFrame, clean: DataFrame, shared_names: DataFrame) -
     return joined.where(~same | F.col("__shared").isNotNull()).select(*BUCKET_KEYS)
 
 
+def _in_buckets(cases: DataFrame, suspects: DataFrame, few: bool) -> DataFrame:
+    """The cases of ``suspects``, told by one number a bucket: two buckets that share it
+    only bring more cases to the join."""
+    at = F.xxhash64(*BUCKET_KEYS)
+    held = suspects.select(at.alias("__at")).distinct()
+    return cases.join(F.broadcast(held) if few else held, at == F.col("__at"), "left_semi")
+
+
 def audit_folder(spark: SparkSession, root: str, clean: DataFrame, value: str = "votes",
                  buckets: int = BUCKETS) -> FolderAudit:
     """Audit ``clean`` (long table with the case keys and ``value``) against the raw
@@ -175,10 +192,12 @@ def audit_folder(spark: SparkSession, root: str, clean: DataFrame, value: str =
               .where(F.col("__shared") > 1))
     suspects = _differing(sums, clean_sums, shared).checkpoint()
 
-    pick = lambda df: join_on_keys(df, suspects, BUCKET_KEYS, how="left_semi")
-    cases = reconcile_outer(pick(expected), pick(actual), CASE_KEYS, "expected_votes", value)
-    cases = cases.checkpoint()
-    return FolderAudit(cases, problem_rows(cases), _summary(len(paths), sums, clean_sums, cases),
+    few = suspects.count() <= BROADCAST_BUCKETS
+    cases = reconcile_outer(_in_buckets(expected, suspects, few), _in_buckets(actual, suspects, few),
+                            CASE_KEYS, "expected_votes", value)
+    faults = I.staged(cases.where(F.col("problem_type").isNotNull() | (F.col("clean_rows") > 1)
+                                  | (F.col("expected_rows") > 1)), "faults")
+    return FolderAudit(cases, problem_rows(faults), _summary(len(paths), sums, clean_sums, faults),
                        files)
 
 

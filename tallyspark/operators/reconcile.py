@@ -17,16 +17,40 @@ from .quality import summary_rows
 CASE_KEYS = ("dataset_id", "source_file", "raw_row_id", "candidate_source_column")
 
 
+def _side(df: DataFrame, keys: Sequence[str], col: str, n: str, lo: str, hi: str, s: str
+          ) -> DataFrame:
+    v = F.coalesce(X.to_number(col, True), F.lit(0.0))
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(n), F.sum(v).alias(s),
+                                 F.min(v).alias(lo), F.max(v).alias(hi))
+
+
+def _per_key(expected: DataFrame, clean: DataFrame, keys: Sequence[str], expected_value: str,
+             value: str) -> DataFrame:
+    """One row per key of either side with the columns of both ``_side``; null if absent."""
+    def rows(df, col, left):
+        v = F.coalesce(X.to_number(col, True), F.lit(0.0))
+        return df.select(*keys, (v if left else F.lit(None).cast("double")).alias("__l"),
+                         (F.lit(None).cast("double") if left else v).alias("__r"))
+    both = rows(expected, expected_value, True).unionAll(rows(clean, value, False))
+    out = []
+    for c, n, s, lo, hi in (("__l", "expected_rows", expected_value, "__lmin", "__lmax"),
+                            ("__r", "clean_rows", value, "__rmin", "__rmax")):
+        out += [F.nullif(F.count(c), F.lit(0)).alias(n), F.sum(c).alias(s),
+                F.min(c).alias(lo), F.max(c).alias(hi)]
+    return both.groupBy(*keys).agg(*out)
+
+
 def reconcile_outer(expected: DataFrame, clean: DataFrame, keys: Sequence[str] = CASE_KEYS,
                     expected_value: str = "expected_votes", value: str = "votes",
                     tolerance: float = fixed.RECONCILE_TOLERANCE) -> DataFrame:
     """Full outer join of expected and clean cases on the case keys; null keys
     match each other.  One row per key.
 
-    Each side is first reduced to one row per key (rows, sum, min and max of
-    its values, missing as 0), so a key repeated a and b times costs a + b
-    input rows and one output row, never a·b pairs.  For a key present once
-    on each side (the normal case) the row is exactly the row-level match.
+    Both sides are reduced together to one row per key (rows, sum, min and max
+    of each side's values, missing as 0), which combines on the map side and
+    shuffles once; a key repeated a and b times costs a + b input rows and one
+    output row, never a·b pairs.  For a key present once on each side (the
+    normal case) the row is exactly the row-level match.
     ``abs_vote_diff`` is the largest difference between any left and any
     right value of the key (max(maxR - minL, maxL - minR)); ``vote_diff`` is
     the difference of the sums.  ``_merge`` is left_only / right_only / both;
@@ -34,13 +58,12 @@ def reconcile_outer(expected: DataFrame, clean: DataFrame, keys: Sequence[str] =
     vote_value_mismatch or null.  Repeated keys are reported by
     ``duplicate_keys``.
     """
-    def side(df, col, n, lo, hi, s):
-        v = F.coalesce(X.to_number(col, True), F.lit(0.0))
-        return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(n), F.sum(v).alias(s),
-                                     F.min(v).alias(lo), F.max(v).alias(hi))
-    left = side(expected, expected_value, "expected_rows", "__lmin", "__lmax", expected_value)
-    right = side(clean, value, "clean_rows", "__rmin", "__rmax", value)
-    joined = join_on_keys(left, right, keys, how="full_outer")
+    if [expected.schema[k].dataType for k in keys] == [clean.schema[k].dataType for k in keys]:
+        joined = _per_key(expected, clean, keys, expected_value, value)
+    else:  # a union would make texts of numbers
+        left = _side(expected, keys, expected_value, "expected_rows", "__lmin", "__lmax", expected_value)
+        right = _side(clean, keys, value, "clean_rows", "__rmin", "__rmax", value)
+        joined = join_on_keys(left, right, keys, how="full_outer")
     has_l, has_r = F.col("expected_rows").isNotNull(), F.col("clean_rows").isNotNull()
     spread = F.greatest(F.col("__rmax") - F.col("__lmin"), F.col("__lmax") - F.col("__rmin"))
     out = joined.withColumns({

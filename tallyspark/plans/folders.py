@@ -36,15 +36,17 @@ def raw_folder(spark: SparkSession, d: str) -> str:
     K.write_named_files(wide, "file", ["objectid"], root)
     lines = V.table(spark, d, "lineitem").select(
         F.concat(F.lit(V.LINES_FILE), "l_returnflag", F.lit(".parquet")).alias("file"),
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
-        F.concat(F.lpad((F.col("l_suppkey") % 100000).cast("string"), 5, "0"), F.lit("_"),
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    # Texts that follow from a row's numbers are made once it lies in its file's order.
+    texts = lambda rows: rows.select(
+        "__file", *lines.columns[1:], F.concat(F.lpad((F.col("l_suppkey") % 100000).cast("string"), 5, "0"), F.lit("_"),
                  F.lpad((F.col("l_suppkey") % 10000).cast("string"), 4, "0")).alias("source_bv_id"),
         F.lit("Lines").alias("scrutin"), F.lit("2001").alias("annee"), F.lit("1").alias("tour"),
         F.when(F.col("l_partkey") % 40 != 0, F.col("l_partkey").cast("string")).alias("candidate"),
         F.when(F.col("l_suppkey") % 50 == 7, F.lit("n/a"))
         .otherwise(F.col("l_quantity").cast("string")).alias("votes"))
     K.write_named_files(lines, "file", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
-                                        "l_quantity"], root)
+                                        "l_quantity"], root, texts)
     return root
 
 

@@ -136,16 +136,17 @@ def _read_parted(spark: SparkSession, df: DataFrame, folders: set[str],
         rows.append((r["part"], source, (at.getParent() if inside else at).getName(),
                      done.get(source, 0)))
         done[source] = done.get(source, 0) + r["n"]
-    # One row per part file, known here, so it is broadcast.
+    # One row per part file, known here, so it is broadcast, with what its rows share.
     parts = F.broadcast(spark.createDataFrame(
-        rows, "__part string, __source string, __name string, __before long"))
+        rows, "__part string, __source string, __name string, __before long")
+        .withColumn("__id", F.regexp_replace("__name", r"\.[^.]*$", "")))
     taken = {*PROVENANCE, path_column}
     own = [f"`{c}`" for c in df.columns if normalize_name(c) not in taken]
     whole = [F.col("__source").alias(path_column)] if path_column else []
     return (df.select(*own, part.alias("__at"), F.col("_metadata.row_index").alias("__row"))
             .join(parts, F.col("__at") == F.col("__part"))
             .select(*own, *whole, F.col("__name").alias("source_file"),
-                    F.regexp_replace("__name", r"\.[^.]*$", "").alias("dataset_id"),
+                    F.col("__id").alias("dataset_id"),
                     (F.col("__before") + F.col("__row")).alias("raw_row_id")))
 
 
@@ -249,10 +250,19 @@ def drop_invalid_rows(df: DataFrame, predicate, group: Sequence[str]) -> tuple[D
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Rows that several jobs read, written once as Parquet to the shared folder: each
-    reader takes the columns it needs."""
-    path = K.write_parquet(df, K.scratch_path(df.sparkSession, name))
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Rows that several jobs read, written once as Parquet to the shared folder (tightly,
+    as several such tables may lie there at once): each reader takes the columns it needs."""
+    spark = df.sparkSession
+    with K.shuffles_dropped(spark):
+        path = K.write_parquet(df, K.scratch_path(spark, name), compression="zstd")
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def unstage(df: DataFrame) -> None:
+    """Remove staged rows that no later step reads."""
+    K.remove(df.sparkSession, df.staged_at)
 
 
 # ------------------------------------------------------------ wide cleaner
@@ -352,13 +362,15 @@ def clean_long(df: DataFrame, group: Sequence[str] = ("dataset_id", "source_file
                       .withColumn("reason",
                                   F.lit(f"missing municipal required columns: {missing}")))
     key = X.parse_structured_key("source_bv_id", key_pattern)
-    df = df.withColumns({"source_bv_id": key["key"], "id_bvote": key["key"],
-                         "num_arrond": key["area"], "num_bureau": key["unit"],
-                         "candidate_source_column": F.col("candidate")})
-    df = df.withColumn("__valid", valid_long_rows(df))
-    if materialize:
-        df = staged(df, "checked-long")
+    df = df.withColumns({"id_bvote": key["key"], "num_arrond": key["area"],
+                         "num_bureau": key["unit"]})
+    # Equal to other columns: set again at the end, not staged and shuffled twice.
+    copies = {"source_bv_id": F.col("id_bvote"), "candidate_source_column": F.col("candidate")}
+    df = df.drop(*copies).withColumn("__valid", valid_long_rows(df))
+    checked = df = staged(df, "checked-long") if materialize else df
     kept, counts = drop_invalid_rows(df, F.col("__valid"), group)
+    if materialize:
+        counts = counts.checkpoint()              # one row per file
     kept = kept.drop("__valid")
     numeric = {c: R.is_numeric_type(df.schema[c].dataType) for c in
                ("votes", "vote_share_exprimes", "vote_share_registered") if c in df.columns}
@@ -367,7 +379,7 @@ def clean_long(df: DataFrame, group: Sequence[str] = ("dataset_id", "source_file
     out = TT.rebuild_station_totals(kept, keys)
     # Totals the long family does not carry, and the shares: the source share
     # when finite, else votes over the rebuilt total.
-    added = {c: F.lit(None).cast("double") for c in
+    added = copies | {c: F.lit(None).cast("double") for c in
              ("nb_votant", "nb_emarg", "nb_procu", "nb_bl", "nb_nul", "nb_bl_nul")}
     added.update({c: F.lit(None).cast("string") for c in ("num_circ", "num_quartier")})
     added["date"] = F.lit(None).cast("date")
@@ -379,6 +391,7 @@ def clean_long(df: DataFrame, group: Sequence[str] = ("dataset_id", "source_file
     out = R.union_sources([long_types(out.withColumns(added))])
     if materialize:
         out = staged(out, "clean-long")
+        unstage(checked)
     long_counts = out.groupBy(*group).agg(F.count(F.lit(1)).alias("rows_clean_long"))
     has = F.coalesce("rows_clean_long", F.lit(0)) > 0
     report = (counts.join(long_counts, group, "left")

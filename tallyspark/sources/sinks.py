@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from contextlib import contextmanager
 from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,9 +20,30 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def write_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> str:
+#: Spark removes a query's shuffle files at its end, not when the driver collects garbage.
+_SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """A write inside leaves no shuffle files behind: what it wrote is read instead."""
+    before = spark.conf.get(_SHUFFLE_CLEANUP, "false")
+    spark.conf.set(_SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_SHUFFLE_CLEANUP, before)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a scratch folder that no later step reads."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def write_parquet(df: DataFrame, path: str, mode: str = "overwrite", **options) -> str:
     """S7."""
-    df.write.mode(mode).parquet(path)
+    df.write.mode(mode).options(**options).parquet(path)
     return path
 
 
@@ -65,17 +87,20 @@ def export_by_key(df: DataFrame, key: str, path: str, fmt: str = "csv",
     return path
 
 
-def write_named_files(df: DataFrame, name: str, order: Sequence[str], root: str) -> list[str]:
+def write_named_files(df: DataFrame, name: str, order: Sequence[str], root: str,
+                      finish: Callable[[DataFrame], DataFrame] | None = None) -> list[str]:
     """One Parquet source per value of the text column ``name``, called by that value: a
     folder of part files that hold its rows in the given order, part after part by name.
     One job writes all of them; rows are dealt out by ranges of (name, order), so a part
     is one task's work and a large source is many tasks'.  The folders then get their names
-    by renames, which move no data.  Rows without a name are left out."""
+    by renames, which move no data.  Rows without a name are left out.  ``finish`` makes the
+    columns of the files from those of ``df`` row by row, once the rows are dealt out."""
     spark = df.sparkSession
     staged = f"{root.rstrip('/')}/_named_{uuid.uuid4().hex}"
-    (df.withColumn("__file", F.col(name)).drop(name).where(F.col("__file").isNotNull())
-     .repartitionByRange("__file", *order).sortWithinPartitions("__file", *order)
-     .write.partitionBy("__file").parquet(staged))
+    dealt = (df.withColumn("__file", F.col(name)).drop(name).where(F.col("__file").isNotNull())
+             .repartitionByRange("__file", *order).sortWithinPartitions("__file", *order))
+    with shuffles_dropped(spark):
+        (finish(dealt) if finish else dealt).write.partitionBy("__file").parquet(staged)
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(staged)
     fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

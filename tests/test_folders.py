@@ -1,5 +1,7 @@
 """Folder audit and national extract on small hand-made files."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,6 +111,57 @@ def test_audit_of_the_cleaner(spark, folder):
     assert got["missing_from_clean"][0] == got["extra_in_clean"][0] == 0
 
 
+def test_audit_shuffles_cases_once(spark, folder):
+    """Where all buckets differ, all cases are joined: they are dealt out once, and only
+    problem rows are written."""
+    clean = frame(spark, [(*x[:3], x[3] + 1) for x in EXPECTED if x[2] != "ada"] + [("a", 9, "bob", 1.0)] * 2)
+    audit = AU.audit_folder(spark, folder, clean)
+    plan = audit.cases._jdf.queryExecution().executedPlan().toString()
+    dealt = [x for x in plan.splitlines() if "Exchange hashpartitioning(dataset_id" in x]
+    assert len(dealt) == 1 and "SortMergeJoin" not in plan
+    rows = audit.cases.collect()
+    assert len([r for r in rows if r.problem_type == "vote_value_mismatch"]) == 5
+    # more buckets than are broadcast: the same cases
+    few = AU.BROADCAST_BUCKETS
+    AU.BROADCAST_BUCKETS = 0
+    try:
+        other = AU.audit_folder(spark, folder, clean)
+    finally:
+        AU.BROADCAST_BUCKETS = few
+    assert sorted(map(str, other.cases.collect())) == sorted(map(str, rows))
+    assert checks(other) == checks(audit) and problems(other) == problems(audit)
+
+
+def test_staged_rows_leave_no_shuffles_behind(spark, monkeypatch):
+    """Shuffle files go as a write ends, checked rows once the clean ones are written."""
+    seen, write = [], K.write_parquet
+
+    def put(df, path, *a, **b):
+        seen.append((path, spark.conf.get(K._SHUFFLE_CLEANUP)))
+        return write(df, path, *a, **b)
+
+    monkeypatch.setattr(K, "write_parquet", put)
+    rows = [("d", "d.parquet", i, "s", "2001", "1", f"75056_000{i}", "A", "3") for i in range(4)]
+    df = spark.createDataFrame(rows, "dataset_id string, source_file string, raw_row_id long, scrutin string, "
+                                     "annee string, tour string, source_bv_id string, candidate string, votes string")
+    out, report = I.clean_long(df, materialize=True)
+    assert out.count() == 4 and report.first().rows_raw == 4
+    assert [on for _, on in seen] == ["true", "true"] and spark.conf.get(K._SHUFFLE_CLEANUP) == "false"
+    checked, clean = (p.removeprefix("file:") for p, _ in seen)
+    assert not os.path.exists(checked) and os.path.exists(clean)
+
+
+def test_parted_source_is_named_once(spark, tmp_path):
+    """A source's id is made once a file, not once a row."""
+    df = spark.createDataFrame([(f"{k}.x.parquet", i) for i in range(6) for k in "ab"], "file string, i long")
+    files = K.write_named_files(df, "file", ["i"], str(tmp_path), lambda d: d.withColumn("j", F.col("i") * 2))
+    got = I.read_with_provenance(spark, files)
+    assert sorted((r.dataset_id, r.raw_row_id, r.j) for r in got.collect()) == [
+        (f"{k}.x", i, 2 * i) for k in "ab" for i in range(6)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join ") < plan.index("regexp_replace")
+
+
 def test_audit_refuses(spark, folder, tmp_path):
     with pytest.raises(ValueError, match="raw_row_id"):
         AU.audit_folder(spark, folder, frame(spark, []).drop("raw_row_id"))
