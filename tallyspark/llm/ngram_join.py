@@ -4,13 +4,17 @@
    with equal sets are one class; only classes are compared.
 2. Blocks.  Two sets whose Jaccard similarity reaches the threshold differ in at
    most m elements, m following from their sizes.  The hash space is cut into
-   more than m segments, so some segment that is not empty is the same in both:
-   classes that agree on a segment are candidates.  Sets of similar size share a
+   more than m + s segments, so more than s of those that are not empty are the same in
+   both: classes that agree on as many are candidates.  Sets of similar size share a
    number of segments (size levels); a set also enters the level below if a
    partner could be there.  Equal segments meet in a range-partitioned, sorted
-   stream that links neighbours, so nothing is paired and a segment that very
-   many share is spread over tasks.  The connected components of these links are
-   the blocks; no similar pair lies across blocks.
+   stream that counts the pairs of a segment of few classes.  A segment of ``HOT``
+   classes or more (a phrase of many unlike texts, or many copies) is spread over
+   tasks and not paired: a class may have s / 2 of them in a level, which its pairs
+   then need not share; one that has more is linked with all such classes of its
+   segments.  So chance phrases, which a larger corpus has more of, tie no classes
+   together.  The connected components of these links are the blocks; no similar
+   pair lies across blocks.
    A block of more than ``TILE`` elements is split by the components of what
    small sketches of its sets allow, which again parts no similar pair.
 3. Product.  In each block the class by n-gram incidence matrix is multiplied by
@@ -48,6 +52,10 @@ from .words import mix, slices
 
 #: Ratio of the bounds of a size level.
 RATIO = 1.5
+#: Levels at most, a power of two: sizes up to a thousand million.
+LEVELS = 64
+#: Classes that make a segment a common one.
+HOT = 16
 #: Elements (shingles) of a tile: some 150 MB in its task.
 TILE = 3 << 20
 #: Parts of the hash space that a sketch counts at least, and elements a part at most.
@@ -57,18 +65,20 @@ SKETCH_ROWS = 4096
 
 
 @lru_cache(maxsize=None)
-def _level(level: int, percent: int) -> tuple[int, int, int]:
-    """(largest size, most differing elements of a pair, segments) of a level."""
+def _level(level: int, percent: int) -> tuple[int, int, int, int]:
+    """(largest size, most differing elements of a pair, segments, those of them to spare)
+    of a level: a pair shares more segments than there are to spare."""
     high = math.ceil(RATIO ** (level + 1)) - 1
     most = high * (100 - percent) // percent
     if most == 0:
-        return high, 0, 0
+        return high, 0, 0, 0
+    spare = 1 + most // 8
     # Segments that happen to be empty in a set prove nothing: add as many as may be.
-    low, segments = RATIO ** level, most + 1
+    low, segments = RATIO ** level, most + 1 + spare
     for _ in range(4):
         empty = segments * math.exp(-low / segments)
-        segments = most + 1 + math.ceil(empty + 4 * math.sqrt(empty) + 1)
-    return high, most, segments
+        segments = most + 1 + spare + math.ceil(empty + 4 * math.sqrt(empty) + 1)
+    return high, most, segments, spare
 
 
 def _levels(sizes: np.ndarray) -> np.ndarray:
@@ -100,16 +110,16 @@ def _fingerprints(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, n
 
 
 def _signatures(hashes: np.ndarray, level: int, percent: int) -> np.ndarray:
-    """Hashes of the segments of one set, for one level."""
-    _, most, segments = _level(level, percent)
+    """Hashes of the segments of one set, for one level, which the lowest bits tell."""
+    _, most, segments, spare = _level(level, percent)
     where = (mix(hashes + np.uint64(level)) % np.uint64(segments)).astype(np.int64)
     sums = np.zeros(segments, np.uint64)
     np.add.at(sums, where, mix(hashes ^ np.uint64(0x3333333333333333)))
     number = np.arange(segments, dtype=np.uint64) + np.uint64(level << 40)
-    keys = mix(sums + mix(number))
+    keys = mix(sums + mix(number)) & ~np.uint64(LEVELS - 1) | np.uint64(level)
     full = np.bincount(where, minlength=segments) > 0
     # Too many empty segments for the argument above: let them count as well.
-    return keys if segments - full.sum() > segments - 1 - most else keys[full]
+    return keys if segments - full.sum() > segments - 1 - most - spare else keys[full]
 
 
 def _sketches(hashes: np.ndarray, sizes: np.ndarray) -> list[bytes]:
@@ -165,49 +175,100 @@ def _describe(size: int, percent: int, text: str):
     return run
 
 
+def _pairs(segment: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """(node, later node, level) of rows that share a segment; rows come sorted."""
+    out = [np.zeros((3, 0), np.int64)]
+    for step in range(1, HOT):
+        same = segment[step:] == segment[:-step]
+        if not same.any():
+            break
+        out.append(np.stack([node[:-step][same], node[step:][same],
+                             segment[step:][same] & (LEVELS - 1)]))
+    return np.concatenate(out, 1)
+
+
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links between neighbours that share a segment, contracted, and the part's two ends."""
-    part = TaskContext.get().partitionId()
-    first = last = None
-    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    """(kind, node, root, level, n): how many segments of few classes two nodes share
+    (kind 0); (node, segment) of common segments (2) and of the part's first and last one,
+    which may go on in another part (1, or 3 if the last one is common)."""
+    first, kind = None, 0               # the part's first segment; kind of the rows held back
+    held = np.zeros((2, 0), np.int64)   # the last run so far: (segment, node)
+    pairs, count = [], 0
+
+    def rows(kind: int, node: np.ndarray, root: np.ndarray, level: np.ndarray, n: np.ndarray):
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(node), kind, np.int32)), pa.array(node), pa.array(root),
+             pa.array(level.astype(np.int32)), pa.array(n)], ["kind", "node", "root", "level", "n"])
+
+    def ends(kind: int, run: np.ndarray):
+        return rows(kind, run[1], run[0], run[0] & (LEVELS - 1), np.ones(run.shape[1], np.int64))
+
+    def counted():
+        found = np.concatenate([np.zeros((3, 0), np.int64), *pairs], 1)
+        found = found[:, np.lexsort(found)]
+        at = np.flatnonzero(np.concatenate(
+            [np.ones(min(1, found.shape[1]), bool), (found[:, 1:] != found[:, :-1]).any(0)]))
+        return rows(0, *found[:, at], np.diff(at, append=found.shape[1]))
+
     for batch in batches:
-        segment, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        if not len(segment):
+        if not batch.num_rows:
             continue
-        if last is None:
-            first = (segment[0], node[0])
-        else:
-            segment = np.concatenate([[last[0]], segment])
-            node = np.concatenate([[last[1]], node])
-        last = (segment[-1], node[-1])
-        linked = (segment[1:] == segment[:-1]) & (node[1:] != node[:-1])
-        pairs = np.unique(np.stack([node[:-1][linked], node[1:][linked]]), axis=1)
-        left.append(pairs[0])
-        right.append(pairs[1])
-    node, root = contract(np.concatenate(left), np.concatenate(right))
-    ends = [] if last is None else [first, last]
-    yield pa.RecordBatch.from_arrays(
-        [pa.array([part] * (len(node) + len(ends)), pa.int32()),
-         pa.array([0] * len(node) + list(range(1, len(ends) + 1)), pa.int32()),
-         pa.array([0] * len(node) + [int(e[0]) for e in ends], pa.int64()),
-         pa.array([*node.tolist(), *[int(e[1]) for e in ends]], pa.int64()),
-         pa.array([*root.tolist(), *[None] * len(ends)], pa.int64())],
-        ["part", "kind", "segment", "node", "root"])
-
-
-def _blocks(described: DataFrame) -> DataFrame:
-    """(f1, block) of the classes that share a segment with another class."""
+        run = np.concatenate([held, np.stack([batch.column(c).to_numpy() for c in (0, 1)])], 1)
+        fresh = np.ones(run.shape[1], bool)
+        fresh[1:] = (run[:, 1:] != run[:, :-1]).any(0)
+        run = run[:, fresh]
+        starts = np.flatnonzero(np.concatenate([[True], run[0, 1:] != run[0, :-1]]))
+        first = run[0, 0] if first is None else first
+        lengths = np.diff(starts, append=run.shape[1])
+        kinds = np.where(lengths >= HOT, 2, 0)
+        kinds[0] = max(kinds[0], kind)  # held rows that were common before
+        kinds[run[0, starts] == first] = 1
+        kind = int(kinds[-1])
+        # The last run waits for its end; of a common one, the last row tells repeats.
+        last = starts[-1] if kind == 0 else run.shape[1] - 1
+        done, of_row, held = run[:, :last], np.repeat(kinds, lengths)[:last], run[:, last:]
+        for k in (1, 2):
+            if (of_row == k).any():
+                yield ends(k, done[:, of_row == k])
+        pairs.append(_pairs(*done[:, of_row == 0]))
+        count += pairs[-1].shape[1]
+        if count > 1 << 20:
+            yield counted()
+            pairs, count = [], 0
+    yield ends(3 if kind == 2 else 1, held)
+    yield counted()
+
+
+def _links(linked: DataFrame, percent: int) -> DataFrame:
+    """Links of nodes that share enough segments, and of nodes with segments that are not
+    counted: common ones, where the node has more of them in the level than its pairs can
+    spare, and those at the ends of parts that are not common."""
+    level = F.col("level")
+    spare = F.get(F.array(*[F.lit(_level(i, percent)[3]) for i in range(LEVELS)]), level)
+    uncounted = F.floor(spare / 2)
+    near = (linked.where("kind = 0").groupBy("node", "root", "level").agg(F.sum("n").alias("n"))
+            .where(F.col("n") > spare - uncounted))
+    ends = linked.where("kind in (1, 3)")
+    # Two segments a part at most.
+    hot = (F.count(F.lit(1)) >= HOT) | (F.max("kind") == 3)
+    ends = ends.join(F.broadcast(ends.groupBy("root").agg(hot.alias("hot"))), "root")
+    common = (linked.where("kind = 2").unionByName(ends.where("hot").drop("hot"))
+              .select("node", "root", "level"))
+    many = (common.groupBy("node", "level").agg(F.count(F.lit(1)).alias("n"))
+            .where(F.col("n") > uncounted).select("node", "level"))
+    held = common.join(many.hint("merge"), ["node", "level"], "left_semi")
+    # A segment stands for itself here: if one equals a class, blocks only grow.
+    return (near.select("node", "root").unionByName(held.select("node", "root"))
+            .unionByName(ends.where("not hot").select("node", "root")))
+
+
+def _blocks(described: DataFrame, percent: int) -> DataFrame:
+    """(f1, block) of the classes that share enough segments with another class."""
     keys = described.select(F.explode("segments").alias("segment"), "f1")
     linked = stage(keys.repartitionByRange("segment", "f1").sortWithinPartitions("segment", "f1")
-                   .mapInArrow(_neighbours, "part int, kind int, segment long, node long, root long"),
+                   .mapInArrow(_neighbours, "kind int, node long, root long, level int, n long"),
                    "neighbours")
-    # A run of equal segments may go on in the next part: two rows a part tell.
-    order = Window.orderBy("part", "kind")
-    seam = (linked.where("kind > 0")
-            .select("node", "segment", F.lag("node").over(order).alias("root"),
-                    F.lag("segment").over(order).alias("before"))
-            .where("segment = before and node <> root").select("node", "root"))
-    stars = connected_components(linked.where("kind = 0").select("node", "root").unionByName(seam))
+    stars = connected_components(_links(linked, percent))
     blocks = stage(stars.select(F.col("node").alias("f1"), F.col("root").alias("block"))
                    .union(stars.select("root", "root").distinct()), "blocks")
     unstage(linked, stars)
@@ -427,7 +488,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, key: s
     described = stage(rows.mapInArrow(
         _describe(size, percent, "text"),
         "key long, n long, f1 long, f2 long, sketch binary, segments array<long>"), "described")
-    blocks = _blocks(described)
+    blocks = _blocks(described, percent)
     slim = stage(described.drop("segments"), "sets")
     unstage(described)
     classes = (slim.where("n > 0").groupBy("f1", "f2")

@@ -229,6 +229,58 @@ def test_ngram_join_of_large_sets(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == H.components(rows, 5, 80)
 
 
+def test_ngram_join_phrases_tie_no_unlike_texts(spark, monkeypatch):
+    """Phrases that many unlike texts hold make no large block; near copies are still found."""
+    sizes = []
+
+    def stage(df, name, **options):
+        staged = real(df, name, **options)
+        if name == "members":
+            sizes.extend(r["count"] for r in staged.groupBy("block").count().collect())
+        return staged
+
+    real = ngram_join.stage
+    monkeypatch.setattr(ngram_join, "stage", stage)
+    random = np.random.default_rng(3)
+    phrases = [" ".join(f"p{i}q{j}" for j in range(6)) for i in range(30)]
+
+    def text(i):
+        parts = [" ".join(f"u{i}v{k}w{j}" for j in range(12)) for k in range(12)]
+        for k in random.choice(30, 4, replace=False):
+            parts.insert(int(random.integers(0, len(parts))), phrases[k])
+        return " ".join(parts)
+
+    rows = [(i, text(i)) for i in range(300)]
+    for i in range(300, 320):  # copies with a word changed
+        words_of = rows[i - 300][1].split()
+        rows.append((i, " ".join([*words_of[:50], f"x{i}", *words_of[51:]])))
+    base = rows[20][1].split()
+    for i in range(320, 370):  # more copies of one text than a segment's few classes
+        rows.append((i, " ".join([*base[:i - 300], f"x{i}", *base[i - 299:]])))
+    got = ngram_join.jaccard_components(H.docs_frame(spark, rows).repartition(4)).collect()
+    want = H.components(rows, 5, 80)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+    assert sum(w[1] == 20 for w in want.values()) == 51 == max(sizes)
+
+
+@pytest.mark.parametrize("rows", [3, 1000])
+def test_ngram_neighbours_over_batches(rows):
+    """Segments are counted whole, however the sorted rows are cut into batches."""
+    few, common = [(64 * s, n) for s in range(1, 9) for n in range(3)], ngram_join.HOT + 4
+    stream = sorted({(-64, 1), (-64, 2), *few, *((64 * 5 + 64 * 8, n) for n in range(common)),
+                     (64 * 20, 0), (64 * 20, 1)} | {(64 * 30, n) for n in range(common)})
+    stream = [x for x in stream for _ in range(2)]  # equal sets of two tasks
+    batches = [pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*stream[i:i + rows])],
+                                          ["segment", "f1"]) for i in range(0, len(stream), rows)]
+    out = [r for b in ngram_join._neighbours(iter(batches)) for r in b.to_pylist()]
+    kind = lambda k: sorted((r["root"], r["node"]) for r in out if r["kind"] == k)
+    assert {(r["node"], r["root"]): r["n"] for r in out if r["kind"] == 0} \
+        == {(0, 1): 9, (0, 2): 8, (1, 2): 8}
+    assert sorted(kind(1) + kind(2) + kind(3)) == sorted(
+        {(-64, 1), (-64, 2)} | {(s, n) for s in (64 * 13, 64 * 30) for n in range(common)})
+    assert set(kind(1)) >= {(-64, 1), (-64, 2)} and not set(kind(2)) & {(-64, 1), (-64, 2)}
+
+
 def test_ngram_join_edge(spark):
     assert ngram_join.jaccard_components(nothing(spark)).count() == 0
     with pytest.raises(ValueError):
